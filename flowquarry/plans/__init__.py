@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("problems",)
+MODULES = ("problems", "flow", "temporal")
 
 
 def load_registry():
