@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("problems", "flow", "temporal")
+MODULES = ("problems", "flow", "temporal", "graph")
 
 
 def load_registry():
