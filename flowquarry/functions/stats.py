@@ -75,9 +75,12 @@ def residuals(df: DataFrame, keys: list[str], y: str, x1: str, x2: str) -> DataF
     return df.join(s, keys, "left").withColumn("residual", r).drop("__11", "__22", "__12", "__1y", "__2y", "__m1", "__m2", "__my")
 
 
-def decile(value: Column, cuts: Column) -> Column:
-    """Bucket 0..n of a value among ascending cut points (an array); -1 for null."""
-    return F.when(value.isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: value > c)))
+def decile(value: Column, cuts: Column, n: int = 10) -> Column:
+    """Bucket 0..n-1 of a value among n - 1 ascending cut points (an array, which may be a scalar subquery); -1 for null."""
+    above = F.lit(0)
+    for i in range(n - 1):
+        above = above + (value > F.get(cuts, F.lit(i))).cast("int")
+    return F.when(value.isNull(), -1).otherwise(above)
 
 
 def quantile_cuts(df: DataFrame, column: str, n: int = 10) -> Column:
@@ -96,6 +99,6 @@ def auc(df: DataFrame, score: str, label: str, digits: int = 6) -> DataFrame:
 def lift(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """(bin, n, n_pos, lift) by exact score cuts, bin 0 the highest."""
     cuts = quantile_cuts(df, score, bins)
-    b = (F.lit(bins - 1) - decile(F.col(score), cuts)).cast("int")
+    b = (F.lit(bins - 1) - decile(F.col(score), cuts, bins)).cast("int")
     rate = df.agg(F.avg(F.col(label).cast("double"))).scalar()
     return df.filter(F.col(score).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("n_pos"), F.round(F.avg(F.col(label).cast("double")) / rate, 6).alias("lift"))

@@ -88,7 +88,7 @@ def tiers(df: DataFrame, value: str, n: int = 3) -> DataFrame:
     """Adds ``tier`` 1..n by exact cuts of the value (in place of an ntile over one window of all rows)."""
     from flowquarry.functions.stats import decile, quantile_cuts
 
-    return df.withColumn("tier", (decile(F.col(value), quantile_cuts(df, value, n)) + 1).cast("int"))
+    return df.withColumn("tier", (decile(F.col(value), quantile_cuts(df, value, n), n) + 1).cast("int"))
 
 
 # ---- roles

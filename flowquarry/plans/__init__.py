@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("problems", "flow", "temporal", "graph")
+MODULES = ("problems", "flow", "temporal", "graph", "geography", "panels", "relations")
 
 
 def load_registry():

@@ -73,7 +73,7 @@ def c06(spark: SparkSession, d: str) -> DataFrame:
     "c06_tail",
     _STR
     + f""", n AS (SELECT time_key, count(*) AS n, sum(s) AS tot, least(greatest(floor(count(*) * 0.05), 10), count(*)) AS k, greatest(ceil(count(*) * 0.001), 1) AS m FROM st WHERE s > 0 GROUP BY time_key),
-r AS (SELECT st.time_key, s, row_number() OVER (PARTITION BY st.time_key ORDER BY s DESC) AS r, k, m, tot FROM st JOIN n USING (time_key) WHERE s > 0),
+r AS (SELECT st.time_key, s, row_number() OVER (PARTITION BY st.time_key ORDER BY s DESC) AS r, n.k, m, tot FROM st JOIN n USING (time_key) WHERE s > 0),
 h AS (SELECT time_key, sum(ln(s)) FILTER (r <= k) / max(k) - ln(min(s) FILTER (r <= k)) AS mean, {rsql("sum(s) FILTER (r <= m)", "max(tot)")} AS top_share FROM r GROUP BY time_key)
 SELECT time_key, round(CASE WHEN mean > 1e-12 THEN 1 / mean END, 4) AS hill_alpha, top_share FROM h""",
 )
