@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("problems", "flow", "temporal", "graph", "geography", "panels", "relations")
+MODULES = ("problems", "flow", "temporal", "graph", "geography", "panels", "relations", "basics")
 
 
 def load_registry():
