@@ -23,6 +23,9 @@ from flowquarry.session import cut
 
 BLOCK = 600
 CHUNK_WORDS = 50_000
+LEAST_BLOCKS = 500
+#: No usual ratio counts as more, as a corpus may consist of such pages; sentences stay below it at this block size.
+MOST_USUAL = 2.4
 REACH = 8
 
 # Function words of English, Spanish, French and German. Those that link places in lists (in, near, en) are left out.
@@ -100,6 +103,10 @@ def _judge(parts: list[tuple[bool, str, list[str | None]]]) -> tuple[int, int]:
     pairs = Counter(zip(words, words[1:], strict=False))
     often = max(5, n / 22)
     repeated = [False] * n
+    single = Counter(w for w in words if w is not None and w not in FUNCTION_WORDS and not w.isdigit())
+    alone = {w for w, k in single.items() if k >= max(6, n / 12)}
+    for i in range(n):
+        repeated[i] = words[i] in alone
     for i in range(n - 1):
         if words[i] is not None and pairs[words[i], words[i + 1]] >= often:
             repeated[i] = repeated[i + 1] = True
@@ -110,7 +117,7 @@ def _judge(parts: list[tuple[bool, str, list[str | None]]]) -> tuple[int, int]:
         at += k
         if figures:
             continue
-        if sum(again) >= 0.4 * k:
+        if sum(again) >= 0.3 * k:
             bad += k
         else:
             bad += sum(a or b for a, b in zip(again, _loose(segment, units), strict=True))
@@ -180,8 +187,10 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     """
     m = cut(measure(docs, doc_id, text, lang), "measured")
     each = m.select(doc_id, "lang", "n_words", "n_loose", F.explode("blocks").alias("b")).select(doc_id, "lang", "n_words", "n_loose", "b.*")
-    usual = each.groupBy("lang", "bin").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"))
-    rated = each.join(usual, ["lang", "bin"], "left")
+    # A language with few blocks of a length, as odd labels have, goes by the blocks of all languages.
+    usual = each.select(F.explode(F.array("lang", F.lit("*"))).alias("of"), "bin", "ratio").groupBy("of", "bin").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count(F.lit(1)).alias("n"))
+    own = usual.filter(F.col("n") >= LEAST_BLOCKS).select(F.col("of").alias("lang"), "bin", F.col("usual").alias("own"))
+    rated = each.join(own, ["lang", "bin"], "left").join(usual.filter("of = '*'").select("bin", "usual"), "bin", "left").withColumn("usual", F.least(F.coalesce("own", "usual"), F.lit(MOST_USUAL)))
     out = rated.groupBy(doc_id, "n_words", "n_loose").agg(F.max(F.col("ratio") / F.coalesce("usual", "ratio")).alias("redundancy"), F.min("ends").alias("least_ends"))
     out = out.filter("n_words > 0").withColumn("list_share", F.col("n_loose") / F.col("n_words"))
     out = out.withColumn("is_candidate", (F.col("redundancy") > excess) | (F.col("least_ends") < few_ends))
