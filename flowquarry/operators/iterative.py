@@ -31,10 +31,11 @@ def undirected(links: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, label: str) -> DataFrame:
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, label: str, every: int = EVERY) -> DataFrame:
+    """Steps with a cut after each ``every``; a step that reads its state twice wants 1, or its plan doubles each time."""
     for i in range(rounds):
         state = step(state)
-        if (i + 1) % EVERY == 0:
+        if (i + 1) % every == 0:
             state = cut(state, label)
     return state
 
@@ -66,7 +67,7 @@ def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: D
         new = base.join(came, base["node"] == came["dst"], "left")
         return new.select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("in", F.lit(0.0)) + (1 - kept) * F.col("t"))).alias("r"))
 
-    rank = iterate(base.select("node", F.col("t").alias("r")), step, rounds, "rank")
+    rank = iterate(base.select("node", F.col("t").alias("r")), step, rounds, "rank", every=1)
     return rank.select("node", F.round("r", digits).alias("pagerank"))
 
 
@@ -299,7 +300,7 @@ def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
         tally = votes.groupBy("node", "grp").agg(F.round(F.sum("w"), 6).alias("w"))
         return tally.groupBy("node").agg(F.min_by("grp", F.struct(-F.col("w"), F.col("grp"))).alias("grp"))
 
-    return iterate(own.select("node", F.col("node").alias("grp")), step, rounds, "labels")
+    return iterate(own.select("node", F.col("node").alias("grp")), step, rounds, "labels", every=1)
 
 
 def strong_components(links: DataFrame, most: int = 60) -> DataFrame:

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from flowquarry.functions.cleaning import sql_cents, sql_id, sql_month
 from flowquarry.operators import edges as eg
 from flowquarry.operators import parties as pt
-from flowquarry.session import table
+from flowquarry.session import cut, table
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     return eg.payments(table(spark, d, "edges"))
 
 
+def edges_once(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written to the shared folder first, for queries that read the relation several times."""
+    return cut(edges(spark, d), "edges")
+
+
 def parties(spark: SparkSession, d: str) -> DataFrame:
     return pt.load_parties(table(spark, d, "customers"))
 

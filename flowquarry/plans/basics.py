@@ -13,7 +13,7 @@ from flowquarry.operators import iterative as it
 from flowquarry.operators import parties as pt
 from flowquarry.operators import profiles as pf
 from flowquarry.operators import temporal as tm
-from flowquarry.plans.base import E, EP, WP, edges, parties, rsql, status_sql
+from flowquarry.plans.base import E, EP, WP, edges, edges_once, parties, rsql, status_sql
 from flowquarry.plans.flow import TIERS
 from flowquarry.plans.geography import hav, points
 from flowquarry.plans.graph import W
@@ -462,7 +462,7 @@ def k58(spark: SparkSession, d: str) -> DataFrame:
 @query("k33_rung_agreement", None)
 def k33(spark: SparkSession, d: str) -> DataFrame:
     """Locality classes of the same nodes and months with and without hubs: how often two rungs of the ladder agree."""
-    e, p = edges(spark, d), points(spark, d)
+    e, p = edges_once(spark, d), points(spark, d)
     ladder = eg.build_ladder(e, TIERS)[0]
     a, b = gb.spread(e, p).select("time_key", "node", F.col("locality").alias("x")), gb.spread(eg.apply_version(e, ladder, "P99_9"), p).select("time_key", "node", F.col("locality").alias("y"))
     return a.join(b, ["time_key", "node"]).filter("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))

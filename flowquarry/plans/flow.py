@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.operators import edges as eg
 from flowquarry.operators import flow
-from flowquarry.plans.base import E, EP, WP, edges, parties, partition, rsql, sectors
+from flowquarry.plans.base import E, EP, WP, edges, edges_once, parties, partition, rsql, sectors
 from flowquarry.plans.registry import query
 
 TIERS = {"P99": 0.99, "P99_9": 0.999}
@@ -98,7 +98,7 @@ def n21(spark: SparkSession, d: str) -> DataFrame:
 @query("n03_conduits", _CONC.rstrip() + ", " + _REC.partition(", dy AS")[1][2:] + _REC.partition(", dy AS")[2].rstrip() + _DEG.partition(", deg AS")[1] + _DEG.partition(", deg AS")[2] + f", fl AS (SELECT {_FLOW_COLS} FROM deg) SELECT fl.time_key, fl.node, throughflow, flow_ratio, hhi_in, hhi_out, reciprocity_amount_share FROM fl JOIN conc USING (time_key, node) JOIN rec USING (time_key, node) WHERE fl.time_key = (SELECT max(time_key) FROM e) ORDER BY throughflow DESC, fl.node LIMIT 20")
 def conduits(spark: SparkSession, d: str) -> DataFrame:
     """The 20 nodes of the latest month through which most money flows (a top-k report)."""
-    e = edges(spark, d)
+    e = edges_once(spark, d)
     e = e.filter(F.col("time_key") == e.agg(F.max("time_key")).scalar())
     top = flow.flows(e).select("time_key", "node", "throughflow", "flow_ratio").orderBy(F.desc("throughflow"), "node").limit(20)
     return top.join(flow.concentration(e).select("time_key", "node", "hhi_in", "hhi_out"), ["time_key", "node"]).join(flow.reciprocity(e).select("time_key", "node", "reciprocity_amount_share"), ["time_key", "node"])
@@ -199,7 +199,7 @@ _VERS = _LADDER + ", ev AS (SELECT 'V0' AS version, * FROM e UNION ALL SELECT v.
 
 @query("p01_versions", _VERS + "SELECT version, time_key, count(*) AS n_edges, CAST(sum(cents) AS BIGINT) AS cents FROM ev GROUP BY ALL")
 def p01(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
+    e = edges_once(spark, d)
     return eg.all_versions(e, eg.build_ladder(e, TIERS)[0], ["V0", *TIERS]).groupBy("version", "time_key").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("cents").alias("cents"))
 
 
@@ -213,7 +213,7 @@ def p02(spark: SparkSession, d: str) -> DataFrame:
     _LADDER + ", hub AS (SELECT DISTINCT node FROM ladder WHERE version = 'P99_9') SELECT time_key, inc.node, " + ", ".join(rsql(f"coalesce(sum(cents) FILTER (dir = '{x}' AND hub.node IS NOT NULL), 0)", f"sum(cents) FILTER (dir = '{x}')") + f" AS hub_{x}_share" for x in ("in", "out")) + " FROM inc LEFT JOIN hub ON hub.node = inc.cp GROUP BY time_key, inc.node",
 )
 def n31(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
+    e = edges_once(spark, d)
     return flow.hub_exposure(e, eg.build_ladder(e, TIERS)[0].filter("version = 'P99_9'").select("node"))
 
 
@@ -226,7 +226,7 @@ _CAT = ", cat AS (SELECT coalesce(p.node, h.node) AS node, CASE WHEN h.node IS N
     _COMP + _CAT + "SELECT time_key, node, " + ", ".join(f"{rsql(f'''count(*) FILTER (dir = '{x}' AND category = '{c}')''', f'''count(*) FILTER (dir = '{x}')''')} AS share_{x}_cp_{c}, {rsql(f'''coalesce(sum(cents) FILTER (dir = '{x}' AND category = '{c}'), 0)''', f'''sum(cents) FILTER (dir = '{x}')''')} AS share_{x}_amt_{c}" for x in ("in", "out") for c in flow.CATEGORIES) + " FROM ii GROUP BY time_key, node",
 )
 def n32(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
+    e = edges_once(spark, d)
     hubs = eg.build_ladder(e, TIERS)[0].filter("version = 'P99_9'").select("node", F.lit(True).alias("hub"))
     cat = parties(spark, d).select("node", "node_type").join(hubs, "node", "full").select("node", F.when(F.col("hub"), "hub").otherwise(F.col("node_type")).alias("category"))
     return flow.composition(e, cat)

@@ -9,7 +9,7 @@ from flowquarry.operators import edges as eg
 from flowquarry.operators import flow
 from flowquarry.operators import graph as gr
 from flowquarry.operators import iterative as it
-from flowquarry.plans.base import E, EP, edges, parties, partition, rsql, sectors
+from flowquarry.plans.base import E, EP, edges, edges_once, parties, partition, rsql, sectors
 from flowquarry.plans.flow import _LADDER, TIERS
 from flowquarry.plans.registry import query
 from flowquarry.plans.temporal import T
@@ -226,7 +226,7 @@ def c18(spark: SparkSession, d: str) -> DataFrame:
 SELECT time_key, node, count(*) FILTER (dir = 'in') AS n_in, count(*) FILTER (dir = 'out') AS n_out, CAST(coalesce(sum(cents) FILTER (dir = 'in'), 0) AS BIGINT) AS in_cents, CAST(coalesce(sum(cents) FILTER (dir = 'out'), 0) AS BIGINT) AS out_cents, {rsql("sum(cents)", "2 * max(a)")} AS amount_share, CAST(count(DISTINCT cp) * (count(DISTINCT cp) - 1) // 2 AS BIGINT) AS co_pay_pairs FROM inc JOIN hub USING (node) JOIN al USING (time_key) GROUP BY time_key, node""",
 )
 def c20(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
+    e = edges_once(spark, d)
     return gr.hub_summary(e, eg.build_ladder(e, TIERS)[0].filter("version = 'P99'").select("node"))
 
 

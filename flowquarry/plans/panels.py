@@ -11,7 +11,7 @@ from flowquarry.operators import edges as eg
 from flowquarry.operators import flow
 from flowquarry.operators import panel as pn
 from flowquarry.operators import temporal as tm
-from flowquarry.plans.base import E, EP, edges, parties, rsql
+from flowquarry.plans.base import E, EP, edges, edges_once, parties, rsql
 from flowquarry.plans.flow import _CONC, _DEG, _FLOW_COLS, _LADDER, _REC, TIERS
 from flowquarry.plans.registry import query
 from flowquarry.plans.temporal import T
@@ -231,7 +231,7 @@ roles AS (SELECT np.*, CASE WHEN in_degree = 0 OR out_degree = 0 THEN 'one_sided
 
 def node_panel(spark: SparkSession, d: str) -> DataFrame:
     """Node metrics of one hop side by side: each is one aggregation by month and node, joined on that key."""
-    e = edges(spark, d)
+    e = edges_once(spark, d)
     hubs = eg.build_ladder(e, TIERS)[0].filter("version = 'P99_9'").select("node")
     key = ["time_key", "node"]
     conc = flow.concentration(e).select(*key, "hhi_in", "hhi_out", "top1_in", "top1_out")
