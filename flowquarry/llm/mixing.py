@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 MIN_BLOCKS, MAX_BLOCKS, BLOCK_DOCS = 64, 4096, 20_000
 MAX_SOURCES = 1000
+SHARD_TOKENS = 64_000_000
 
 
 def source_name(c: Column | str) -> Column:
@@ -125,11 +126,11 @@ def block_of(doc_id: Column, blocks: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(blocks)).cast("int")
 
 
-def plan(sized: DataFrame, targets: DataFrame, shards: int = 8, seed: int = 0) -> Plan:
+def plan(sized: DataFrame, targets: DataFrame, shards: int | None = None, seed: int = 0) -> Plan:
     """The plan of a mix. ``sized`` has doc_id, source (as ``source_name`` gives it) and n_tokens; ``targets`` has source, target_share, max_repeats.
 
     Sources of the targets without documents have nothing to give; documents of other sources, or of none, count in the corpus size
-    only. Targets with a null share or null or negative repeats count as 0. Duplicate targets raise.
+    only. Without ``shards`` there are eight, or one for each ``SHARD_TOKENS`` of the corpus. Targets with a null share or null or negative repeats count as 0. Duplicate targets raise.
     """
     wanted = [(r[0], float(r[1] or 0.0), max(0, int(r[2] or 0))) for r in targets.select(source_name("source"), "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()]
     if len(wanted) > MAX_SOURCES or len({w[0] for w in wanted}) < len(wanted):
@@ -143,6 +144,7 @@ def plan(sized: DataFrame, targets: DataFrame, shards: int = 8, seed: int = 0) -
         if r["source"] is not None:
             by[r["source"]][r["block"]] = r["n"]
     corpus = sum(r["n"] for r in sizes)
+    shards = shards or max(8, corpus // SHARD_TOKENS)
     return plan_mix([Source(n, share, most, by[n]) for n, share, most in wanted], corpus, shards, blocks, seed)
 
 
