@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowquarry.operators.edges import average_rank
+from flowquarry.functions.ranks import value_ranks, with_average_rank
 
 
 def erfc(x: Column) -> Column:
@@ -52,8 +52,9 @@ def benjamini_hochberg(tests: DataFrame, p: str, q: float = 0.1) -> DataFrame:
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, digits: int = 6) -> DataFrame:
     """(keys, n, rho): correlation of average ranks over rows with both values."""
-    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, average_rank(F.col(x), *keys).alias("rx"), average_rank(F.col(y), *keys).alias("ry"))
-    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rx", "ry"), digits).alias("rho"))
+    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    r = with_average_rank(with_average_rank(r, keys, x, "__rx"), keys, y, "__ry")
+    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("__rx", "__ry"), digits).alias("rho"))
 
 
 def within_corr(df: DataFrame, key: str, x: str, y: str, least: int = 8, digits: int = 6) -> DataFrame:
@@ -90,10 +91,14 @@ def quantile_cuts(df: DataFrame, column: str, n: int = 10) -> Column:
 
 def auc(df: DataFrame, score: str, label: str, digits: int = 6) -> DataFrame:
     """(n_pos, n_neg, auc) by rank sums over counts of distinct scores, ties counting half."""
-    g = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("int")).alias("p"), F.count(F.lit(1)).alias("n"))
-    below = F.sum(F.col("n") - F.col("p")).over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - F.col("p"))
-    g = g.select("p", (F.col("n") - F.col("p")).alias("q"), below.alias("b"))
-    return g.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.round(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)) / F.when(F.sum("p") * F.sum("q") > 0, F.sum("p") * F.sum("q")), digits).alias("auc"))
+    r = value_ranks(df, [], score).select(F.col(score).alias("__s"), "n", "before")
+    pos = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.sum(F.col(label).cast("int")).alias("p"))
+    g = r.join(pos, "__s")
+    # The sum of the average ranks of the positive rows, less what they hold among themselves.
+    p, n = F.sum("p"), F.sum("n")
+    ranks = F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / F.lit(2.0)))
+    q = n - p
+    return g.agg(p.alias("n_pos"), q.alias("n_neg"), F.round((ranks - p * (p + 1) / 2) / F.when(p * q > 0, (p * q).cast("double")), digits).alias("auc"))
 
 
 def lift(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flowquarry.functions.cleaning import canonical_id, cents, month_key
 from flowquarry.operators.snapshots import current_rows
@@ -98,13 +97,3 @@ def ratio(n: Column | str, d: Column | str, digits: int = 6) -> Column:
     n, d = (F.col(x) if isinstance(x, str) else x for x in (n, d))
     return F.round(F.when(d > 0, n.cast("double") / d.cast("double")), digits)
 
-
-def average_rank(order: Column, *by: str) -> Column:
-    """Rank with ties averaged, as pandas' rank(): within ``by``, ascending."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(w.partitionBy(*by, order)) - 1) / F.lit(2.0)
-
-
-def percent_rank_avg(order: Column, *by: str) -> Column:
-    """Average rank divided by the group's size, as pandas' rank(pct=True)."""
-    return average_rank(order, *by) / F.count(F.lit(1)).over(Window.partitionBy(*by))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowquarry.operators.edges import incidence, no_self, ratio
+from flowquarry.operators.skew import top_k
 
 KEY = ["time_key", "node"]
 
@@ -62,25 +63,25 @@ def flow_variants(edges: DataFrame) -> DataFrame:
     )
 
 
-def concentration(edges: DataFrame) -> DataFrame:
-    """For each side: HHI, largest and three largest counterparties' shares, entropy (nats) and disparity; null for an empty side."""
-    inc = incidence(edges)
-    by = Window.partitionBy(*KEY, "dir")
-    ranked = inc.select(*KEY, "dir", "cents", F.sum("cents").over(by).alias("total"), F.row_number().over(by.orderBy(F.desc("cents"), "cp")).alias("k"))
-    p = F.when(F.col("total") > 0, F.col("cents") / F.col("total"))
-
-    def of(d: str, x):
-        return F.when(F.col("dir") == d, x)
-
-    def agg(d: str):
-        return [
-            F.round(F.sum(of(d, p * p)), 6).alias(f"hhi_{d}"),
-            F.round(F.max(of(d, p)), 6).alias(f"top1_{d}"),
-            F.round(F.sum(of(d, F.when(F.col("k") <= 3, p))), 6).alias(f"top3_{d}"),
-            F.round(-F.sum(of(d, F.when(p > 0, p * F.log(p)).otherwise(F.when(p == 0, 0.0)))), 6).alias(f"entropy_{d}"),
-        ]
+def concentration(edges: DataFrame, salts: int = 16) -> DataFrame:
+    """For each side: HHI, largest and three largest counterparties' shares, entropy (nats); null for an empty side or one without amount.
 
-    return ranked.groupBy(*KEY).agg(*agg("in"), *agg("out"))
+    All but the three largest come from sums that combine before the shuffle. The three largest are first taken within salts of the counterparty, so a hub's
+    edges are never ranked in one task.
+    """
+    inc = incidence(edges)
+    c = F.col("cents").cast("double")
+    sums = inc.groupBy(*KEY, "dir").agg(F.sum("cents").alias("s"), F.sum(c * c).alias("ss"), F.max("cents").alias("top"), F.sum(F.when(c > 0, c * F.log(c)).otherwise(0.0)).alias("cl"))
+    best = top_k(inc.select(*KEY, "dir", "cp", "cents"), [*KEY, "dir"], [F.desc("cents"), F.col("cp")], 3, "cp", salts).groupBy(*KEY, "dir").agg(F.sum("cents").alias("top3"))
+    s = F.col("s").cast("double")
+    some = F.col("s") > 0
+    x = sums.join(best, [*KEY, "dir"]).select(
+        *KEY, "dir",
+        F.round(F.when(some, F.col("ss") / (s * s)), 6).alias("hhi"), F.round(F.when(some, F.col("top") / s), 6).alias("top1"), F.round(F.when(some, F.col("top3") / s), 6).alias("top3"),
+        F.round(F.when(some, F.greatest(F.lit(0.0), F.log(s) - F.col("cl") / s)), 6).alias("entropy"),
+    )
+    names = ("hhi", "top1", "top3", "entropy")
+    return x.groupBy(*KEY).agg(*[F.max(F.when(F.col("dir") == d, F.col(n))).alias(f"{n}_{d}") for d in ("in", "out") for n in names])
 
 
 def dyads(edges: DataFrame, keys: tuple[str, ...] = ("time_key",)) -> DataFrame:
@@ -120,9 +121,9 @@ def participation(edges: DataFrame, partition: DataFrame, unknown: str = "NA") -
     inc = inc.withColumns({"g": F.coalesce("g", F.lit(unknown)), "h": F.coalesce("h", F.lit(unknown))})
     per = inc.groupBy(*KEY, "g", "h").agg(F.count(F.lit(1)).alias("k"))
     node = per.groupBy(*KEY, "g").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.sum(F.when(F.col("g") == F.col("h"), F.col("k")).otherwise(0)).alias("ki"))
-    w = Window.partitionBy("time_key", "g")
-    sd = F.stddev_samp("ki").over(w)
-    z = F.when(sd > 0, (F.col("ki") - F.avg("ki").over(w)) / sd).otherwise(0.0)
+    spread = node.groupBy("time_key", "g").agg(F.avg("ki").alias("mean"), F.stddev_samp("ki").alias("sd"))
+    node = node.join(spread, ["time_key", "g"])
+    z = F.when(F.col("sd") > 0, (F.col("ki") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     out = node.select(*KEY, F.round(F.lit(1.0) - F.col("kk") / (F.col("k") * F.col("k")), 6).alias("participation_coef"), F.round(z, 6).alias("within_module_z"))
     c, hub = F.col("participation_coef"), F.col("within_module_z") >= 2.5
     role = F.when(hub, F.when(c <= 0.30, "R5").when(c <= 0.75, "R6").otherwise("R7")).otherwise(F.when(c <= 0.05, "R1").when(c <= 0.62, "R2").when(c <= 0.80, "R3").otherwise("R4"))

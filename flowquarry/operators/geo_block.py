@@ -86,6 +86,8 @@ def reach(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Per node and month: mean and the 50th and 90th percentile of the distance to its counterparties, by amount."""
     n = near(edges, points).filter("lat is not null and own_lat is not null and cents > 0")
     n = n.withColumn("km", F.round(haversine_km(F.col("own_lat"), F.col("own_lon"), F.col("lat"), F.col("lon")), 3))
+    # Amounts are summed by distance first, so a window holds different distances, not a hub's edges.
+    n = n.groupBy(*KEY, "km").agg(F.sum("cents").alias("cents"))
     _, p50 = weighted_percentile(F.col("km"), F.col("cents"), 0.5, *KEY)
     _, p90 = weighted_percentile(F.col("km"), F.col("cents"), 0.9, *KEY)
     n = n.select(*KEY, "cents", "km", p50.alias("a"), p90.alias("b"))
@@ -102,8 +104,8 @@ def leave_one_out(edges: DataFrame, points: DataFrame, least: int = 2) -> DataFr
     n = near(edges, points).filter("lat is not null").groupBy("node", "cp", "lat", "lon").agg(F.sum("cents").alias("cents"))
     x, y, z = unit_vector(F.col("lat"), F.col("lon"))
     n = n.select("node", "cp", "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"))
-    w = Window.partitionBy("node")
-    rest = n.select("node", "cp", "lat", "lon", (F.count(F.lit(1)).over(w) - 1).alias("n_left"), *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in ("x", "y", "z")])
+    total = n.groupBy("node").agg(F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(f"s{c}") for c in ("x", "y", "z")])
+    rest = n.join(total, "node").select("node", "cp", "lat", "lon", (F.col("k") - 1).alias("n_left"), *[(F.col(f"s{c}") - F.col(c)).alias(c) for c in ("x", "y", "z")])
     lat, lon = centre_of(F.col("x"), F.col("y"), F.col("z"))
     return rest.filter(F.col("n_left") >= least).select("node", "cp", "n_left", F.round(haversine_km(F.col("lat"), F.col("lon"), lat, lon), 2).alias("error_km"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowquarry.functions.ranks import top_sum, value_ranks
 from flowquarry.operators.edges import incidence, ratio
 from flowquarry.operators.flow import dyads
 
@@ -58,37 +59,38 @@ def strength_degree_beta(edges: DataFrame) -> DataFrame:
 
 def gini(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n_positive, gini) over values above 0. The rank comes from sums over value groups, so equal values need no order."""
-    per = df.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("upto", F.sum("n").over(w))
-    # The ranks of n equal values ending at rank u sum to n * u - n (n - 1) / 2.
-    weighted = F.col("n") * F.col("upto") - F.col("n") * (F.col("n") - 1) / F.lit(2.0)
+    r = value_ranks(df.filter(F.col(value) > 0).select(*keys, value), keys, value)
+    # Equal values take the ranks before + 1 .. before + n, which sum to n * before + n (n + 1) / 2.
+    weighted = (F.col("n") * F.col("before") + F.col("n") * (F.col("n") + 1) / F.lit(2.0)) * F.col(value)
     n, s = F.sum("n"), F.sum(F.col("n") * F.col(value)).cast("double")
-    return per.groupBy(*keys).agg(n.alias("n_positive"), F.round((2 * F.sum(weighted * F.col(value)) - (n + 1) * s) / (n * s), 6).alias("gini"))
+    return r.groupBy(*keys).agg(n.alias("n_positive"), F.round((2 * F.sum(weighted) - (n + 1) * s) / (n * s), 6).alias("gini"))
 
 
 def tail_stats(df: DataFrame, keys: list[str], value: str, tail: float = 0.05, least: int = 10, top: float = 0.001) -> DataFrame:
     """(keys, hill_alpha, top_share): Hill index over the largest max(floor(tail n), least) positive values, and the share of the largest ceil(top n)."""
-    n = df.filter(F.col(value) > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("__total"))
-    n = n.withColumns({"k": F.least(F.greatest(F.floor(F.col("n") * tail), F.lit(least)), F.col("n")), "m": F.greatest(F.ceil(F.col("n") * top), F.lit(1))})
-    w = Window.partitionBy(*keys).orderBy(F.desc(value))
-    ranked = df.filter(F.col(value) > 0).select(*keys, value, F.row_number().over(w).alias("r")).join(n, keys).filter((F.col("r") <= F.col("k")) | (F.col("r") <= F.col("m")))
-    least_x = F.min(F.when(F.col("r") <= F.col("k"), F.col(value)))
-    logs = F.sum(F.when(F.col("r") <= F.col("k"), F.log(value)))
-    mean = logs / F.max("k") - F.log(least_x)
-    return ranked.groupBy(*keys).agg(F.round(F.when(mean > 1e-12, 1 / mean), 4).alias("hill_alpha"), ratio(F.sum(F.when(F.col("r") <= F.col("m"), F.col(value)).otherwise(0)), F.max("__total")).alias("top_share"))
+    r = value_ranks(df.filter(F.col(value) > 0).select(*keys, value), keys, value)
+    k = F.least(F.greatest(F.floor(F.col("total") * tail), F.lit(least)), F.col("total"))
+    above = F.col("total") - F.col("before") - F.col("n")
+    took = F.greatest(F.lit(0), F.least(F.col("n"), k - above))
+    least_x = F.min(F.when(took > 0, F.col(value)))
+    mean = F.sum(took * F.log(value)) / F.max(k) - F.log(least_x)
+    most = F.greatest(F.ceil(F.col("total") * top), F.lit(1))
+    return r.groupBy(*keys).agg(F.round(F.when(mean > 1e-12, 1 / mean), 4).alias("hill_alpha"), ratio(top_sum(r, keys, value, most), F.sum(F.col("n") * F.col(value))).alias("top_share"))
 
 
 def rich_club(edges: DataFrame, share: float) -> DataFrame:
     """Per month: amount among the max(floor(share N), 2) strongest nodes over that of as many of the largest edges, and the amounts inside and touching the club."""
     s = incidence(edges).groupBy("time_key", "node").agg(F.sum("cents").alias("s"))
-    n = s.groupBy("time_key").agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(2)).alias("k"))
-    w = Window.partitionBy("time_key").orderBy(F.desc("s"), "node")
-    rich = s.withColumn("r", F.row_number().over(w)).join(n, "time_key").filter("r <= k").select("time_key", "node", F.lit(1).alias("rich"))
+    r = value_ranks(s, ["time_key"], "s").withColumn("k", F.greatest(F.floor(F.col("total") * share), F.lit(2))).withColumn("above", F.col("total") - F.col("before") - F.col("n"))
+    edge = s.join(r.filter("above < k").select("time_key", "s", "n", "k", "above"), ["time_key", "s"])
+    # Nodes strictly above the edge are in; of those level with it, the first by name.
+    tied = edge.filter("above + n > k").withColumn("r", F.row_number().over(Window.partitionBy("time_key").orderBy("node"))).filter("above + r <= k")
+    rich = edge.filter("above + n <= k").select("time_key", "node").unionByName(tied.select("time_key", "node")).withColumn("rich", F.lit(1))
     e = edges.join(rich.select("time_key", F.col("node").alias("source"), F.col("rich").alias("rs")), ["time_key", "source"], "left").join(rich.select("time_key", F.col("node").alias("dest"), F.col("rich").alias("rd")), ["time_key", "dest"], "left")
     inside, touched = F.col("rs").isNotNull() & F.col("rd").isNotNull(), F.col("rs").isNotNull() | F.col("rd").isNotNull()
     club = e.groupBy("time_key").agg(F.count_if(inside).alias("n_in"), F.sum(F.when(inside, F.col("cents")).otherwise(0)).alias("in_cents"), F.sum(F.when(touched, F.col("cents")).otherwise(0)).alias("touched_cents"), F.sum("cents").alias("all_cents"))
-    big = edges.select("time_key", "cents", F.row_number().over(Window.partitionBy("time_key").orderBy(F.desc("cents"))).alias("r")).join(club.select("time_key", "n_in"), "time_key").filter("r <= n_in").groupBy("time_key").agg(F.sum("cents").alias("best"))
+    ranks = value_ranks(edges.select("time_key", "cents"), ["time_key"], "cents").join(club.select("time_key", "n_in"), "time_key")
+    big = ranks.groupBy("time_key").agg(top_sum(ranks, ["time_key"], "cents", F.col("n_in")).alias("best"))
     return club.join(big, "time_key", "left").select("time_key", "n_in", ratio("in_cents", "best").alias("rich_club"), ratio("in_cents", "all_cents").alias("inside_share"), ratio("touched_cents", "all_cents").alias("touched_share"))
 
 
@@ -191,7 +193,8 @@ def partition_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     n = F.col("n")
     cells = cell.agg(F.sum("n").alias("t"), h(n).alias("hab"), F.sum(c2(n)).alias("cab"))
     side = lambda k: cell.groupBy(k).agg(F.sum("n").alias("n")).agg(h(n).alias(f"h{k}"), F.sum(c2(n)).alias(f"c{k}"))
-    x = cells.join(F.broadcast(side("a"))).join(F.broadcast(side("b")))
+    one = lambda k: side(k).agg(F.first(F.struct(f"h{k}", f"c{k}"))).scalar()
+    x = cells.withColumns({"__a": one("a"), "__b": one("b")}).select("*", "__a.*", "__b.*")
     t = F.col("t").cast("double")
     ha, hb, hab = (F.log(t) - F.col(c) / t for c in ("ha", "hb", "hab"))
     mi = ha + hb - hab

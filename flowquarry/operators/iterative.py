@@ -198,7 +198,8 @@ def constraint(links: DataFrame, digits: int = 6) -> DataFrame:
     """(node, constraint): Burt's, on symmetrised weights: sum over neighbours j of (p_ij + sum_q p_iq p_qj)^2. Paths end at direct neighbours, so they are triangles."""
     both = links.filter("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x"), "w").select("x.src", "x.dst", "w")
     s = both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    p = cut(s.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("p")), "shares")
+    total = s.groupBy("src").agg(F.sum("w").alias("total"))
+    p = cut(s.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "shares")
     a, b = p.select(F.col("src").alias("i"), F.col("dst").alias("q"), F.col("p").alias("p1")), p.select(F.col("src").alias("q"), F.col("dst").alias("j"), F.col("p").alias("p2"))
     direct = p.select(F.col("src").alias("i"), F.col("dst").alias("j"), "p")
     # Closing at the neighbours first keeps to triangles: i-j and i-q are links of i, q-j a third one.
@@ -278,8 +279,9 @@ def trophic_levels(links: DataFrame, rounds: int = 60, tol: float = 1e-6) -> Dat
         x = y.withColumn("p", F.col("r") / F.col("u") + F.lit(new / rz) * F.col("p"))
         rz = new
     out = comp.join(x.select("node", "h"), "node", "left").select("node", "component", F.coalesce("h", F.lit(0.0)).alias("h"))
-    low = F.min("h").over(Window.partitionBy("component"))
-    return out.select("node", "component", F.round(F.col("h") - low, 4).alias("level"))
+    out = cut(out, "levels")
+    low = out.groupBy("component").agg(F.min("h").alias("low"))
+    return out.join(low, "component").select("node", "component", F.round(F.col("h") - F.col("low"), 4).alias("level"))
 
 
 def trophic_incoherence(links: DataFrame, levels: DataFrame) -> DataFrame:

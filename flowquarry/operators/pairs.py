@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.operators.edges import incidence, no_self, ratio
+from flowquarry.operators.skew import top_k
 
 
 def select_seeds(parties: DataFrame, prefixes: list[str], name_pattern: str, exclude_pattern: str | None = None) -> DataFrame:
@@ -115,10 +116,8 @@ def sector_profile(edges: DataFrame, seeds: DataFrame, sector: DataFrame) -> Dat
 
 def capped_edges(edges: DataFrame, most: int) -> DataFrame:
     """For drawing: at most ``most`` of the largest edges at each paying node, over the window."""
-    from pyspark.sql.window import Window
-
     s = edges.groupBy("source", "dest").agg(F.sum("cents").alias("cents"))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("cents"), "dest"))).filter(F.col("k") <= most).drop("k")
+    return top_k(s, ["source"], [F.desc("cents"), F.col("dest")], most, "dest")
 
 
 def node_budget(pairs: DataFrame, budget: int, order: list[Column]) -> list[tuple[str, str]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowquarry.functions.cleaning import month_index
-from flowquarry.operators.edges import percent_rank_avg
+from flowquarry.functions.ranks import with_average_rank
 
 
 def melt(wide: DataFrame, key: str, prefix: str = "bal_") -> DataFrame:
@@ -132,14 +132,16 @@ def peer_percentiles(metrics: DataFrame, by: list[str], levels: list[str], value
     """Adds peer_level, peer_key and pct_<value>: rank among the rows that choose the same peer group, the finest of ``levels`` with at least ``least`` rows; null without one."""
     m = metrics
     for lv in levels:
-        m = m.withColumn(f"__n_{lv}", F.when(F.col(lv).isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*by, lv))))
+        sizes = metrics.filter(F.col(lv).isNotNull()).groupBy(*by, lv).agg(F.count(F.lit(1)).alias(f"__n_{lv}"))
+        m = m.join(sizes, [*by, lv], "left")
     level, key = F.lit(None).cast("string"), F.lit(None).cast("string")
     for lv in reversed(levels):
         big = F.col(f"__n_{lv}") >= least
         level, key = F.when(big, F.lit(lv)).otherwise(level), F.when(big, F.col(lv)).otherwise(key)
     m = m.withColumn("peer_level", level).withColumn("peer_key", key)
     group = [*by, "peer_level", "peer_key"]
-    m = m.withColumns({f"pct_{v}": F.when(F.col("peer_level").isNotNull() & F.col(v).isNotNull(), F.round(percent_rank_avg(F.col(v), *group), 6)) for v in values})
+    for v in values:
+        m = with_average_rank(m, group, v, "__r", "__p").withColumn(f"pct_{v}", F.when(F.col("peer_level").isNotNull(), F.round("__p", 6))).drop("__r", "__p")
     return m.drop(*[f"__n_{lv}" for lv in levels])
 
 

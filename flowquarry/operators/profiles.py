@@ -70,10 +70,9 @@ def common_mode(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def cosine_pairs_to(reference: DataFrame, df: DataFrame, key: str, vector: str) -> DataFrame:
     """Each row's cosine to one reference vector."""
-    ref = reference.select(F.col(vector).alias("__v"))
     dot = F.aggregate(F.zip_with(vector, "__v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda acc, x: acc + x))
-    return df.join(F.broadcast(ref)).select(key, F.round(dot / (norm(vector) * norm("__v")), 6).alias("cosine"))
+    return df.withColumn("__v", reference.agg(F.first(vector)).scalar()).select(key, F.round(dot / (norm(vector) * norm("__v")), 6).alias("cosine"))
 
 
 def neighbours_jaccard(links: DataFrame, pairs: DataFrame) -> DataFrame:

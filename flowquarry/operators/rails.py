@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowquarry.functions.ranks import value_ranks
 from flowquarry.operators.edges import ratio
+from flowquarry.operators.skew import top_k
 
 
 def rail_mix(flows: DataFrame, rails: list[str]) -> DataFrame:
@@ -18,7 +20,7 @@ def rail_mix(flows: DataFrame, rails: list[str]) -> DataFrame:
 def top_partners(flows: DataFrame, n: int = 5) -> DataFrame:
     """The n largest partners of each focal node; ties by name."""
     s = flows.groupBy("focal", "other").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("focal").orderBy(F.desc("cents"), "other"))).filter(F.col("k") <= n)
+    return top_k(s, ["focal"], [F.desc("cents"), F.col("other")], n, "other", rank="k")
 
 
 def rail_behaviour(flows: DataFrame) -> DataFrame:
@@ -28,9 +30,8 @@ def rail_behaviour(flows: DataFrame) -> DataFrame:
     s = s.withColumn("p", p)
     d = s.groupBy("focal").agg(F.round(F.sum(F.col("p") * F.col("p")), 6).alias("rail_hhi"), F.min_by("rail", F.struct(-F.col("c"), F.col("rail"))).alias("dominant_rail"), F.round(F.max("p"), 6).alias("dominant_share"))
     months = flows.groupBy("focal").agg(F.count_distinct("time_key").alias("active_months"))
-    w = Window.partitionBy("dominant_rail")
-    below = F.rank().over(w.orderBy("dominant_share")) - 1
-    return d.join(months, "focal").withColumn("peer_pct", F.round(below / F.count(F.lit(1)).over(w), 6))
+    below = value_ranks(d, ["dominant_rail"], "dominant_share").select("dominant_rail", "dominant_share", F.round(F.col("before") / F.col("total"), 6).alias("peer_pct"))
+    return d.join(months, "focal").join(below, ["dominant_rail", "dominant_share"])
 
 
 def rail_shifts(flows: DataFrame, least: int = 3) -> DataFrame:
@@ -49,8 +50,8 @@ def rail_drift(flows: DataFrame, rails: list[str]) -> DataFrame:
     m = flows.select("focal", "rail", "cents", (F.col("time_key") == F.min("time_key").over(w)).alias("f"), (F.col("time_key") == F.max("time_key").over(w)).alias("l"))
     s = lambda r, c: F.sum(F.when((F.col("rail") == r) & c, F.col("cents")).otherwise(0)).cast("double")
     per = m.groupBy("focal").agg(*[s(r, F.col("f")).alias(f"f{i}") for i, r in enumerate(rails)], *[s(r, F.col("l")).alias(f"l{i}") for i, r in enumerate(rails)], *[s(r, F.lit(True)).alias(f"t{i}") for i, r in enumerate(rails)])
-    whole = flows.groupBy().agg(*[F.sum(F.when(F.col("rail") == r, F.col("cents")).otherwise(0)).cast("double").alias(f"w{i}") for i, r in enumerate(rails)])
-    j = per.join(F.broadcast(whole))
+    whole = flows.agg(F.struct(*[F.sum(F.when(F.col("rail") == r, F.col("cents")).otherwise(0)).cast("double").alias(f"w{i}") for i, r in enumerate(rails)])).scalar()
+    j = per.withColumn("__w", whole).select("*", "__w.*")
 
     def dist(a: str, b: str):
         dot = sum((F.col(f"{a}{i}") * F.col(f"{b}{i}") for i in range(len(rails))), F.lit(0.0))

@@ -143,3 +143,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], most: int =
     every = F.array(*[F.lit(i) for i in range(salts)])
     left_ = left.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))).drop("__hot")
     return left_.join(r, [*keys, "__salt"]).drop("__salt")
+
+
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salt: str, salts: int = 16, rank: str | None = None) -> DataFrame:
+    """The k first rows of each key. They are first taken within salts of ``salt``, so the rows of a hot key are never sorted in one task; ``order`` should be total."""
+    from pyspark.sql.window import Window
+
+    within = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    some = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts))).withColumn("__k", F.row_number().over(within)).filter(F.col("__k") <= k)
+    out = some.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__k") <= k).drop("__salt")
+    return out.withColumnRenamed("__k", rank) if rank else out.drop("__k")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowquarry.functions.cleaning import canonical_id, day_date, month_key, sql_day, sql_id, sql_month
+from flowquarry.functions.ranks import with_average_rank
 from flowquarry.operators import edges as eg
 from flowquarry.operators import geo_block as gb
 from flowquarry.operators import iterative as it
@@ -367,7 +368,7 @@ def w02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w07_rank_pct", "WITH r AS (SELECT o_orderkey, (rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER (PARTITION BY o_orderpriority) AS p FROM orders) SELECT o_orderkey, round(p, 6) AS pct FROM r")
 def w07(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", F.round(eg.percent_rank_avg(F.col("o_totalprice"), "o_orderpriority"), 6).alias("pct"))
+    return with_average_rank(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "r", "p").select("o_orderkey", F.round("p", 6).alias("pct"))
 
 
 @query("w17_hash_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k FROM orders")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.functions.ranks import with_average_rank
 from flowquarry.operators import edges as eg
 from flowquarry.operators import flow
 from flowquarry.operators import graph as gr
@@ -364,7 +365,7 @@ def n19(spark: SparkSession, d: str) -> DataFrame:
 )
 def n35(spark: SparkSession, d: str) -> DataFrame:
     s = eg.incidence(edges(spark, d)).groupBy("time_key", "node").agg(F.sum("cents").alias("x"))
-    return s.select("time_key", "node", F.round(eg.percent_rank_avg(F.col("x"), "time_key"), 6).alias("strength_pct"))
+    return with_average_rank(s, ["time_key"], "x", "r", "p").select("time_key", "node", F.round("p", 6).alias("strength_pct"))
 
 
 @query("c10_components", W.replace("WITH eraw", "WITH RECURSIVE eraw", 1) + ", rc(node, label) AS (SELECT node, node FROM nd UNION SELECT ud.dst, rc.label FROM rc JOIN ud ON ud.src = rc.node WHERE rc.label < ud.dst) SELECT node, min(label) AS component FROM rc GROUP BY node")

@@ -244,3 +244,29 @@ def test_flow_identities(spark, data):
     assert n["V0"] == len(unique) >= n.get("P90", 0) >= n.get("P50", 0)
     both = tm.relationship_memory(e).groupBy("time_key").agg(F.count(F.lit(1)).alias("n")).collect()
     assert sum(r["n"] for r in both) == len(unique)
+
+
+def test_ranks_of_any_size(spark):
+    from flowquarry.functions.ranks import top_sum, value_ranks, with_average_rank
+    from flowquarry.operators.skew import top_k
+
+    rng = random.Random(9)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, -3.5, 7.0, rng.uniform(-1e6, 1e6), rng.uniform(0, 1)])) for _ in range(600)] + [("hot", 1.0)] * 50
+    df = spark.createDataFrame(data, "g string, x double")
+    got = with_average_rank(df, ["g"], "x", "r", "p").collect()
+    assert len(got) == len(data)
+    for g in ("a", "b", None, "hot"):
+        v = [x for k, x in data if k == g and x is not None]
+        for r in got:
+            if r["g"] == g and r["x"] is not None:
+                want = sum(y < r["x"] for y in v) + (sum(y == r["x"] for y in v) + 1) / 2
+                assert r["r"] == want and r["p"] == pytest.approx(want / len(v))
+            elif r["x"] is None:
+                assert r["r"] is None
+    ranks = value_ranks(df.filter("x > 0"), ["g"], "x")
+    for r in ranks.groupBy("g").agg(top_sum(ranks, ["g"], "x", F.lit(17)).alias("s")).collect():
+        assert r["s"] == pytest.approx(sum(sorted((x for k, x in data if k == r["g"] and x and x > 0), reverse=True)[:17]))
+    k = df.filter("g is not null and x is not null").withColumn("id", F.monotonically_increasing_id())
+    best = top_k(k, ["g"], [F.desc("x"), F.col("id")], 5, "id", salts=3, rank="k").collect()
+    for g in ("a", "b", "hot"):
+        assert [r["x"] for r in sorted((r for r in best if r["g"] == g), key=lambda r: r["k"])] == sorted((x for m, x in data if m == g and x is not None), reverse=True)[:5]
