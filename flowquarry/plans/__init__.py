@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("problems", "flow", "temporal", "graph", "geography", "panels", "relations", "basics")
+MODULES = ("problems", "flow", "temporal", "graph", "geography", "panels", "relations", "basics", "studies")
 
 
 def load_registry():
