@@ -77,7 +77,9 @@ def near_pairs(points: DataFrame, radius_km: float, key: str = "node", lat: str
     linked = met.filter(ordered).select("lat_a", "lon_a", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), km.alias("km")).filter(F.col("km") <= radius_km)
     a = rows.select(F.col("k").alias("k_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
     b = rows.select(F.col("k").alias("k_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    pairs = linked.join(a, ["lat_a", "lon_a"]).join(b, ["lat_b", "lon_b"]).filter("k_a <> k_b")
+    # Within one place each pair comes once; between two places the keys may stand in either order.
+    one = (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))
+    pairs = linked.join(a, ["lat_a", "lon_a"]).join(b, ["lat_b", "lon_b"]).filter((F.col("k_a") < F.col("k_b")) | (~one & (F.col("k_a") > F.col("k_b"))))
     pairs = pairs.select(F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"), "km")
     return pairs.groupBy("key_a", "key_b").agg(F.min("km").alias("km"))
 

@@ -24,11 +24,11 @@ def validity_intervals(rows: DataFrame, keys: list[str], period: str, row_hash:
 
     A key has at most one row a snapshot, so no window partition is long. Ranks count from 1 in the order of delivery.
     """
-    ranked = rows.select(*keys, F.array_position(periods, F.col(period)).cast("int").alias("r"), row_hash.alias("h"))
-    w = Window.partitionBy(*keys).orderBy("r")
-    fresh = F.coalesce((F.lag("r").over(w) != F.col("r") - 1) | ~F.lag("h").over(w).eqNullSafe(F.col("h")), F.lit(True))
-    marked = ranked.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(w))
-    return marked.groupBy(*keys, "island").agg(F.min("r").alias("start_r"), F.max("r").alias("end_r"))
+    ranked = rows.select(*keys, F.array_position(periods, F.col(period)).cast("int").alias("__r"), row_hash.alias("__h"))
+    w = Window.partitionBy(*keys).orderBy("__r")
+    fresh = F.coalesce((F.lag("__r").over(w) != F.col("__r") - 1) | ~F.lag("__h").over(w).eqNullSafe(F.col("__h")), F.lit(True))
+    marked = ranked.withColumn("__fresh", fresh.cast("int")).withColumn("__island", F.sum("__fresh").over(w))
+    return marked.groupBy(*keys, "__island").agg(F.min("__r").alias("start_r"), F.max("__r").alias("end_r")).drop("__island")
 
 
 def change_events(intervals: DataFrame, keys: list[str], periods: Column) -> DataFrame:

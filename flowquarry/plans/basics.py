@@ -42,10 +42,10 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return rd.top_nodes(m.filter("node is not null"), "strength", 50)
 
 
-@query("s05_aliases", f"SELECT {sql_id('node')} AS mdm_id, cust_name AS customer_name, CAST(NULL AS VARCHAR) AS naics_desc FROM customers")
+@query("s05_aliases", f"SELECT {sql_id('node')} AS party_id, cust_name AS customer_name, CAST(NULL AS VARCHAR) AS naics_desc FROM customers")
 def s05(spark: SparkSession, d: str) -> DataFrame:
-    c = rd.with_aliases(table(spark, d, "customers"), {"mdm_id": ["node"], "customer_name": ["cust_name", "name"], "naics_desc": ["naics_description"]}, optional=["naics_desc"])
-    return c.withColumn("mdm_id", canonical_id("mdm_id"))
+    c = rd.with_aliases(table(spark, d, "customers"), {"party_id": ["node"], "customer_name": ["cust_name", "name"], "naics_desc": ["naics_description"]}, optional=["naics_desc"])
+    return c.withColumn("party_id", canonical_id("party_id"))
 
 
 # ---- cleaning

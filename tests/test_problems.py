@@ -182,6 +182,9 @@ def test_change_events(spark):
     iv = snapshots.validity_intervals(df, ["k"], "p", F.xxhash64("v"), periods)
     got = rows(snapshots.change_events(iv, ["k"], periods))
     assert got == [("b", "02", "changed"), ("c", "02", "added"), ("c", "04", "removed"), ("d", "02", "removed"), ("d", "04", "added"), ("e", "04", "added"), ("f", "02", "changed")]
+    named = df.withColumnsRenamed({"k": "r"})
+    again = snapshots.change_events(snapshots.validity_intervals(named, ["r"], "p", F.xxhash64("v"), periods), ["r"], periods)
+    assert rows(again) == got
     e = df.limit(0)
     assert snapshots.change_events(snapshots.validity_intervals(e, ["k"], "p", F.xxhash64("v"), snapshots.snapshot_ranks(e, "p")), ["k"], snapshots.snapshot_ranks(e, "p")).count() == 0
 

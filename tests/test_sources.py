@@ -23,8 +23,8 @@ def test_monthly_csv(spark, tmp_path):
 
 
 def test_aliases_hazards_and_guards(spark):
-    df = spark.createDataFrame([(1, "n", 2108)], "MDM int, cust string, zip int")
-    got = rd.with_aliases(df, {"node": ["mdm_id", "mdm"], "name": ["cust"], "city": []}, optional=["city"])
+    df = spark.createDataFrame([(1, "n", 2108)], "PARTY int, cust string, zip int")
+    got = rd.with_aliases(df, {"node": ["party_id", "party"], "name": ["cust"], "city": []}, optional=["city"])
     assert got.columns == ["node", "name", "city"] and got.first()["city"] is None
     with pytest.raises(ValueError):
         rd.with_aliases(df, {"node": ["nope"]})
