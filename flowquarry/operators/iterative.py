@@ -384,3 +384,27 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
         front = cut(new.join(seen, "node", "left_anti").select("node", F.lit(h).alias("hop")), "hop")
         seen = seen.unionByName(front)
     return seen
+
+
+def modularity_moves(links: DataFrame, rounds: int = 12) -> DataFrame:
+    """(node, grp): one level of modularity optimisation on the undirected graph.
+
+    In each round, the half of the nodes that a hash picks move to the neighbouring group with the greatest gain, if that beats their own; halves keep neighbours from
+    trading places. Deterministic; the groups carry the name of the node that founded them.
+    """
+    both = links.filter("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x"), "w").select("x.src", "x.dst", "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    both = cut(both, "both").repartition("dst").persist()
+    degree = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "degree")
+    m2 = degree.agg(F.sum("k")).first()[0]
+    state = degree.select("node", "k", F.col("node").alias("grp"))
+    for i in range(rounds):
+        size = state.groupBy("grp").agg(F.sum("k").alias("tot"))
+        near = both.join(state.select(F.col("node").alias("dst"), "grp"), "dst").groupBy(F.col("src").alias("node"), "grp").agg(F.sum("w").alias("kin"))
+        options = near.unionByName(state.select("node", "grp", F.lit(0.0).alias("kin"))).groupBy("node", "grp").agg(F.sum("kin").alias("kin"))
+        own = state.select("node", "k", F.col("grp").alias("own"))
+        j = options.join(own, "node").join(size, "grp")
+        gain = F.round(F.col("kin") - F.col("k") * (F.col("tot") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0.0)) / m2, 9)
+        best = j.withColumn("gain", gain).groupBy("node", "k", "own").agg(F.min_by("grp", F.struct(-F.col("gain"), F.col("grp"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("grp") == F.col("own"), F.col("gain"))).alias("stay"))
+        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
+        state = cut(best.select("node", "k", F.when(turn & (F.col("top") > F.col("stay")), F.col("best")).otherwise(F.col("own")).alias("grp")), "groups")
+    return state.select("node", "grp")

@@ -415,3 +415,9 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
 def k16(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     return it.k_hop(e, top_seeds(it.window_links(e)), 2)
+
+
+@query("c13_modularity_moves")
+def c13m(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by one level of modularity moves; which of equal optima is found depends on hashes, so the tests check invariants."""
+    return it.modularity_moves(links(spark, d, log=True), 8)

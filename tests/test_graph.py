@@ -270,3 +270,26 @@ def test_ranks_of_any_size(spark):
     best = top_k(k, ["g"], [F.desc("x"), F.col("id")], 5, "id", salts=3, rank="k").collect()
     for g in ("a", "b", "hot"):
         assert [r["x"] for r in sorted((r for r in best if r["g"] == g), key=lambda r: r["k"])] == sorted((x for m, x in data if m == g and x is not None), reverse=True)[:5]
+
+
+def test_modularity_moves(spark):
+    rng = random.Random(3)
+    data = []
+    for block in range(4):
+        names = [f"b{block}n{i}" for i in range(8)]
+        data += [(a, b, 5.0) for a in names for b in names if a < b and rng.random() < 0.8]
+    data += [("b0n0", "b1n0", 1.0), ("b1n1", "b2n1", 1.0), ("b2n2", "b3n2", 1.0)]
+    links = spark.createDataFrame(data, "src string, dst string, w double")
+    part = as_dict(it.modularity_moves(links, 10))
+    m2 = 2 * sum(w for _, _, w in data)
+
+    def modularity(g):
+        tot = {}
+        for a, b, w in data:
+            tot[g[a]] = tot.get(g[a], 0) + w
+            tot[g[b]] = tot.get(g[b], 0) + w
+        return sum(2 * w for a, b, w in data if g[a] == g[b]) / m2 - sum((t / m2) ** 2 for t in tot.values())
+
+    assert set(part) == {x for a, b, _ in data for x in (a, b)}
+    assert modularity(part) > 0.8 * modularity({n: n[:2] for n in part})
+    assert as_dict(it.modularity_moves(links, 10)) == part
