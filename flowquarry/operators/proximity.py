@@ -2,7 +2,7 @@
 
 Points are hashed to grid cells sized by the radius; a point looks into its own cell and those around it, and what it
 meets is measured exactly. Cells are rows of equal latitude cut into cells of longitude; the number of cells in a row falls towards
-the poles, so a cell is never narrower than the radius.
+the poles, so a cell is never narrower than a few radii.
 """
 
 from __future__ import annotations
@@ -16,34 +16,37 @@ from flowquarry.functions.geo import EARTH_KM, haversine_km, point_in_polygon
 from flowquarry.operators.skew import salted_join
 
 
-def _bands(radius_km: float) -> tuple[float, int]:
-    """Height of a row in degrees, a little over the radius, and the number of rows."""
-    height = math.degrees(radius_km / EARTH_KM) * 1.000001
-    return height, max(1, math.ceil(180.0 / height))
+#: Cells are so many radii wide: a point then looks into two cells and a quarter on average, not into nine.
+WIDTH = 4.0
+
+
+def _bands(radius_km: float) -> tuple[float, float, int]:
+    """The radius in degrees of latitude, a little over it, the height of a row, and the number of rows."""
+    reach = math.degrees(radius_km / EARTH_KM) * 1.000001
+    return reach, reach * WIDTH, max(1, math.ceil(180.0 / (reach * WIDTH)))
 
 
 def _band(lat: Column, radius_km: float) -> Column:
-    height, n = _bands(radius_km)
-    return F.least(F.floor((lat + 90.0) / height), F.lit(n - 1)).cast("int")
+    _, height, n = _bands(radius_km)
+    return F.greatest(F.lit(0), F.least(F.floor((lat + 90.0) / height), F.lit(n - 1))).cast("int")
 
 
 def _reach(band: Column, radius_km: float) -> Column:
     """Degrees of longitude that the radius spans at most between points of which one lies in ``band``; 180 near a pole."""
-    height, _ = _bands(radius_km)
-    # Between two points of latitudes p, q the span obeys sin^2(span/2) cos p cos q <= sin^2(r/2R); q is a row further at most.
-    edge = F.least(F.lit(90.0), F.greatest(F.abs(band * height - 90.0), F.abs((band + 1) * height - 90.0)) + height)
+    reach, height, _ = _bands(radius_km)
+    # Between two points of latitudes p, q the span obeys sin^2(span/2) cos p cos q <= sin^2(r/2R); neither is further out than the row's edge and the radius.
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(band * height - 90.0), F.abs((band + 1) * height - 90.0)) + reach)
     c = F.cos(F.radians(edge))
     s = math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2))
     return F.when(c > s * 1.000001, F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(s) / c))) * 1.000001).otherwise(180.0)
 
 
 def _cells(band: Column, radius_km: float) -> Column:
-    return F.greatest(F.lit(1), F.floor(360.0 / _reach(band, radius_km))).cast("bigint")
+    return F.greatest(F.lit(1), F.floor(360.0 / (_reach(band, radius_km) * WIDTH))).cast("bigint")
 
 
-def _cell(band: Column, lon: Column, radius_km: float) -> Column:
-    n = _cells(band, radius_km)
-    return F.pmod(F.floor((lon + 180.0) * n / 360.0), n)
+def _at(lon: Column, n: Column) -> Column:
+    return F.floor((lon + 180.0) * n / 360.0)
 
 
 def near_pairs(points: DataFrame, radius_km: float, key: str = "node", lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -59,18 +62,14 @@ def near_pairs(points: DataFrame, radius_km: float, key: str = "node", lat: str
     rows = rows.select("k", (F.col("lat") + 0.0).alias("lat"), F.when(F.col("lon") == -180.0, 180.0).otherwise(F.col("lon") + 0.0).alias("lon"))
     places = rows.select("lat", "lon").distinct()
     here = places.select("lat", "lon", _band(F.col("lat"), radius_km).alias("band"))
-    home = here.select("lat", "lon", "band", _cell(F.col("band"), F.col("lon"), radius_km).alias("cell"))
-    _, n_bands = _bands(radius_km)
-    look = here.select(
-        F.col("lat").alias("lat_a"),
-        F.col("lon").alias("lon_a"),
-        F.explode(F.sequence(F.greatest(F.col("band") - 1, F.lit(0)), F.least(F.col("band") + 1, F.lit(n_bands - 1)))).alias("band"),
-    )
-    mid = _cell(F.col("band"), F.col("lon_a"), radius_km)
-    n = _cells(F.col("band"), radius_km)
-    # Cells are at least as wide as the reach, so one to either side is enough; a row of under 3 cells is taken whole.
-    around = F.array_distinct(F.array(F.pmod(mid - 1, n), mid, F.pmod(mid + 1, n)))
-    look = look.select("lat_a", "lon_a", "band", F.explode(around).alias("cell"))
+    home = here.withColumn("n", _cells(F.col("band"), radius_km)).select("lat", "lon", "band", F.pmod(_at(F.col("lon"), F.col("n")), F.col("n")).alias("cell"))
+    reach, _, _ = _bands(radius_km)
+    look = here.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.sequence(_band(F.col("lat") - reach, radius_km), _band(F.col("lat") + reach, radius_km))).alias("band"))
+    look = look.withColumns({"n": _cells(F.col("band"), radius_km), "far": _reach(F.col("band"), radius_km)})
+    first, last = _at(F.col("lon_a") - F.col("far"), F.col("n")), _at(F.col("lon_a") + F.col("far"), F.col("n"))
+    # A reach right round the row takes each of its cells once.
+    cells = F.transform(F.sequence(first, F.least(last, first + F.col("n") - 1)), lambda c: F.pmod(c, F.col("n")))
+    look = look.select("lat_a", "lon_a", "band", F.explode(cells).alias("cell"))
     met = salted_join(look, home, ["band", "cell"])
     km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon"))
     ordered = (F.col("lat_a") < F.col("lat")) | ((F.col("lat_a") == F.col("lat")) & (F.col("lon_a") <= F.col("lon")))
