@@ -448,7 +448,7 @@ def x02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x03_tumbling_windows", "SELECT event_type, CAST(time_bucket(INTERVAL 1 DAY, ts) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY ALL")
 def x03(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n")
+    return table(spark, d, "events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n")
 
 
 @query("k58_older_typing", f"WITH x AS (SELECT {sql_id('node')} AS node, arg_min(nullif(trim(naics_cd), ''), rec_id) AS c, arg_min(nullif(trim(party_type), ''), rec_id) AS p FROM customers GROUP BY 1) SELECT node, CASE WHEN {status_sql('c')} = 'valid' THEN 'business' WHEN p = 'P' THEN 'person' WHEN p = 'O' THEN 'business' ELSE 'unknown' END AS kind FROM x WHERE node IS NOT NULL")

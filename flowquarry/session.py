@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,14 +40,30 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     folder = spark.conf.get("spark.flowquarry.localFolder", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="flowquarry-")
+        own = tempfile.mkdtemp(prefix="flowquarry-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.flowquarry.localFolder", folder)
     return folder
 
 
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes the tables this process has cut. To be called when no result that reads them is still to come."""
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it again; the result survives lost executors."""
+    """Writes ``df`` as a table in the shared folder and reads it again; the result survives lost executors.
+
+    The table stays until ``drop_cuts``, as results that read it may still be lazy.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)

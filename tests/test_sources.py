@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowquarry.session import cut
+from flowquarry.session import cut, drop_cuts
 from flowquarry.sources import readers as rd
 from flowquarry.sources import writers as wr
 
@@ -75,3 +75,7 @@ def test_panel_source(spark, tmp_path):
 def test_cut_and_table(spark, tmp_path):
     df = spark.range(5).withColumn("x", F.lit("a"))
     assert cut(df).dtypes == df.dtypes and cut(df).count() == 5
+    kept = cut(df)
+    drop_cuts(spark)
+    with pytest.raises(Exception, match="exist|FAILED_READ|NOT_FOUND"):
+        kept.count()
