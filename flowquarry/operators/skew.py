@@ -91,7 +91,8 @@ def _large_frame(df: DataFrame, keys: list[str], plan: Fragments) -> DataFrame:
 
 def place(df: DataFrame, keys: list[str], spread: Column, plan: Fragments) -> DataFrame:
     """Adds ``__task`` and ``__shard``: the task of the row and, for large keys, the shard that ``spread`` picks (else -1)."""
-    tasks = F.array(*[F.lit(t) for t in plan.bucket_task])
+    # One constant however many tasks there are, not a literal for each bucket.
+    tasks = F.split(F.lit(",".join(map(str, plan.bucket_task))), ",").cast("array<int>")
     light = F.get(tasks, _bucket(keys, plan.buckets))
     if not plan.large:
         return df.withColumns({"__shard": F.lit(-1), "__task": light})
