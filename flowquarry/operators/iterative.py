@@ -6,6 +6,7 @@ by a table in the shared folder every ``EVERY`` steps, so a lost executor costs
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -214,17 +215,19 @@ def sample_nodes(links: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return nodes.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "node")), "node").limit(k)
 
 
-def distances(links: DataFrame, seeds: DataFrame, most: int = 30, hops: int | None = None) -> DataFrame:
-    """(seed, node, dist, paths): unweighted breadth-first levels from each seed along links, and the number of shortest paths."""
+def distances(links: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """(seed, node, dist, paths): unweighted breadth-first levels from each seed along links, and the number of shortest paths. Without ``hops`` it goes on until nothing new is reached."""
     e = links.select("src", "dst").distinct().repartition("src").persist()
     seen = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")), "levels")
     front = seen
-    for level in range(1, (hops or most) + 1):
+    for level in itertools.count(1) if hops is None else range(1, hops + 1):
         came = front.join(e, front["node"] == e["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         front = cut(came.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("dist"), "paths"), "levels")
         if not front.limit(1).collect():
             break
         seen = seen.unionByName(front)
+        if level % EVERY == 0:
+            seen = cut(seen, "seen")
     return seen
 
 
@@ -235,17 +238,19 @@ def betweenness(links: DataFrame, k: int = 128, seed: int = 0, digits: int = 6)
     d = cut(distances(e, cut(sample_nodes(links, k, seed), "sources")), "levels")
     deepest = d.agg(F.max("dist")).first()[0] or 0
     n_nodes = nodes.count()
-    dep = None
+    dep = add = None
     for level in range(deepest, 0, -1):
         low = d.filter(F.col("dist") == level)
-        if dep is not None:
-            low = low.join(dep.select("seed", "node", "delta"), ["seed", "node"], "left")
+        if add is not None:  # holds the nodes of this level
+            low = low.join(add, ["seed", "node"], "left")
         else:
             low = low.withColumn("delta", F.lit(0.0))
         coef = low.select("seed", F.col("node").alias("dst"), ((1 + F.coalesce("delta", F.lit(0.0))) / F.col("paths")).alias("c"))
         up = d.filter(F.col("dist") == level - 1).select("seed", F.col("node").alias("src"), F.col("paths").alias("p"))
         add = cut(coef.join(e, "dst").join(up, ["seed", "src"]).groupBy("seed", F.col("src").alias("node")).agg(F.sum(F.col("p") * F.col("c")).alias("delta")), "dependency")
         dep = add if dep is None else dep.unionByName(add)
+        if level % EVERY == 0:
+            dep = cut(dep, "dependency")
     if dep is None:
         return nodes.select("node", F.lit(0.0).alias("betweenness"))
     total = dep.filter("seed <> node").groupBy("node").agg(F.sum("delta").alias("b"))

@@ -312,7 +312,7 @@ def n12(spark: SparkSession, d: str) -> DataFrame:
 @query("n13_n20_betweenness")
 def n13(spark: SparkSession, d: str) -> DataFrame:
     e = links(spark, d)
-    b, t = cut(it.betweenness(e, 16), "betweenness"), cut(it.triangles(e), "triangles")
+    b, t = cut(it.betweenness(e), "betweenness"), cut(it.triangles(e), "triangles")
     # Bridging sets betweenness against clustering.
     return b.join(t.select("node", "clustering"), "node", "left").select("node", "betweenness", F.round(F.col("betweenness") / (F.coalesce("clustering", F.lit(0.0)) + 1e-6), 2).alias("bridging"))
 

@@ -138,6 +138,24 @@ def test_betweenness(links, net):
     assert got == pytest.approx(want, abs=1e-4)
 
 
+def test_betweenness_of_a_long_chain(spark):
+    n = 34
+    chain = spark.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}", 1.0) for i in range(n)], "src string, dst string, w double")
+    seed = spark.createDataFrame([("c00",)], "node string")
+    assert {r["node"]: r["dist"] for r in it.distances(chain, seed).collect()} == {f"c{i:02d}": i for i in range(n + 1)}
+    assert as_dict(it.betweenness(chain)) == {f"c{i:02d}": float(i * (n - i)) for i in range(n + 1)}
+
+
+def test_betweenness_query_samples_as_the_reference(spark, folder, monkeypatch):
+    from flowquarry.plans.graph import n13
+
+    asked = []
+    sample = it.sample_nodes
+    monkeypatch.setattr(it, "sample_nodes", lambda links, k, seed=0: (asked.append(k), sample(links, 2, seed))[1])
+    n13(spark, folder)
+    assert asked == [128]
+
+
 def test_trophic_levels(spark, links, net):
     got = {r["node"]: r["level"] for r in it.trophic_levels(links).collect()}
     nodes = sorted({x for e in net for x in e})
