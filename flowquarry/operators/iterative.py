@@ -50,8 +50,23 @@ def until_fixed(state: DataFrame, step: Callable[[DataFrame], DataFrame], change
     raise RuntimeError(f"{label} did not settle in {most} rounds")
 
 
-def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: DataFrame | None = None, digits: int = 9) -> DataFrame:
-    """(node, pagerank): weighted, directed, the mass of nodes without out-links spread as the teleport is. ``seeds`` (node) makes it personalised."""
+def gap(new: DataFrame, old: DataFrame, c: str) -> float:
+    """Largest change of ``c`` over the nodes."""
+    return new.select("node", c).join(old.select("node", F.col(c).alias("was")), "node").agg(F.max(F.abs(F.col(c) - F.col("was")))).first()[0] or 0.0
+
+
+def until_near(state: DataFrame, step: Callable[[DataFrame], DataFrame], c: str, tol: float, most: int, label: str) -> DataFrame:
+    """Steps until no node's ``c`` changes by more than ``tol``."""
+    state = cut(state, label)
+    for _ in range(most):
+        old, state = state, cut(step(state), label)
+        if gap(state, old, c) <= tol:
+            return state
+    raise RuntimeError(f"{label} did not come within {tol} in {most} rounds")
+
+
+def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: DataFrame | None = None, digits: int = 9, tol: float | None = None) -> DataFrame:
+    """(node, pagerank): weighted, directed, the mass of nodes without out-links spread as the teleport is. ``seeds`` (node) makes it personalised. With ``tol``, ``rounds`` is a bound."""
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     if seeds is None:
         base = nodes.withColumn("t", F.lit(1.0) / nodes.agg(F.count(F.lit(1))).scalar())
@@ -68,12 +83,13 @@ def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: D
         new = base.join(came, base["node"] == came["dst"], "left")
         return new.select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("in", F.lit(0.0)) + (1 - kept) * F.col("t"))).alias("r"))
 
-    rank = iterate(base.select("node", F.col("t").alias("r")), step, rounds, "rank", every=1)
+    first = base.select("node", F.col("t").alias("r"))
+    rank = iterate(first, step, rounds, "rank", every=1) if tol is None else until_near(first, step, "r", tol, rounds, "rank")
     return rank.select("node", F.round("r", digits).alias("pagerank"))
 
 
-def hits(links: DataFrame, rounds: int = 20, digits: int = 6) -> DataFrame:
-    """(node, hub, authority): weighted, each scaled to unit length every round."""
+def hits(links: DataFrame, rounds: int = 20, digits: int = 6, tol: float | None = None) -> DataFrame:
+    """(node, hub, authority): weighted, each scaled to unit length every round. With ``tol``, ``rounds`` is a bound."""
     nodes = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
 
     def unit(df: DataFrame, c: str) -> DataFrame:
@@ -83,15 +99,21 @@ def hits(links: DataFrame, rounds: int = 20, digits: int = 6) -> DataFrame:
     hub = nodes.withColumn("h", F.lit(1.0))
     auth = None
     for i in range(rounds):
+        was = hub, auth
         a = links.join(hub, links["src"] == hub["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("h")).alias("a"))
         auth = cut(unit(a, "a"), "authority")
         h = links.join(auth, links["dst"] == auth["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("a")).alias("h"))
         hub = cut(unit(h, "h"), "hub")
+        if tol is not None and i and gap(hub, was[0], "h") <= tol and gap(auth, was[1], "a") <= tol:
+            break
+    else:
+        if tol is not None:
+            raise RuntimeError(f"hits did not come within {tol} in {rounds} rounds")
     return nodes.join(hub, "node", "left").join(auth, "node", "left").select("node", F.round(F.coalesce("h", F.lit(0.0)), digits).alias("hub"), F.round(F.coalesce("a", F.lit(0.0)), digits).alias("authority"))
 
 
-def eigenvector(links: DataFrame, rounds: int = 20, digits: int = 6) -> DataFrame:
-    """(node, eigenvector) of the undirected graph plus the identity, which has the same vectors and converges on bipartite graphs too."""
+def eigenvector(links: DataFrame, rounds: int = 20, digits: int = 6, tol: float | None = None) -> DataFrame:
+    """(node, eigenvector) of the undirected graph plus the identity, which has the same vectors and converges on bipartite graphs too. With ``tol``, ``rounds`` is a bound."""
     u = undirected(links)
 
     def step(x: DataFrame) -> DataFrame:
@@ -101,13 +123,21 @@ def eigenvector(links: DataFrame, rounds: int = 20, digits: int = 6) -> DataFram
         return y.withColumn("x", F.col("x") / y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar())
 
     start = u.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    for _ in range(rounds):
-        start = step(start)
+    if tol is not None:
+        start = until_near(start, step, "x", tol, rounds, "eigenvector")
+    else:
+        for _ in range(rounds):
+            start = step(start)
     return start.select("node", F.round("x", digits).alias("eigenvector"))
 
 
-def katz(links: DataFrame, alpha: float, rounds: int = 20, digits: int = 6) -> DataFrame:
-    """(node, katz): x = 1 + alpha * sum of x over in-neighbours, directed and unweighted; alpha must lie below one over the largest eigenvalue."""
+def katz(links: DataFrame, alpha: float | None, rounds: int = 20, digits: int = 6, tol: float | None = None) -> DataFrame:
+    """(node, katz): x = 1 + alpha * sum of x over in-neighbours, directed and unweighted; alpha must lie below one over the largest eigenvalue.
+
+    Without ``alpha`` it is 0.85 over that eigenvalue (over 1 if there are no cycles). With ``tol``, ``rounds`` is a bound.
+    """
+    if alpha is None:
+        alpha = 0.85 / (spectral_radius(links, 50) or 1.0)
     nodes = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
     e = links.select("src", "dst").distinct()
 
@@ -115,7 +145,9 @@ def katz(links: DataFrame, alpha: float, rounds: int = 20, digits: int = 6) -> D
         came = e.join(x, e["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("y"))
         return nodes.join(came, "node", "left").select("node", (1 + alpha * F.coalesce("y", F.lit(0.0))).alias("x"))
 
-    return iterate(nodes.withColumn("x", F.lit(1.0)), step, rounds, "katz").select("node", F.round("x", digits).alias("katz"))
+    one = nodes.withColumn("x", F.lit(1.0))
+    x = iterate(one, step, rounds, "katz") if tol is None else until_near(one, step, "x", tol, rounds, "katz")
+    return x.select("node", F.round("x", digits).alias("katz"))
 
 
 def spectral_radius(links: DataFrame, rounds: int = 20) -> float:

@@ -51,6 +51,23 @@ def test_pagerank(links, net):
     assert got == pytest.approx(r, abs=1e-8) and sum(got.values()) == pytest.approx(1, abs=1e-6)
 
 
+def test_iterated_to_a_tolerance(spark):
+    net = {("a", "b"): 5.0, ("b", "a"): 4.0, ("a", "c"): 3.0, ("c", "a"): 2.0, ("b", "c"): 4.0, ("c", "b"): 5.0, ("a", "d"): 2.0}
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in net.items()], "src string, dst string, w double").coalesce(1)
+    w = np.zeros((4, 4))
+    for (a, b), v in net.items():
+        w["abcd".index(a), "abcd".index(b)] = v
+    h = {r["node"]: r for r in it.hits(links, 200, tol=1e-4).collect()}
+    u, _, vt = np.linalg.svd(w)
+    assert [h[n]["hub"] for n in "abcd"] == pytest.approx(list(np.abs(u[:, 0])), abs=1e-2) and [h[n]["authority"] for n in "abcd"] == pytest.approx(list(np.abs(vt[0])), abs=1e-2)
+    with pytest.raises(RuntimeError):
+        it.hits(links, 1, tol=1e-9)
+    one = (w > 0).astype(float)
+    alpha = 0.85 / max(abs(np.linalg.eigvals(one)))
+    k = as_dict(it.katz(links, None, 300, tol=1e-2))
+    assert [k[n] for n in "abcd"] == pytest.approx(list(np.linalg.solve(np.eye(4) - alpha * one.T, np.ones(4))), abs=0.1)
+
+
 def test_components_and_cores(links, net):
     near = {}
     for a, b in net:
