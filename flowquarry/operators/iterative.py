@@ -290,10 +290,10 @@ def betweenness(links: DataFrame, k: int = 128, seed: int = 0, digits: int = 6)
     return nodes.join(total, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)) * scale, digits).alias("betweenness"))
 
 
-def trophic_levels(links: DataFrame, rounds: int = 60, tol: float = 1e-6) -> DataFrame:
+def trophic_levels(links: DataFrame, rounds: int = 1000, tol: float = 1e-6) -> DataFrame:
     """(node, component, level): solves (diag(u) - W - W') h = v per weak component by conjugate gradients with a diagonal preconditioner; each component's least level is 0.
 
-    One join and a few sums a round. u is in plus out weight, v in minus out weight.
+    One join and a few sums a round; it fails if the residual is not below ``tol`` of the first one after ``rounds``. u is in plus out weight, v in minus out weight.
     """
     s = links.filter("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
     both = cut(s.select(F.explode(F.array(F.struct(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1.0).alias("s")), F.struct(F.col("dst").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("s")))).alias("x"), "w").select("x.*", "w"), "both").repartition("j").persist()
@@ -315,6 +315,8 @@ def trophic_levels(links: DataFrame, rounds: int = 60, tol: float = 1e-6) -> Dat
         new = y.agg(F.sum(F.col("r") * F.col("r") / F.col("u"))).first()[0] or 0.0
         x = y.withColumn("p", F.col("r") / F.col("u") + F.lit(new / rz) * F.col("p"))
         rz = new
+    if rz > tol * tol * start:
+        raise RuntimeError(f"trophic levels: residual {(rz / start) ** 0.5:.1e} of the first after {rounds} rounds, {tol} wanted")
     out = comp.join(x.select("node", "h"), "node", "left").select("node", "component", F.coalesce("h", F.lit(0.0)).alias("h"))
     out = cut(out, "levels")
     low = out.groupBy("component").agg(F.min("h").alias("low"))

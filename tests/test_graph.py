@@ -193,6 +193,11 @@ def test_trophic_levels(spark, links, net):
     assert it.trophic_incoherence(chain, lv).first()["f0"] == 0.0
 
 
+def test_unsolved_trophic_levels_are_an_error(links):
+    with pytest.raises(RuntimeError, match="residual"):
+        it.trophic_levels(links, rounds=2)
+
+
 def test_spectral_radius(spark):
     ring = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0)], "src string, dst string, w double")
     assert it.spectral_radius(ring) == pytest.approx(1.0)
