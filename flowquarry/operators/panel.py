@@ -122,9 +122,11 @@ def dependence_roles(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("dependence_role", F.when(F.col("degree") < 3, "thin_file").when(hub > 0.7, "hub_dependent").when(top > 0.7, "single_dependent").otherwise("balanced"))
 
 
-def dynamics_roles(metrics: DataFrame) -> DataFrame:
+def dynamics_roles(metrics: DataFrame, least_payers: int = 3) -> DataFrame:
+    """Where ``metrics`` has prior_in_degree, a node bleeds only with at least ``least_payers`` payers the month before: losing one of two is no bleeding."""
     gap, new, lost = F.coalesce("activity_gap", F.lit(1)), F.coalesce("new_amount_share", F.lit(0.0)), F.coalesce("lost_amount_share", F.lit(0.0))
-    role = F.when(F.col("months_active") <= 2, "newcomer").when(gap > 1, "returning").when(lost > 0.5, "bleeding").when(new > 0.5, "expanding").when((lost < 0.2) & (new < 0.2), "steady").otherwise("variable")
+    fat = F.coalesce("prior_in_degree", F.lit(0)) >= least_payers if "prior_in_degree" in metrics.columns else F.lit(True)
+    role = F.when(F.col("months_active") <= 2, "newcomer").when(gap > 1, "returning").when(fat & (lost > 0.5), "bleeding").when(new > 0.5, "expanding").when((lost < 0.2) & (new < 0.2), "steady").otherwise("variable")
     return metrics.withColumn("dynamics_role", role)
 
 

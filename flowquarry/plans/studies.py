@@ -14,7 +14,7 @@ from flowquarry.plans.base import E, EP, edges, edges_once, parties, partition,
 from flowquarry.plans.geography import hav, points
 from flowquarry.plans.panels import ST, strengths
 from flowquarry.plans.registry import query
-from flowquarry.plans.temporal import T
+from flowquarry.plans.temporal import _SH, T
 from flowquarry.session import cut
 
 _PL = EP + ", lc AS (SELECT node AS cp, lat, lon FROM party WHERE ok), pp AS (SELECT node, cp, CAST(sum(cents) AS BIGINT) AS cents FROM inc WHERE node <> cp GROUP BY ALL), pl AS (SELECT node, cp, lat, lon, cents, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM pp JOIN lc USING (cp)) "
@@ -144,6 +144,27 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
     return pn.dynamics_roles(m).select("time_key", "node", "dynamics_role")
 
 
+@query(
+    "r05_dynamics_roles_bleeding",
+    _SH
+    + f""", tn AS (SELECT t, time_key, node, CAST(row_number() OVER w AS INTEGER) AS months_active, t - lag(t) OVER w AS activity_gap FROM (SELECT DISTINCT time_key, node, t FROM it) WINDOW w AS (PARTITION BY node ORDER BY t)),
+mem AS (SELECT *, lag(t) OVER (PARTITION BY source, dest ORDER BY t) AS l FROM et), nw AS (SELECT time_key, dest AS node, CASE WHEN max(t) > 1 THEN {rsql("coalesce(sum(cents) FILTER (l IS NULL OR l < t - 6), 0)", "sum(cents)")} END AS new_amount_share FROM mem GROUP BY time_key, dest),
+lo AS (SELECT t, dest AS node, {rsql("coalesce(sum(before) FILTER (now IS NULL), 0)", "sum(before)")} AS lost FROM sh GROUP BY t, dest), pd AS (SELECT t + 1 AS t, dest AS node, count(*) AS k FROM et GROUP BY ALL)
+SELECT time_key, node, CASE WHEN months_active <= 2 THEN 'newcomer' WHEN coalesce(activity_gap, 1) > 1 THEN 'returning' WHEN coalesce(k, 0) >= 3 AND coalesce(lost, 0) > 0.5 THEN 'bleeding' WHEN coalesce(new_amount_share, 0) > 0.5 THEN 'expanding' WHEN coalesce(lost, 0) < 0.2 AND coalesce(new_amount_share, 0) < 0.2 THEN 'steady' ELSE 'variable' END AS dynamics_role FROM tn LEFT JOIN nw USING (time_key, node) LEFT JOIN lo ON lo.t = tn.t AND lo.node = tn.node LEFT JOIN pd ON pd.t = tn.t AND pd.node = tn.node""",
+)
+def r05b(spark: SparkSession, d: str) -> DataFrame:
+    """With the class bleeding, which the SQL of r05_dynamics_roles leaves out."""
+    return bleeding_roles(edges_once(spark, d))
+
+
+def bleeding_roles(e: DataFrame) -> DataFrame:
+    new = tm.cohorts(e).filter("dir = 'in'").select("time_key", "node", "new_amount_share")
+    lost = tm.side_turnover(e).filter("dir = 'in'").select("t", "node", "lost_amount_share")
+    prior = tm.with_t(e).groupBy((F.col("t") + 1).alias("t"), F.col("dest").alias("node")).agg(F.count(F.lit(1)).alias("prior_in_degree"))
+    m = tm.with_t(tm.tenure(e)).join(new, ["time_key", "node"], "left").join(lost, ["t", "node"], "left").join(prior, ["t", "node"], "left")
+    return pn.dynamics_roles(m).select("time_key", "node", "dynamics_role")
+
+
 @query(
     "r04_embeddedness",
     EP + f""", grp AS (SELECT node, state AS grp FROM party WHERE state IS NOT NULL), fr AS (SELECT time_key, inc.node, {rsql("count(*) FILTER (a.grp = b.grp)", "count(*)")} AS f FROM inc LEFT JOIN grp a ON a.node = inc.node LEFT JOIN grp b ON b.node = inc.cp GROUP BY time_key, inc.node)

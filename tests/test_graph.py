@@ -234,6 +234,16 @@ def test_stable_roles(spark):
     assert [r["stable_role"] for r in g] == ["a", "a", "b"] and g[-1]["months_in"] == 1
 
 
+def test_bleeding(spark):
+    from flowquarry.plans.studies import bleeding_roles
+
+    data = [(f"2024-0{m}", f"p{i}", "x", 100, 1) for m in range(1, 5) for i in range(4) if m < 4 or i == 0]
+    data += [(f"2024-0{m}", f"p{i}", "thin", 100, 1) for m in range(1, 5) for i in range(2) if m < 4 or i == 0]
+    data += [(f"2024-0{m}", "p1", "x2", 5, 1) for m in range(1, 5)]
+    got = {(r["time_key"], r["node"]): r["dynamics_role"] for r in bleeding_roles(_edges(spark, data)).collect()}
+    assert got["2024-04", "x"] == "bleeding" and got["2024-03", "x"] == "steady" and got["2024-04", "thin"] == "variable"
+
+
 def test_lifecycle(spark):
     part = lambda s: spark.createDataFrame([(n, g) for g, ns in s.items() for n in ns], "node string, grp string")
     before = part({"A": "abcdefgh", "B": "ij", "C": "kl", "D": "mn", "G": "opq"})
