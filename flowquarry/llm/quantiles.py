@@ -58,11 +58,27 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketches: DataFrame, keys: list[str], probs: dict[str, float], alpha: float = 0.01) -> DataFrame:
-    """(keys, n, one column for each name in ``probs``). A group has at most a few thousand buckets, whatever its rows."""
+def bucket_bounds(b: Column, alpha: float) -> tuple[Column, Column]:
+    """The least and the greatest value a bucket may hold; both 0 for bucket 0."""
+    g = F.lit(_log_gamma(alpha))
+    i = F.abs(b) - SHIFT
+    near, far = F.exp((i - 1) * g), F.exp(i * g)
+    return F.when(b == 0, 0.0).when(b > 0, near).otherwise(-far), F.when(b == 0, 0.0).when(b > 0, far).otherwise(-near)
+
+
+def quantiles(sketches: DataFrame, keys: list[str], probs: dict[str, float], alpha: float = 0.01, bounds: bool = False) -> DataFrame:
+    """(keys, n, alpha, one column for each name in ``probs``), unrounded: each value is off by at most alpha of the true one.
+
+    With ``bounds`` also ``<name>_low`` and ``<name>_high``, between which the true value lies. A group has at most a few thousand buckets, whatever its rows.
+    """
     by = Window.partitionBy(*keys)
     upto = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cum = sketches.select(*keys, "bucket", F.sum("n").over(upto).alias("cum"), F.sum("n").over(by).alias("total"))
     at = {name: F.min(F.when(F.col("cum") > F.floor(F.lit(p) * (F.col("total") - 1)), F.col("bucket"))) for name, p in probs.items()}
     out = cum.groupBy(*keys).agg(F.max("total").alias("n"), *[c.alias(name) for name, c in at.items()])
-    return out.withColumns({name: F.round(bucket_value(F.col(name), alpha), 6) for name in probs})
+    sides = {}
+    for name in probs:
+        low, high = bucket_bounds(F.col(name), alpha)
+        sides |= {f"{name}_low": low, f"{name}_high": high} if bounds else {}
+    values = {name: bucket_value(F.col(name), alpha) for name in probs}
+    return out.select(*keys, "n", F.lit(alpha).alias("alpha"), *[c.alias(name) for name, c in values.items()], *[c.alias(name) for name, c in sides.items()])

@@ -60,12 +60,12 @@ _LG = "CAST(ln(CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE)) AS DOUBLE)"
 
 def _sketch_value(x: str) -> str:
     i = f"ceil(ln(abs({x})) / {_LG})"
-    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round(sign({x}) * 2.0 / (exp({_LG}) + 1) * exp({i} * {_LG}), 6) END"
+    return f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) ELSE sign({x}) * 2.0 / (exp({_LG}) + 1) * exp({i} * {_LG}) END"
 
 
 _P2_SQL = (
     _P2_CUR
-    + "SELECT scope, key_a, key_b, max(n) AS n, "
+    + f"SELECT scope, key_a, key_b, max(n) AS n, CAST({ALPHA} AS DOUBLE) AS alpha, "
     + ", ".join(f"max(CASE WHEN rk = floor({p} * (n - 1)) + 1 THEN {_sketch_value('x')} END) AS {name}" for name, p in PROBS.items())
     + " FROM r GROUP BY scope, key_a, key_b"
 )
@@ -79,7 +79,7 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 _P2_YEAR_SQL = (
     _P2_CUR.partition(",\nnm AS")[0]
     + ", r AS (SELECT substr(month, 1, 4) AS year, amount AS x, row_number() OVER (PARTITION BY substr(month, 1, 4) ORDER BY amount) AS rk, count(*) OVER (PARTITION BY substr(month, 1, 4)) AS n FROM e WHERE amount IS NOT NULL) "
-    + "SELECT year, max(n) AS n, "
+    + f"SELECT year, max(n) AS n, CAST({ALPHA} AS DOUBLE) AS alpha, "
     + ", ".join(f"max(CASE WHEN rk = floor({p} * (n - 1)) + 1 THEN {_sketch_value('x')} END) AS {name}" for name, p in PROBS.items())
     + " FROM r GROUP BY year"
 )
@@ -168,8 +168,9 @@ def sized_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    p = mixing.plan(sized_documents(spark, d), table(spark, d, "mix_targets"))
-    return spark.createDataFrame([(s.name,) for s in p.sources if mixing.is_short(s, p.corpus)], "source string")
+    sized = sized_documents(spark, d)
+    p = mixing.plan(sized, table(spark, d, "mix_targets"))
+    return mixing.report(mixing.mix(sized, p), p).filter("is_short").select("source")
 
 
 @query("p9_report")

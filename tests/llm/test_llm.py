@@ -29,18 +29,20 @@ def test_query(spark, folder, duck, name):
 @pytest.mark.parametrize("alpha", [0.05, 0.01, 0.001])
 def test_relative_error(spark, alpha):
     rng = random.Random(1)
-    data = [("a", rng.lognormvariate(5, 3)) for _ in range(3000)] + [("b", rng.choice([-1, 1]) * rng.lognormvariate(0, 8)) for _ in range(3000)] + [("b", 0.0)] * 40 + [("c", 7.0), ("d", None), ("e", float("nan")), ("f", float("inf")), ("c", None)]
+    data = [("a", rng.lognormvariate(5, 3)) for _ in range(3000)] + [("b", rng.choice([-1, 1]) * rng.lognormvariate(0, 8)) for _ in range(3000)] + [("b", 0.0)] * 40 + [("c", 7.0), ("tiny", 1.3e-8), ("tiny", -4e-300), ("huge", 1.7e308), ("d", None), ("e", float("nan")), ("f", float("inf")), ("c", None)]
     df = spark.createDataFrame(data, "g string, x double").withColumn("bucket", F.lit("clash"))
     probs = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}
     parts = quantiles.sketch(df.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(5))), ["g", "part"], "x", alpha)
-    got = {r["g"]: r for r in quantiles.quantiles(quantiles.merge(parts, ["g"]), ["g"], probs, alpha).collect()}
-    assert set(got) == {"a", "b", "c"}
+    got = {r["g"]: r for r in quantiles.quantiles(quantiles.merge(parts, ["g"]), ["g"], probs, alpha, bounds=True).collect()}
+    assert set(got) == {"a", "b", "c", "tiny", "huge"}
+    assert all(r["alpha"] == alpha for r in got.values())
     for g in got:
         v = sorted(x for k, x in data if k == g and x is not None and math.isfinite(x))
         assert got[g]["n"] == len(v)
         for name, p in probs.items():
             exact = v[math.floor(p * (len(v) - 1))]
-            assert abs(got[g][name] - exact) <= alpha * abs(exact) * 1.0001 + 1e-6
+            assert abs(got[g][name] - exact) <= alpha * abs(exact) * (1 + 1e-9)
+            assert got[g][name + "_low"] - abs(exact) * 1e-12 <= exact <= got[g][name + "_high"] + abs(exact) * 1e-12
     assert quantiles.quantiles(quantiles.sketch(df.limit(0), ["g"], "x"), ["g"], probs).count() == 0
     with pytest.raises(ValueError):
         quantiles.sketch(df, ["g"], "x", 1.5)
@@ -129,25 +131,57 @@ def test_spans_are_cut(spark):
 # ---- mixing
 
 
+def _dealt(counts, shards, seed, most):
+    """Draws of each shard, by expanding the top of the tree group by group."""
+    counts = np.array(counts, np.int64)
+    out, first = np.zeros((shards, len(counts)), np.int64), np.zeros((shards, len(counts)), np.int64)
+    for lo, hi, c, at in mixing.leaves(0, shards, counts, np.zeros_like(counts), seed, most):
+        for shard, _, n, start in mixing.leaves(lo, hi, c, at, seed, 1):
+            out[shard], first[shard] = n, start
+    return out, first
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=6), st.integers(1, 17), st.integers(0, 9))
 def test_tree_deals_everything(counts, shards, seed):
-    dealt = mixing.split_tree(counts, shards, seed)
+    dealt, first = _dealt(counts, shards, seed, 1)
     assert dealt.sum(0).tolist() == counts and (dealt >= 0).all()
     assert dealt.sum(1).max() - dealt.sum(1).min() <= 1 + math.ceil(math.log2(shards) if shards > 1 else 0)
-
-
-def test_draws_meet_quota():
-    s = mixing.Source("a", 0.5, 3, {b: 100 + b for b in range(10)})
-    assert s.available == 1045
-    for corpus in (100, 2090, 3000, 10_000):
-        d = mixing.draws_of(s, corpus, 1)
-        took = sum(s.block_tokens[x.block] if x.limit < 0 else x.limit for x in d)
-        assert took == mixing.quota(s, corpus) == min(int(corpus / 2), 3 * 1045)
-        assert len({(x.block, x.copy) for x in d}) == len(d) and max((x.copy for x in d), default=0) < 3
-    assert mixing.is_short(s, 10_000) and not mixing.is_short(s, 6270)
-    assert mixing.draws_of(mixing.Source("b", 0.5, 2, {}), 100, 0) == []
-    assert mixing.draws_of(mixing.Source("b", 0.5, 0, {0: 5}), 100, 0) == []
+    assert np.array_equal(first, np.cumsum(dealt, 0) - dealt)  # consecutive, without overlap
+    for most in (2, 5, 100):
+        again, start = _dealt(counts, shards, seed, most)
+        assert np.array_equal(again, dealt) and np.array_equal(start, first)
+
+
+def test_hundred_thousand_shards_are_all_filled():
+    shards, corpus = 100_000, 100_000 * mixing.SHARD_TOKENS
+    shares = [0.3, 0.25, 0.15, 0.1, 0.08, 0.06, 0.03, 0.02, 0.01]
+    blocks = [mixing.n_blocks(int(x * corpus), 10**12, corpus, shards) for x in shares]
+    assert sum(blocks) >= 64 * shards and all(b & (b - 1) == 0 for b in blocks)
+    dealt, _ = _dealt(blocks, shards, 0, -(-shards // mixing.GROUPS))
+    assert dealt.sum(0).tolist() == blocks
+    assert dealt.sum(1).min() >= 64 and dealt.sum(1).max() - dealt.sum(1).min() <= 18
+    assert mixing.n_blocks(10**15, 5, 10**15, shards) == 4 and mixing.n_blocks(0, 0, 0, 8) == 1
+
+
+def test_quota():
+    s = mixing.Source("a", 0.5, 3, available=1045)
+    assert [mixing.quota(s, c) for c in (0, 100, 2091, 10_000)] == [0, 50, 1046, 3135]
+    assert mixing.quota(mixing.Source("b", 0.5, 2), 100) == mixing.quota(mixing.Source("b", 0.5, 0, available=5), 100) == 0
+
+
+def test_last_pass_ends_where_the_quota_does(spark):
+    """With more blocks than pieces, the end is found in several rounds and the mix meets each quota to within a document."""
+    sized = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 7 + 1).alias("n_tokens"))
+    targets = spark.createDataFrame([("a", 0.45, 5), ("b", 0.55, 1)], "source string, target_share double, max_repeats int")
+    p = mixing.plan(sized, targets, shards=200, seed=3)
+    assert all(s.blocks > 2 * mixing.PIECES for s in p.sources) and p.sources[0].passes == 1
+    m = mixing.mix(sized, p)
+    got = {r["source"]: r for r in m.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count_distinct("doc_id", "copy").alias("k"), F.count(F.lit(1)).alias("rows")).collect()}
+    for s in p.sources:
+        assert 0 <= got[s.name]["n"] - mixing.quota(s, p.corpus) < 8 and got[s.name]["k"] == got[s.name]["rows"]
+    assert m.select("shard").distinct().count() == 200
+    assert [r["is_short"] for r in mixing.report(m, p).orderBy("source").collect()] == [False, False]
 
 
 def test_mix(spark):
@@ -166,10 +200,13 @@ def test_mix(spark):
     for s in p.sources:
         if s.name != "none":
             assert 0 <= size[s.name] - mixing.quota(s, p.corpus) < 50
-    assert size["c"] == 20 and {s.name for s in p.sources if mixing.is_short(s, p.corpus)} == {x.name for x in p.sources if x.available * x.max_repeats < x.share * p.corpus}
+    assert size["c"] == 20
+    told = {r["source"]: r for r in mixing.report(m, p).collect()}
+    assert {s for s, r in told.items() if r["is_short"]} == {x.name for x in p.sources if x.available * x.max_repeats < x.share * p.corpus} >= {"c", "none"}
+    assert {s: told[s]["mixed_tokens"] for s in "abc"} == size
     for shard in range(5):
         assert sorted(r["position"] for r in rows if r["shard"] == shard) == list(range(1, 1 + sum(r["shard"] == shard for r in rows)))
-    assert mixing.report(m, p).count() == 4
+    assert len(told) == 4
     with pytest.raises(ValueError):
         mixing.plan(sized, targets.union(targets))
     none = sized.limit(0)
