@@ -9,6 +9,7 @@ rank floor(q * (n - 1)) among the n sorted values.
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,10 @@ def bucket(value: Column, alpha: float) -> Column:
 
 
 def bucket_value(b: Column, alpha: float) -> Column:
-    """The value that stands for a bucket: off by at most alpha of any value in it."""
-    g = math.exp(_log_gamma(alpha))
-    size = F.lit(2.0 / (g + 1.0)) * F.exp((F.abs(b) - SHIFT) * F.lit(_log_gamma(alpha)))
+    """The value that stands for a bucket: off by at most alpha of any value in it (of subnormal ones, below 2.3e-308, as far as doubles can tell)."""
+    log_g = _log_gamma(alpha)
+    # The factor 2 / (g + 1) stands in the exponent, so that the last buckets before the end of the doubles don't overflow.
+    size = F.least(F.exp((F.abs(b) - SHIFT) * F.lit(log_g) + F.lit(math.log(2.0 / (math.exp(log_g) + 1.0)))), F.lit(sys.float_info.max))
     return F.when(b == 0, 0.0).otherwise(F.signum(b) * size)
 
 
@@ -62,7 +64,7 @@ def bucket_bounds(b: Column, alpha: float) -> tuple[Column, Column]:
     """The least and the greatest value a bucket may hold; both 0 for bucket 0."""
     g = F.lit(_log_gamma(alpha))
     i = F.abs(b) - SHIFT
-    near, far = F.exp((i - 1) * g), F.exp(i * g)
+    near, far = F.exp((i - 1) * g), F.least(F.exp(i * g), F.lit(sys.float_info.max))
     return F.when(b == 0, 0.0).when(b > 0, near).otherwise(-far), F.when(b == 0, 0.0).when(b > 0, far).otherwise(-near)
 
 
