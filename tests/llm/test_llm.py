@@ -128,6 +128,22 @@ def test_spans_are_cut(spark):
     assert got[1][0] == 11 and got[1][1].split() == ["Before,", ".", "After."]
 
 
+def test_spans_of_several_blocks(spark):
+    """Items in several blocks, whose windows overlap in a text, are removed as if they were one block."""
+    rng = random.Random(8)
+    v = [f"w{i}" for i in range(60)]
+    docs = [(d, " ".join(rng.choice(v) for _ in range(60))) for d in range(40)]
+    items = [(i, " ".join(docs[i % 40][1].split()[k : k + 9])) for i, k in enumerate([0, 3, 5, 20, 40] * 12)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(tuple, contamination.without_leaks(d, i, 4).collect()))
+    assert sorted(map(tuple, contamination.without_leaks(d, i, 4, max_chars=200).collect())) == one
+    grams = {tuple(t.split()[k : k + 4]) for _, t in items for k in range(6)}
+    for doc, t in docs:
+        w = t.split()
+        gone = {j for k in range(len(w) - 3) if tuple(w[k : k + 4]) in grams for j in range(k, k + 4)}
+        assert one[doc][1:] == (len(gone), t) if not gone else (one[doc][1], one[doc][2].split()) == (len(gone), [x for j, x in enumerate(w) if j not in gone])
+
+
 # ---- mixing
 
 
