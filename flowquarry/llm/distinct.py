@@ -1,14 +1,14 @@
 """Distinct counts that merge: sorted runs of 64-bit hashes, delta-coded, joined by k-way union.
 
-The ids of a group are hashed and cut by the hashes' leading bits into shards; the distinct hashes of a shard, sorted, are one run,
-stored as its first hash and varints of the differences. Runs of the same shard merge without any other. A count is the number of hashes in
+The ids of a group are hashed and cut by the hashes' leading bits into shards, a large group into many and a small one into one; the distinct hashes of a shard, sorted,
+are one run, stored as its first hash and varints of the differences. Prefixes nest, so runs of groups with different bits are cut or put together
+to those of the group they merge into; runs of the same shard then merge without any other. A count is the number of hashes in
 the union; two ids share a hash with a probability of 2^-64, so n ids lose n (n - 1) / 2^65 in the mean, and that is
 reported as the error (also a bound of the probability that the count is not exact).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowquarry.session import cut
+
 SHARD_ROWS = 1 << 17
+#: Large groups that are broadcast, a few dozen bytes each; more are met by a shuffle.
+MOST_LARGE = 50_000
 
 
 def encode(sorted_hashes: np.ndarray) -> bytes:
@@ -65,9 +69,14 @@ def union(runs: list[np.ndarray]) -> np.ndarray:
     return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
 
 
-def shard_bits(n_rows: int) -> int:
-    """Leading bits so that a shard of all rows holds about ``SHARD_ROWS`` hashes."""
-    return max(3, math.ceil(math.log2(max(1, n_rows) / SHARD_ROWS)) if n_rows > SHARD_ROWS else 3)
+def shard_bits(n: Column) -> Column:
+    """Leading bits so that a shard of n different hashes holds at most about ``SHARD_ROWS``."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(SHARD_ROWS)))).cast("int")
+
+
+def _shard(h: Column, bits: Column) -> Column:
+    """The leading bits as a number from 0 on; hashes of a shard are neighbours also as signed numbers."""
+    return F.call_function("shiftrightunsigned", F.call_function("shiftrightunsigned", h, F.lit(63) - bits), F.lit(1)).cast("int")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -75,18 +84,52 @@ def _encode(hashes: pd.Series) -> pd.Series:
     return hashes.map(lambda a: encode(np.asarray(a, np.int64)))
 
 
-def build_runs(df: DataFrame, keys: list[str], ids: Column, bits: int) -> DataFrame:
-    """(keys, shard, n, run) of the non-null ``ids``. Sets are combined on the map side, so an id that repeats is sent once a task; a set is one shard of one group."""
-    h = F.xxhash64(ids)
-    rows = df.filter(ids.isNotNull()).select(*keys, F.shiftright(h, 64 - bits).cast("int").alias("shard"), h.alias("h"))
-    sets = rows.groupBy(*keys, "shard").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    return sets.select(*keys, "shard", F.size("hs").cast("bigint").alias("n"), _encode("hs").alias("run"))
+def large_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bits) of the groups whose rows may hold more than one shard's hashes. Counted before the shuffle; at most rows / ``SHARD_ROWS`` groups."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return n.filter(F.col("n") > SHARD_ROWS).select(*keys, shard_bits(F.col("n")).alias("bits"))
+
+
+def build_runs(df: DataFrame, keys: list[str], ids: Column) -> DataFrame:
+    """(keys, bits, shard, n, run) of the non-null ``ids``; null is a key like others. Sets are combined on the map side, so an id that repeats is sent once a task; a set is one shard of one group."""
+    large = cut(large_groups(df.filter(ids.isNotNull()), keys), "large")
+    k = large.count()
+    rows = df.filter(ids.isNotNull()).select(*keys, F.xxhash64(ids).alias("h"))
+    if k:
+        # Few groups are large, as a rule; where they are many, they meet their rows by a shuffle, which adaptive execution splits.
+        side = F.broadcast(large) if k <= MOST_LARGE else large
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+        rows = rows.alias("l").join(side.alias("r"), same, "left").select("l.*", F.coalesce("bits", F.lit(0)).alias("bits"))
+    else:
+        rows = rows.withColumn("bits", F.lit(0))
+    sets = rows.groupBy(*keys, "bits", _shard(F.col("h"), F.col("bits")).alias("shard")).agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    return sets.select(*keys, "bits", "shard", F.size("hs").cast("bigint").alias("n"), _encode("hs").alias("run"))
+
+
+def resplit(run: bytes, bits: int, shard: int, to: int) -> list[tuple[int, bytes]]:
+    """A run of ``bits`` leading bits as (shard, run) of ``to`` bits."""
+    if to <= bits:
+        return [(shard >> (bits - to), run)]
+    a = decode(run)
+    s = (a.view(np.uint64) >> np.uint64(64 - to)).astype(np.int64)
+    ends = np.flatnonzero(np.concatenate((s[1:] != s[:-1], [True])))
+    return [(int(s[e]), encode(a[b : e + 1])) for b, e in zip([0, *(ends[:-1] + 1)], ends, strict=True)]
 
 
 def merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, shard, n, run): the runs of each group and shard united. Rows stream through sorted; one group's shard is held at a time."""
-    names = [*keys, "shard"]
-    schema = T.StructType([*[runs.schema[k] for k in names], T.StructField("n", T.LongType()), T.StructField("run", T.BinaryType())])
+    """(keys, bits, shard, n, run): the runs of each group and shard united, in shards for what the merged group may hold. Rows stream through sorted; one group's shard is held at a time."""
+    size = runs.groupBy(*keys).agg(shard_bits(F.sum("n")).alias("to"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+    # Groups are merged from many runs, so their sizes are a far smaller table than the runs.
+    aimed = runs.alias("l").join(size.alias("r"), same).select(*[F.col(f"l.{c}").alias(c) for c in keys], "bits", "shard", "run", "to")
+    names = [*keys, "bits", "shard"]
+    piece = T.StructType([*[runs.schema[k] for k in keys], T.StructField("bits", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("run", T.BinaryType())])
+    schema = T.StructType([*piece.fields[:-1], T.StructField("n", T.LongType()), T.StructField("run", T.BinaryType())])
+
+    def recut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*row[:-4], row[-1], s, r) for row in pdf[[*keys, "bits", "shard", "run", "to"]].itertuples(index=False, name=None) for s, r in resplit(row[-2], row[-4], row[-3], row[-1])]
+            yield pd.DataFrame(rows, columns=piece.names)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, out = None, [], []
@@ -110,7 +153,9 @@ def merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=schema.names)
 
-    placed = runs.select(*names, "run").repartition(*names).sortWithinPartitions(*names)
+    whole = aimed.filter("to <= bits").select(*keys, F.col("to").alias("bits"), F.call_function("shiftright", F.col("shard"), F.col("bits") - F.col("to")).alias("shard"), "run")
+    wide = aimed.filter("to > bits").mapInPandas(recut, piece)
+    placed = whole.unionByName(wide).repartition(*names).sortWithinPartitions(*names)
     return placed.mapInPandas(walk, schema)
 
 

@@ -99,7 +99,6 @@ def p2_merged_months(spark: SparkSession, d: str) -> DataFrame:
 def base_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs by kind, arrival day and month of the rows of edges as delivered."""
     e = table(spark, d, "edges")
-    bits = distinct.shard_bits(e.count() * 3)
     s, t = canonical_id("source"), canonical_id("dest")
     rows = e.select(F.to_date("load_ts").alias("arrival_day"), month_key("time_key").alias("month"), s.alias("s"), t.alias("t"))
     kinds = F.array(
@@ -108,7 +107,7 @@ def base_runs(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("pair").alias("kind"), F.when(F.col("s").isNotNull() & F.col("t").isNotNull(), F.concat_ws("\x00", "s", "t")).alias("id")),
     )
     each = rows.select(F.col("arrival_day").cast("string").alias("arrival_day"), "month", F.explode(kinds).alias("x")).select("arrival_day", "month", "x.*")
-    return distinct.build_runs(each, ["kind", "arrival_day", "month"], F.col("id"), bits)
+    return distinct.build_runs(each, ["kind", "arrival_day", "month"], F.col("id"))
 
 
 _P5_SQL = f"""
@@ -128,11 +127,13 @@ def p5_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     runs = cut(base_runs(spark, d), "runs")
     day, month, none = F.col("arrival_day"), F.col("month"), F.lit(None).cast("string")
     level = lambda name, a, b: F.struct(F.lit(name).alias("level"), a.alias("a"), b.alias("m"))
-    coarse = runs.select("kind", F.explode(F.array(level("day", day, none), level("month", none, month), level("all", none, none))).alias("x"), "shard", "n", "run").select("kind", "x.*", "shard", "n", "run")
-    keys = ["level", "kind", "a", "m"]
-    merged = distinct.merge_runs(coarse, keys).select(*keys, "n")
+    keys, rest = ["level", "kind", "a", "m"], ["bits", "shard", "n", "run"]
+    coarse = runs.select("kind", F.explode(F.array(level("day", day, none), level("month", none, month))).alias("x"), *rest).select("kind", "x.*", *rest)
+    merged = cut(distinct.merge_runs(coarse, keys), "merged")
+    # What is counted over everything is merged from the months, which are far fewer runs.
+    every = distinct.merge_runs(merged.filter("level = 'month'").withColumns({"level": F.lit("all"), "m": none}), keys)
     fine = runs.select(F.lit("day_month").alias("level"), "kind", day.alias("a"), month.alias("m"), "n")
-    return distinct.counts(fine.unionByName(merged), keys).withColumnsRenamed({"a": "arrival_day", "m": "month"})
+    return distinct.counts(fine.unionByName(merged.select(*keys, "n")).unionByName(every.select(*keys, "n")), keys).withColumnsRenamed({"a": "arrival_day", "m": "month"})
 
 
 # ---- p8 held-out passages

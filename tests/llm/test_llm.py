@@ -66,19 +66,32 @@ def test_union_and_dense_runs():
     assert len(distinct.union([np.empty(0, np.int64), np.empty(0, np.int64)])) == 0
 
 
-def test_distinct_counts(spark):
+@pytest.mark.parametrize("shard_rows", [1 << 17, 20, 3])
+def test_distinct_counts(spark, monkeypatch, shard_rows):
+    """The same counts whether groups hold one shard or many, and whether merged shards are coarser or finer."""
+    monkeypatch.setattr(distinct, "SHARD_ROWS", shard_rows)
     rng = random.Random(2)
-    data = [(rng.choice("xyz"), rng.choice(["hot", None, *[str(i) for i in range(200)]])) for _ in range(5000)]
+    data = [(rng.choice("xyz"), rng.choice(["hot", None, *[str(i) for i in range(200)]])) for _ in range(5000)] + [("small", "1"), (None, "1"), (None, "7")]
     df = spark.createDataFrame(data, "g string, id string").withColumn("shard", F.lit("clash"))
-    runs = distinct.build_runs(df, ["g"], F.col("id"), 4)
+    runs = distinct.build_runs(df, ["g"], F.col("id"))
+    assert (runs.agg(F.max("bits")).first()[0] > 0) == (shard_rows < 1000) and runs.filter("g = 'small'").count() == 1
     per = {r["g"]: r["n_distinct"] for r in distinct.counts(runs, ["g"]).collect()}
-    assert per == {g: len({i for k, i in data if k == g and i}) for g in "xyz"}
+    assert per == {g: len({i for k, i in data if k == g and i}) for g in ("x", "y", "z", "small", None)}
     whole = distinct.merge_runs(runs.withColumn("g", F.lit(None).cast("string")), ["g"])
     r = distinct.counts(whole, ["g"]).first()
     n = len({i for _, i in data if i})
     assert r["n_distinct"] == n and r["expected_lost"] == pytest.approx(n * (n - 1) / 2**65)
-    assert distinct.counts(distinct.build_runs(df.limit(0), ["g"], F.col("id"), 4), ["g"]).count() == 0
-    assert distinct.shard_bits(10) == 3 and distinct.shard_bits(10**12) == 23
+    monkeypatch.setattr(distinct, "SHARD_ROWS", 1 << 10)
+    assert distinct.counts(distinct.merge_runs(whole, ["g"]), ["g"]).first()["n_distinct"] == n
+    assert distinct.counts(distinct.build_runs(df.limit(0), ["g"], F.col("id")), ["g"]).count() == 0
+
+
+def test_runs_are_recut():
+    a = np.unique(np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 300, np.int64))
+    cut = distinct.resplit(distinct.encode(a), 0, 0, 5)
+    assert sorted(np.concatenate([distinct.decode(r) for _, r in cut]).tolist()) == a.tolist() and len(cut) == 32
+    assert all(set((distinct.decode(r).view(np.uint64) >> np.uint64(59)).tolist()) == {s} for s, r in cut)
+    assert distinct.resplit(b"x", 5, 19, 2) == [(2, b"x")]
 
 
 # ---- leaks
