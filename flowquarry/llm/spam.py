@@ -4,15 +4,16 @@ Texts are cut into blocks of ``BLOCK`` characters at line or word ends. Each blo
 of blocks of that language and length in the corpus, and its sentence ends a word. A text becomes a candidate if a block is far more
 redundant than usual, or has hardly any sentence end: lists of ever new products, tags or places compress like prose, so redundancy
 alone would miss them. The verdict counts words: a candidate is such a page if more than half of its words stand in repeated phrases, links with their labels, tags or
-runs without the function words that sentences have. Records of figures (tab-separated lines) are no lists in that sense.
+runs that neither end like sentences nor hold the short words that sentences do. No language's words are listed. Records of figures (tab-separated lines) are no lists in that sense.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,122 +23,128 @@ from pyspark.sql import types as T
 from flowquarry.session import cut
 
 BLOCK = 600
-CHUNK_WORDS = 50_000
-LEAST_BLOCKS = 500
+#: A language's own usual ratio weighs as many blocks as it has, that of all languages as many as this.
+PRIOR_BLOCKS = 500
 #: No usual ratio counts as more, as a corpus may consist of such pages; sentences stay below it at this block size.
 MOST_USUAL = 2.4
-REACH = 8
-
-# Function words of English, Spanish, French and German. Those that link places in lists (in, near, en) are left out.
-FUNCTION_WORDS = frozenset(
-    """a about after again also an and another any anyone are as at be because been before being below between but by can could did do does
-    down during each else even every far for from get gets got had has have he her his how i if is it its just like me more most mostly my
-    no nobody not now of off on one only or our out over same she should so some someone still such than that the their them then there
-    they this to two under until up very was we were what when where which while who why will with would yet you
-    al como con cuando de del desde el entre es están esta este fue ha hasta hay la las le les lo los más muy ni no o para pero por que se
-    ser si sin sobre su sus también un una y ya
-    au aux avec c car ce ces cette d dans des dont du elle est et être il ils je l leur leurs mais même n ne nous on ont ou où par pas plus
-    pour qu que qui s sa sans se ses son sont sur une vers vous
-    aber als am auch auf aus bei bis das dass dem den der des die doch durch ein eine einem einen einer er es für gegen hat ihr im ist kein
-    mit nach nicht noch nur ob oder sein sich sie sind über um und uns unter vom von vor war waren weil wenn werden wie wird wurde wurden
-    zu zum zur""".split()
-)
+#: Words on either side of a word among which sentences have words of at most SHORT letters, whatever their language.
+REACH, SHORT = 8, 3
+#: Texts of more characters are read twice rather than held as words; the result is the same.
+HELD = 1 << 22
 
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+|(?<![\w@.])[\w-]+\.[a-z]{3,}(?:/[^\s<>\"')\]|]*)?(?![\w.])", re.I)
 HASHTAG = re.compile(r"(?<![\w&])#[\w-]+")
+MARKED = re.compile(r"#|://|\w\.[a-z]{3}", re.I)
 ANCHOR = re.compile(r"<a\s[^<>]*href\s*=\s*[\"']?([^\"'\s<>]*)[^<>]*>([^<>]*)</a>", re.I)
 TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
-WORD = re.compile(r"[^\W_]+")
-SENTENCE = re.compile(r"(?<=[.!?])[\"”’)\]]*\s+")
-CLOSED = re.compile(r"[.!?][\"”’)\]]*$")
+#: Letters or digits; an at sign within is one of them, as pages write it for an a.
+WORD = re.compile(r"[^\W_]+(?:@[^\W_]+)*")
+CLOSERS = "\"”’»)\\]"
+SENTENCE = re.compile(rf"(?<=[.!?])[{CLOSERS}]*\s+|(?<=[。！？।])")
+CLOSED = re.compile(rf"[.!?。！？।][{CLOSERS}]*$")
 LISTED = re.compile(r"[;|•]|::")
-ENDS = re.compile(r"[.!?][\"”’)\]]*(?=\s|$)")
+ENDS = re.compile(rf"[.!?][{CLOSERS}]*(?=\s|$)|[。！？।]")
 
+Units = list[str | None]
 
-def _units(segment: str) -> list[str | None]:
-    """The words of a segment in lower case; a link or a hashtag is one unit, None."""
-    out: list[str | None] = []
+
+def _units(segment: str) -> Units:
+    """The words of a segment as they stand; a link or a hashtag is one unit, None."""
+    if not MARKED.search(segment):
+        return WORD.findall(segment)
+    out: Units = []
     at = 0
-    marks = sorted([m.span() for m in URL.finditer(segment)] + [m.span() for m in HASHTAG.finditer(segment)])
-    for a, b in marks:
+    for a, b in sorted([m.span() for m in URL.finditer(segment)] + [m.span() for m in HASHTAG.finditer(segment)]):
         if a >= at:
-            out += [w.lower() for w in WORD.findall(segment, at, a)]
+            out += WORD.findall(segment, at, a)
             out.append(None)
             at = b
-    out += [w.lower() for w in WORD.findall(segment, at)]
+    out += WORD.findall(segment, at)
     return out
 
 
-def _segments(text: str) -> Iterator[tuple[bool, str, list[str | None]]]:
+def _segments(text: str) -> Iterator[tuple[bool, str, Units]]:
     """(is a record of figures, segment, units) of each sentence or line."""
     if "<" in text:
         text = TAG.sub(" ", ANCHOR.sub(r" [\2](\1) ", text))
     for line in text.replace("&nbsp;", " ").splitlines():
         if line.count("\t") >= 2:
-            yield True, line, [w.lower() for w in WORD.findall(line)]
+            yield True, line, WORD.findall(line)
         else:
             for s in SENTENCE.split(line):
                 if units := _units(s):
                     yield False, s.strip(), units
 
 
-def _loose(segment: str, units: list[str | None]) -> list[bool]:
-    """For each unit, whether it stands outside of anything like a sentence."""
+def _loose(segment: str, units: Units) -> tuple[list[bool], int]:
+    """For each unit, whether it stands outside of anything like a sentence; and the number of short words.
+
+    Sentences end in a stop or hold short words all along, as the words that link others are in languages written in letters. Names and product codes have capitals
+    or digits, so only words in lower case count, or all where a segment has no lower case.
+    """
     n = len(units)
+    lower = not segment.isupper()
     upto = [0]
+    k = 0
     for u in units:
-        upto.append(upto[-1] + (u in FUNCTION_WORDS))
-    closed = CLOSED.search(segment) and segment[:1].isupper() and None not in units and not LISTED.search(segment)
-    if closed and n >= 2 and (n <= 12 or (n <= 60 and upto[n] >= 2)):
-        return [False] * n
+        if u is not None and len(u) <= SHORT and u.isalpha() and (not lower or not u[0].isupper()):
+            k += 1
+        upto.append(k)
+    caseless = n == 1 and units[0] and units[0].isalpha() and units[0].lower() == units[0].upper()  # scripts without blanks
+    if (n >= 2 or caseless) and (n <= 12 or (n <= 60 and k >= 2)) and None not in units and CLOSED.search(segment) and not segment[0].islower() and not LISTED.search(segment):
+        return [False] * n, k
     need = 2 if n > REACH else 1
-    return [u is None or upto[min(n, k + REACH + 1)] - upto[max(0, k - REACH)] < need for k, u in enumerate(units)]
-
-
-def _judge(parts: list[tuple[bool, str, list[str | None]]]) -> tuple[int, int]:
-    """(words, words outside of sentences) of some segments."""
-    words = [u for _, _, units in parts for u in units]
-    n = len(words)
-    if not n:
-        return 0, 0
-    pairs = Counter(zip(words, words[1:], strict=False))
-    often = max(5, n / 22)
-    repeated = [False] * n
-    single = Counter(w for w in words if w is not None and w not in FUNCTION_WORDS and not w.isdigit())
-    alone = {w for w, k in single.items() if k >= max(6, n / 12)}
-    for i in range(n):
-        repeated[i] = words[i] in alone
-    for i in range(n - 1):
-        if words[i] is not None and pairs[words[i], words[i + 1]] >= often:
-            repeated[i] = repeated[i + 1] = True
-    bad = at = 0
-    for figures, segment, units in parts:
+    return [u is None or upto[min(n, i + REACH + 1)] - upto[max(0, i - REACH)] < need for i, u in enumerate(units)], k
+
+
+def _content(w: str | None) -> bool:
+    return w is not None and len(w) > SHORT and not w.isdigit()
+
+
+def _key_phrases(parts: Iterable[tuple[bool, str, Units]]) -> tuple[set, set, set]:
+    """(dense pairs, other repeated pairs, words) that repeat as key phrases do. A phrase of two to five words is as many pairs.
+
+    Dense pairs are one in 22 words, single words one in 12. Other pairs of longer words repeat five times, or half the root of the text's words, at least:
+    many key phrases may share a page, however long it is. Prose repeats them too, so they count only where no short word links them.
+    """
+    pairs: Counter = Counter()
+    single: Counter = Counter()
+    n, last = 0, None
+    for _, _, units in parts:
+        n += len(units)
+        low = [u and u.lower() for u in units]
+        pairs.update(zip([last, *low[:-1]], low, strict=True))
+        single.update(low)
+        last = low[-1]
+    many, some = max(5, n / 22), max(5, math.sqrt(n) / 2)
+    often = {p: k for p, k in pairs.items() if k >= some and None not in p}
+    dense = {p for p, k in often.items() if k >= many}
+    return dense, {p for p in often if p not in dense and _content(p[0]) and _content(p[1])}, {w for w, k in single.items() if k >= max(6, n / 12) and _content(w)}
+
+
+def list_words(text: str) -> tuple[int, int]:
+    """(words, words outside of sentences or in repeated phrases) of a text of any length, judged as a whole."""
+    held = list(_segments(text)) if len(text) <= HELD else None
+    dense, other, alone = _key_phrases(held if held is not None else _segments(text))
+    n = bad = 0
+    for figures, segment, units in held if held is not None else _segments(text):
         k = len(units)
-        again = repeated[at : at + k]
-        at += k
+        n += k
         if figures:
             continue
-        if sum(again) >= 0.3 * k:
-            bad += k
+        loose, short = _loose(segment, units)
+        if dense or alone or (other and not short):
+            low = [u and u.lower() for u in units]
+            again = [w in alone for w in low]
+            for i, p in enumerate(zip(low, low[1:], strict=False)):
+                if p in dense or (not short and p in other):
+                    again[i] = again[i + 1] = True
+            bad += k if sum(again) >= 0.3 * k else sum(a or b for a, b in zip(again, loose, strict=True))
         else:
-            bad += sum(a or b for a, b in zip(again, _loose(segment, units), strict=True))
+            bad += sum(loose)
     return n, bad
 
 
-def list_words(text: str) -> tuple[int, int]:
-    """(words, words outside of sentences) of a text of any length; very long ones are judged in pieces that add up."""
-    n = bad = size = 0
-    held: list[tuple[bool, str, list[str | None]]] = []
-    for part in _segments(text):
-        held.append(part)
-        size += len(part[2])
-        if size >= CHUNK_WORDS:
-            a, b = _judge(held)
-            n, bad, held, size = n + a, bad + b, [], 0
-    a, b = _judge(held)
-    return n + a, bad + b
-
-
 def blocks(text: str) -> list[str]:
     out, at = [], 0
     while len(text) - at > BLOCK * 3 // 2:
@@ -148,13 +155,19 @@ def blocks(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
+def _packed(raw: bytes) -> int:
+    # A window that fits the block: the default one costs more to set up than the block to compress.
+    c = zlib.compressobj(6, zlib.DEFLATED, -11, 5)
+    return len(c.compress(raw)) + len(c.flush())
+
+
 def block_measures(text: str) -> list[tuple[int, float, float]]:
     """(length bin, compression ratio, sentence ends a word) of each block."""
     out = []
     for b in blocks(text):
         raw = b.encode("utf-8", "replace")
         n = max(1, len(WORD.findall(b)))
-        out.append((min(len(raw) // 100, 9), len(raw) / max(1, len(zlib.compress(raw, 6))), len(ENDS.findall(b)) / n))
+        out.append((min(len(raw) // 100, 9), len(raw) / max(1, _packed(raw)), len(ENDS.findall(b)) / n))
     return out
 
 
@@ -173,26 +186,32 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
                 rows.append((d, code, n, bad, [{"bin": a, "ratio": r, "ends": e} for a, r, e in block_measures(t)]))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    code = F.coalesce(F.substring(F.lower(F.trim(lang)), 1, 2), F.lit("??"))
+    # Two letters at most, so there are under 700 languages whatever the labels.
+    code = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2})", 1), F.lit("")), F.lit("??"))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), code.alias("__lang")).filter(F.length("__text") > 0)
     return rows.mapInPandas(scan, schema)
 
 
+def usual_ratios(measured: DataFrame) -> DataFrame:
+    """(lang, bin, usual): the median ratio of the blocks of a language and length, drawn towards that of all languages as if ``PRIOR_BLOCKS`` more blocks had it; at most 7,000 rows."""
+    each = measured.select("lang", F.explode("blocks").alias("b")).select(F.explode(F.array("lang", F.lit("*"))).alias("lang"), "b.bin", "b.ratio")
+    per = each.groupBy("lang", "bin").agg(F.percentile_approx("ratio", 0.5, 1000).alias("own"), F.count(F.lit(1)).alias("n"))
+    every = per.filter("lang = '*'").select("bin", F.col("own").alias("every"))
+    blend = (F.col("own") * F.col("n") + F.col("every") * PRIOR_BLOCKS) / (F.col("n") + PRIOR_BLOCKS)
+    return per.filter("lang <> '*'").join(every, "bin").select("lang", "bin", F.least(blend, F.lit(MOST_USUAL)).alias("usual"))
+
+
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", excess: float = 1.6, few_ends: float = 0.025, share: float = 0.5) -> DataFrame:
     """(doc_id, n_words, list_share, redundancy, least_ends, is_candidate, is_spam) for every text with a word.
 
-    redundancy is the greatest of the blocks' compression ratios, each divided by the median of its language and length over the corpus;
+    redundancy is the greatest of the blocks' compression ratios, each divided by the usual one of its language and length over the corpus;
     least_ends the least sentence ends a word of its blocks. A candidate has redundancy above ``excess`` or ends below ``few_ends``;
-    it is such a page if list_share is above ``share``.
+    it is such a page if list_share is above ``share``. The usual ratios reach each text as one map; no text is shuffled.
     """
     m = cut(measure(docs, doc_id, text, lang), "measured")
-    each = m.select(doc_id, "lang", "n_words", "n_loose", F.explode("blocks").alias("b")).select(doc_id, "lang", "n_words", "n_loose", "b.*")
-    # A language with few blocks of a length, as odd labels have, goes by the blocks of all languages.
-    usual = each.select(F.explode(F.array("lang", F.lit("*"))).alias("of"), "bin", "ratio").groupBy("of", "bin").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count(F.lit(1)).alias("n"))
-    own = usual.filter(F.col("n") >= LEAST_BLOCKS).select(F.col("of").alias("lang"), "bin", F.col("usual").alias("own"))
-    rated = each.join(own, ["lang", "bin"], "left").join(usual.filter("of = '*'").select("bin", "usual"), "bin", "left").withColumn("usual", F.least(F.coalesce("own", "usual"), F.lit(MOST_USUAL)))
-    out = rated.groupBy(doc_id, "n_words", "n_loose").agg(F.max(F.col("ratio") / F.coalesce("usual", "ratio")).alias("redundancy"), F.min("ends").alias("least_ends"))
-    out = out.filter("n_words > 0").withColumn("list_share", F.col("n_loose") / F.col("n_words"))
+    usual = usual_ratios(m).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("lang", "bin"), "usual")))).scalar()
+    out = m.filter("n_words > 0").withColumn("__usual", usual)
+    ratio = lambda b: b["ratio"] / F.col("__usual")[F.struct(F.col("lang"), b["bin"].alias("bin"))]
+    out = out.withColumns({"redundancy": F.array_max(F.transform("blocks", ratio)), "least_ends": F.array_min(F.transform("blocks", lambda b: b["ends"])), "list_share": F.col("n_loose") / F.col("n_words")})
     out = out.withColumn("is_candidate", (F.col("redundancy") > excess) | (F.col("least_ends") < few_ends))
     return out.withColumn("is_spam", F.col("is_candidate") & (F.col("list_share") > share)).select(doc_id, "n_words", "list_share", "redundancy", "least_ends", "is_candidate", "is_spam")
-

@@ -271,6 +271,10 @@ CASES = {
     "prose": (PROSE, False), "long": (PROSE * 400, False), "links": (LINKS, True), "tags": (TAGS, True), "goods": (GOODS, True), "repeat": ("cheap bank bonus " * 80, True), "stuffed": (STUFFED, True),
     "places": (" ".join(f"dental offices near Elk{x} dental offices in Oak{x}" for x in ("ford", "bury", "mere", "wick", "dale", "gate")), True), "table": (PROSE + "\n" + TABLE, False),
     "note with links": (PROSE * 4 + "\nReferences:\n" + "\n".join(LINKS.split("\n")[:6]), False), "half": (PROSE + "\n" + LINKS, True), "forum": ("lol no, that is not a small thing for a shop like mine tbh it was fine for me until they closed the branch and we had to call them", False),
+    "ru": ("Сегодня утром компания объявила о закрытии трёх магазинов в центре города, потому что продажи заметно упали за последний год и вернуть покупателей уже не удалось. Управляющий сказал, что решение было трудным, но другого выхода у них просто не осталось, и поблагодарил всех, кто приходил к ним все эти годы.", False),
+    "pl": ("Wczoraj wieczorem firma ogłosiła zamknięcie trzech sklepów w centrum miasta, ponieważ sprzedaż wyraźnie spadła w ciągu ostatniego roku. Kierownik powiedział, że decyzja była trudna, ale innego wyjścia po prostu nie było", False),
+    "ru list": ("\n".join(f"Дешёвый кредит {i} | Лучшая страховка {i * 7} | Срочный займ онлайн" for i in range(30)), True), "zh": ("今日、会社は三つの店を閉めると発表した。売上が大きく下がったためだという。店長は難しい決断だったと話した。", False),
+    "phrases": ("\n".join(f"{a.title()} {b} works." for _ in range(40) for a in ("marine", "crypto", "payday", "lawyer") for b in ("insurance", "lending", "refunds")), True),
     "es": ("La empresa pagó a su proveedor durante el mes y el saldo quedó más bajo de lo previsto. No hay datos para explicar por qué.", False),
 }
 
@@ -285,7 +289,10 @@ def test_list_pages(spark):
     assert spam.judged(df.limit(0)).count() == 0
 
 
-def test_very_long_page():
+def test_very_long_page(monkeypatch):
     n, bad = spam.list_words("cheap bank bonus " * 60_000 + PROSE * 10)
     assert n > 180_000 and bad / n > 0.98
+    held = spam.list_words(LINKS + PROSE * 3 + "cheap bank bonus " * 30)
+    monkeypatch.setattr(spam, "HELD", 10)
+    assert spam.list_words(LINKS + PROSE * 3 + "cheap bank bonus " * 30) == held
     assert "".join(spam.blocks(PROSE * 100)) == PROSE * 100
