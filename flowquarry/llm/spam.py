@@ -43,6 +43,7 @@ CLOSERS = "\"”’»)\\]"
 SENTENCE = re.compile(rf"(?<=[.!?])[{CLOSERS}]*\s+|(?<=[。！？।])")
 CLOSED = re.compile(rf"[.!?。！？।][{CLOSERS}]*$")
 LISTED = re.compile(r"[;|•]|::")
+SEPARATOR = re.compile(r"[|•]|::")
 ENDS = re.compile(rf"[.!?][{CLOSERS}]*(?=\s|$)|[。！？।]")
 
 Units = list[str | None]
@@ -80,7 +81,7 @@ def _loose(segment: str, units: Units) -> tuple[list[bool], int]:
     """For each unit, whether it stands outside of anything like a sentence; and the number of short words.
 
     Sentences end in a stop or hold short words all along, as the words that link others are in languages written in letters. Names and product codes have capitals
-    or digits, so only words in lower case count, or all where a segment has no lower case.
+    or digits, so only words in lower case count, or all where a segment has no lower case. What bars, bullets or double colons cut every twelve words is a list.
     """
     n = len(units)
     lower = not segment.isupper()
@@ -93,6 +94,8 @@ def _loose(segment: str, units: Units) -> tuple[list[bool], int]:
     caseless = n == 1 and units[0] and units[0].isalpha() and units[0].lower() == units[0].upper()  # scripts without blanks
     if (n >= 2 or caseless) and (n <= 12 or (n <= 60 and k >= 2)) and None not in units and CLOSED.search(segment) and not segment[0].islower() and not LISTED.search(segment):
         return [False] * n, k
+    if len(SEPARATOR.findall(segment)) >= max(4, n / 12):
+        return [True] * n, k
     need = 2 if n > REACH else 1
     return [u is None or upto[min(n, i + REACH + 1)] - upto[max(0, i - REACH)] < need for i, u in enumerate(units)], k
 
