@@ -38,15 +38,12 @@ def presence(parents: DataFrame, node: str = "node", loaded: str = "loaded_at",
 def orphans(refs: DataFrame, present: DataFrame) -> DataFrame:
     """The references without a present parent, with ``kind``: missing (no row at all), late (none loaded yet) or deleted.
 
-    A left anti-join of the distinct references against the months in which a parent is present, within the months that
-    occur; the kind then comes from each id's first month.
+    A left anti-join of the distinct references against the spans of months in which a parent is present, a few rows a parent whatever
+    the number of months; the kind then comes from each id's first month.
     """
-    span = refs.agg(F.min(month_index("time_key")).alias("lo"), F.max(month_index("time_key")).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    spans = present.select("node", F.greatest("first_m", lo).alias("a"), F.least("last_m", hi).alias("b")).filter("a <= b")
-    months = spans.select("node", F.explode(F.sequence("a", "b")).alias("m")).distinct()
+    spans = present.filter("first_m <= last_m").select(F.col("node").alias("__node"), F.col("first_m").alias("__a"), F.col("last_m").alias("__b"))
     keyed = refs.withColumn("m", month_index("time_key"))
-    lost = keyed.join(months, ["node", "m"], "left_anti")
+    lost = keyed.join(spans, (F.col("node") == F.col("__node")) & F.col("m").between(F.col("__a"), F.col("__b")), "left_anti")
     firsts = present.groupBy("node").agg(F.min("first_m").alias("first_m"))
     kind = F.when(F.col("first_m").isNull(), "missing").when(F.col("first_m") > F.col("m"), "late").otherwise("deleted")
     return lost.join(firsts, "node", "left").select("table_name", "field_name", "time_key", "node", kind.alias("kind"), "n_rows")

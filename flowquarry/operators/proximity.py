@@ -18,6 +18,8 @@ from flowquarry.operators.skew import salted_join
 
 #: Cells are so many radii wide: a point then looks into two cells and a quarter on average, not into nine.
 WIDTH = 4.0
+#: Keys of one place that one task meets at a time.
+KEYS = 500
 
 
 def _bands(radius_km: float) -> tuple[float, float, int]:
@@ -49,18 +51,16 @@ def _at(lon: Column, n: Column) -> Column:
     return F.floor((lon + 180.0) * n / 360.0)
 
 
-def near_pairs(points: DataFrame, radius_km: float, key: str = "node", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """All pairs (key_a < key_b as text, km) of different keys that have points at most ``radius_km`` apart.
-
-    ``points`` has a key and finite coordinates, which may repeat; rows with a null key are left out. Keys at the very same place are first
-    folded into one place, so copies meet once and not once for every row; cells that hold many places are salted.
-    The result itself holds every pair, as it is asked for. km is the least distance of the two keys.
-    """
+def placed(points: DataFrame, key: str = "node", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(k, lat, lon), distinct: the key as text, and one name for each place. Rows with a null are left out."""
     rows = points.select(F.col(key).cast("string").alias("k"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-    rows = rows.filter("k is not null and lat is not null and lon is not null").distinct()
+    rows = rows.filter("k is not null and lat is not null and lon is not null")
     # -0.0 and 0.0, and both names of the antimeridian, are one place each.
-    rows = rows.select("k", (F.col("lat") + 0.0).alias("lat"), F.when(F.col("lon") == -180.0, 180.0).otherwise(F.col("lon") + 0.0).alias("lon"))
-    places = rows.select("lat", "lon").distinct()
+    return rows.select("k", (F.col("lat") + 0.0).alias("lat"), F.when(F.col("lon") == -180.0, 180.0).otherwise(F.col("lon") + 0.0).alias("lon")).distinct()
+
+
+def place_links(places: DataFrame, radius_km: float) -> DataFrame:
+    """(lat_a, lon_a, lat_b, lon_b, km) of different places (lat, lon) at most ``radius_km`` apart, each pair once, the lower place first."""
     here = places.select("lat", "lon", _band(F.col("lat"), radius_km).alias("band"))
     home = here.withColumn("n", _cells(F.col("band"), radius_km)).select("lat", "lon", "band", F.pmod(_at(F.col("lon"), F.col("n")), F.col("n")).alias("cell"))
     reach, _, _ = _bands(radius_km)
@@ -72,13 +72,40 @@ def near_pairs(points: DataFrame, radius_km: float, key: str = "node", lat: str
     look = look.select("lat_a", "lon_a", "band", F.explode(cells).alias("cell"))
     met = salted_join(look, home, ["band", "cell"])
     km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon"))
-    ordered = (F.col("lat_a") < F.col("lat")) | ((F.col("lat_a") == F.col("lat")) & (F.col("lon_a") <= F.col("lon")))
-    linked = met.filter(ordered).select("lat_a", "lon_a", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), km.alias("km")).filter(F.col("km") <= radius_km)
+    ordered = (F.col("lat_a") < F.col("lat")) | ((F.col("lat_a") == F.col("lat")) & (F.col("lon_a") < F.col("lon")))
+    return met.filter(ordered).select("lat_a", "lon_a", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), km.alias("km")).filter(F.col("km") <= radius_km)
+
+
+def near_places(points: DataFrame, radius_km: float, key: str = "node", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(lat, lon, n_keys, n_places, n_near): a row a place, the class of all keys there, with the places and the keys of other places at most ``radius_km`` away.
+
+    It says what ``near_pairs`` does without a row for each pair of keys: keys of one place are near each other, and links are between places. A key of
+    several places counts at each of them.
+    """
+    n = placed(points, key, lat, lon).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n_keys"))
+    links = place_links(n.select("lat", "lon"), radius_km)
+    both = links.select(F.explode(F.array(F.struct("lat_a", "lon_a", "lat_b", "lon_b"), F.struct(F.col("lat_b").alias("lat_a"), F.col("lon_b").alias("lon_a"), F.col("lat_a").alias("lat_b"), F.col("lon_a").alias("lon_b")))).alias("x")).select("x.*")
+    other = n.select(F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("n_keys").alias("k"))
+    sums = both.join(other, ["lat_b", "lon_b"]).groupBy(F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon")).agg(F.count(F.lit(1)).alias("n_places"), F.sum("k").alias("n_near"))
+    return n.join(sums, ["lat", "lon"], "left").select("lat", "lon", "n_keys", F.coalesce("n_places", F.lit(0)).alias("n_places"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+def near_pairs(points: DataFrame, radius_km: float, key: str = "node", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """All pairs (key_a < key_b as text, km) of different keys that have points at most ``radius_km`` apart.
+
+    ``points`` has a key and finite coordinates, which may repeat; rows with a null key are left out. Keys at the very same place are first
+    folded into one place, so copies meet once and not once for every row; cells that hold many places, and places that hold many keys, are split by their load.
+    The result itself holds every pair, as it is asked for; ``near_places`` counts them by place. km is the least distance of the two keys.
+    """
+    rows = placed(points, key, lat, lon)
     a = rows.select(F.col("k").alias("k_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
     b = rows.select(F.col("k").alias("k_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    # Within one place each pair comes once; between two places the keys may stand in either order.
-    one = (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))
-    pairs = linked.join(a, ["lat_a", "lon_a"]).join(b, ["lat_b", "lon_b"]).filter((F.col("k_a") < F.col("k_b")) | (~one & (F.col("k_a") > F.col("k_b"))))
+    links = place_links(rows.select("lat", "lon").distinct(), radius_km)
+    ends = salted_join(links, a, ["lat_a", "lon_a"], KEYS)
+    # Keys of one place meet those of the same place; between two places the keys may stand in either order.
+    same = a.select("k_a", F.col("lat_a").alias("lat_b"), F.col("lon_a").alias("lon_b"), F.lit(0.0).alias("km"), F.lit(True).alias("one"))
+    left = ends.select("k_a", "lat_b", "lon_b", "km", F.lit(False).alias("one")).unionByName(same)
+    pairs = salted_join(left, b, ["lat_b", "lon_b"], KEYS).filter((F.col("k_a") < F.col("k_b")) | (~F.col("one") & (F.col("k_a") > F.col("k_b"))))
     pairs = pairs.select(F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"), "km")
     return pairs.groupBy("key_a", "key_b").agg(F.min("km").alias("km"))
 

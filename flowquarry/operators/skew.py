@@ -132,17 +132,17 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str],
     return rest.unionByName(split)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], most: int = 2000, salts: int = 16) -> DataFrame:
-    """Inner join in which keys with over ``most`` right rows are salted: right rows take one of ``salts`` salts, left rows all of them.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:
+    """Inner join in which a key with more than ``most`` right rows has a salt for each ``most`` of them: right rows take one, left rows all of their key's.
 
     At most ``count / most`` keys can be that large; they are found by a count that combines before its shuffle.
     """
-    hot = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(*keys, F.lit(True).alias("__hot"))
-    r = right.join(hot, keys, "left")
+    n = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = n.filter(F.col("__n") > most).select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__salts"))
     others = [c for c in right.columns if c not in keys]
-    r = r.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
-    every = F.array(*[F.lit(i) for i in range(salts)])
-    left_ = left.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))).drop("__hot")
+    salts = F.coalesce("__salts", F.lit(1))
+    r = right.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*others), salts).cast("int")).drop("__salts")
+    left_ = left.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return left_.join(r, [*keys, "__salt"]).drop("__salt")
 
 

@@ -78,18 +78,18 @@ WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2)
 _AREA = "SELECT DISTINCT 'area' AS kind, loc.node AS key_a, az AS key_b FROM loc JOIN area ON lat >= min_lat AND lat < max_lat AND lon >= min_lon AND lon < max_lon"
 
 
-def stray_areas(spark: SparkSession, d: str) -> DataFrame:
+def stray_areas(rows: DataFrame, boxes: DataFrame) -> DataFrame:
     """(node, zip3 of the area that holds one of its points) for nodes of which a located row states another zip3."""
-    rows = located_rows(spark, d)
-    held = proximity.in_boxes(rows, areas(spark, d)).select("node", "area_zip3").distinct()
+    held = proximity.in_boxes(rows, boxes).select("node", "area_zip3").distinct()
     stated = rows.filter("zip3 is not null").select("node", "zip3").distinct()
     return held.join(stated, "node").filter("zip3 <> area_zip3").select("node", "area_zip3").distinct()
 
 
 @query("p3_found", _LOCATED + _NEAR + "UNION ALL " + _AREA + " JOIN loc s ON s.node = loc.node AND s.zip3 <> az")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = proximity.near_pairs(located_rows(spark, d), 0.25)
-    stray = stray_areas(spark, d)
+    rows = cut(located_rows(spark, d).distinct(), "located")
+    near = proximity.near_pairs(rows, 0.25)
+    stray = stray_areas(rows, areas(spark, d))
     return near.select(F.lit("near").alias("kind"), "key_a", "key_b").unionByName(stray.select(F.lit("area").alias("kind"), F.col("node").alias("key_a"), F.col("area_zip3").alias("key_b")))
 
 
@@ -99,6 +99,19 @@ def p3_areas(spark: SparkSession, d: str) -> DataFrame:
     return held.select(F.lit("area").alias("kind"), F.col("node").alias("key_a"), F.col("area_zip3").alias("key_b")).distinct()
 
 
+@query(
+    "p3_places",
+    _LOCATED
+    + """, pl AS (SELECT lat, lon, count(DISTINCT node) AS n_keys FROM loc WHERE node IS NOT NULL GROUP BY lat, lon),
+lk AS (SELECT a.lat, a.lon, b.n_keys AS k FROM pl a JOIN pl b ON abs(a.lat - b.lat) < 0.01 AND (a.lat <> b.lat OR a.lon <> b.lon)
+ WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 0.25)
+SELECT pl.lat, pl.lon, n_keys, count(k) AS n_places, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_near FROM pl LEFT JOIN lk ON lk.lat = pl.lat AND lk.lon = pl.lon GROUP BY pl.lat, pl.lon, n_keys""",
+)
+def p3_places(spark: SparkSession, d: str) -> DataFrame:
+    """A row a place with the nodes there and those of other places at most 0.25 km away: the pairs of p3_found by class, without writing each."""
+    return proximity.near_places(located_rows(spark, d), 0.25)
+
+
 # ---- p4 orphan references
 
 

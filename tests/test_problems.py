@@ -108,10 +108,20 @@ def test_near_pairs_empty_and_hot_cell(spark):
     hot = [(f"n{i}", 10 + i * 1e-7, 20.0) for i in range(60)]
     left = spark.createDataFrame([(1, i) for i in range(50)], "c int, i int")
     right = spark.createDataFrame([(1, i) for i in range(70)] + [(2, 0)], "c int, j int")
-    assert skew.salted_join(left, right, ["c"], most=10, salts=4).count() == 50 * 70
+    assert skew.salted_join(left, right, ["c"], most=10).count() == 50 * 70
     assert proximity.near_pairs(spark.createDataFrame(hot, "node string, lat double, lon double"), 0.25).count() == 60 * 59 // 2
 
 
+def test_one_place_of_many_keys(spark):
+    """A placeholder point: the classes of 20,000 nodes take a row, and the pairs of a smaller one are all there, split by load."""
+    far = spark.createDataFrame([("x", 10.001, 20.0), ("x", 50.0, 50.0), ("y", 10.0, 20.003), (None, 10.0, 20.0)], "node string, lat double, lon double")
+    at = lambda n: spark.range(n).select(F.concat(F.lit("n"), "id").alias("node"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lon")).unionByName(far)
+    got = rows(proximity.near_places(at(20_000).withColumn("n_keys", F.lit("clash")), 0.25))
+    assert got == [(10.0, 20.0, 20_000, 1, 1), (10.0, 20.003, 1, 0, 0), (10.001, 20.0, 1, 1, 20_000), (50.0, 50.0, 1, 0, 0)]
+    assert proximity.near_pairs(at(1200), 0.25).count() == 1200 * 1199 // 2 + 1200
+    assert proximity.near_places(far.limit(0), 0.25).count() == 0
+
+
 def test_boxes_and_polygons(spark):
     boxes = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0, "x"), (2, 1.0, 2.0, 0.0, 1.0, "y"), (3, -5.0, 5.0, 10.0, 20.0, "z"), (4, None, 1.0, 0.0, 1.0, "n")], "area_id int, min_lat double, max_lat double, min_lon double, max_lon double, node string")
     pts = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 0.5), ("c", 0.5, 1.0), ("d", 4.999, 19.999), ("e", None, 1.0), ("f", 50.0, 50.0)], "node string, lat double, lon double")
