@@ -13,7 +13,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,20 +40,18 @@ ANCHOR = re.compile(r"<a\s[^<>]*href\s*=\s*[\"']?([^\"'\s<>]*)[^<>]*>([^<>]*)</a
 TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 #: Letters or digits; an at sign within is one of them, as pages write it for an a.
 WORD = re.compile(r"[^\W_]+(?:@[^\W_]+)*")
-CLOSERS = "\"”’»)\\]"
-SENTENCE = re.compile(rf"(?<=[.!?])[{CLOSERS}]*\s+|(?<=[。！？।])")
-CLOSED = re.compile(rf"[.!?。！？।][{CLOSERS}]*$")
+CLOSERS = "\"”’»)]"
+SENTENCE = re.compile(r"(?<=[.!?])[\"”’»)\]]*\s+|(?<=[。！？।])")
+STOPS = ".!?。！？।"
 LISTED = re.compile(r"[;|•]|::")
 SEPARATOR = re.compile(r"[|•]|::")
-ENDS = re.compile(rf"[.!?][{CLOSERS}]*(?=\s|$)|[。！？।]")
+ENDS = re.compile(r"[.!?][\"”’»)\]]*(?=\s|$)|[。！？।]")
 
 Units = list[str | None]
 
 
 def _units(segment: str) -> Units:
     """The words of a segment as they stand; a link or a hashtag is one unit, None."""
-    if not MARKED.search(segment):
-        return WORD.findall(segment)
     out: Units = []
     at = 0
     for a, b in sorted([m.span() for m in URL.finditer(segment)] + [m.span() for m in HASHTAG.finditer(segment)]):
@@ -68,82 +67,102 @@ def _segments(text: str) -> Iterator[tuple[bool, str, Units]]:
     """(is a record of figures, segment, units) of each sentence or line."""
     if "<" in text:
         text = TAG.sub(" ", ANCHOR.sub(r" [\2](\1) ", text))
+    units_of = _units if MARKED.search(text) else WORD.findall
     for line in text.replace("&nbsp;", " ").splitlines():
         if line.count("\t") >= 2:
             yield True, line, WORD.findall(line)
         else:
             for s in SENTENCE.split(line):
-                if units := _units(s):
+                if units := units_of(s):
                     yield False, s.strip(), units
 
 
-def _loose(segment: str, units: Units) -> tuple[list[bool], int]:
-    """For each unit, whether it stands outside of anything like a sentence; and the number of short words.
+def _short(segment: str, units: Units) -> list[bool]:
+    """Which units are short words. Names and product codes have capitals or digits, so only words in lower case count, or all where a segment has no lower case."""
+    if segment.isupper():
+        return [u is not None and len(u) <= SHORT and u.isalpha() for u in units]
+    return [u is not None and len(u) <= SHORT and u.isalpha() and not u[0].isupper() for u in units]
 
-    Sentences end in a stop or hold short words all along, as the words that link others are in languages written in letters. Names and product codes have capitals
-    or digits, so only words in lower case count, or all where a segment has no lower case. What bars, bullets or double colons cut every twelve words is a list.
+
+def _loose(segment: str, units: Units) -> list[bool] | None:
+    """For each unit, whether it stands outside of anything like a sentence; None if none does.
+
+    Sentences end in a stop, or hold short words all along, as the words that link others are in languages written in letters.
+    What bars, bullets or double colons cut every twelve words is a list.
     """
     n = len(units)
-    lower = not segment.isupper()
-    upto = [0]
-    k = 0
-    for u in units:
-        if u is not None and len(u) <= SHORT and u.isalpha() and (not lower or not u[0].isupper()):
-            k += 1
-        upto.append(k)
     caseless = n == 1 and units[0] and units[0].isalpha() and units[0].lower() == units[0].upper()  # scripts without blanks
-    if (n >= 2 or caseless) and (n <= 12 or (n <= 60 and k >= 2)) and None not in units and CLOSED.search(segment) and not segment[0].islower() and not LISTED.search(segment):
-        return [False] * n, k
+    closed = n <= 60 and (n >= 2 or caseless) and segment.rstrip(CLOSERS)[-1:] in STOPS and not segment[0].islower() and None not in units and not LISTED.search(segment)
+    if closed and n <= 12:
+        return None
+    short = _short(segment, units)
+    if closed and sum(short) >= 2:
+        return None
     if len(SEPARATOR.findall(segment)) >= max(4, n / 12):
-        return [True] * n, k
+        return [True] * n
+    upto = [0, *accumulate(short)]
     need = 2 if n > REACH else 1
-    return [u is None or upto[min(n, i + REACH + 1)] - upto[max(0, i - REACH)] < need for i, u in enumerate(units)], k
+    return [u is None or upto[min(n, i + REACH + 1)] - upto[max(0, i - REACH)] < need for i, u in enumerate(units)]
 
 
 def _content(w: str | None) -> bool:
     return w is not None and len(w) > SHORT and not w.isdigit()
 
 
-def _key_phrases(parts: Iterable[tuple[bool, str, Units]]) -> tuple[set, set, set]:
+def _lower(units: Units) -> Units:
+    return [u and u.lower() for u in units] if None in units else " ".join(units).lower().split(" ")
+
+
+def _key_phrases(parts: Callable[[], Iterable[tuple[bool, str, Units]]]) -> tuple[set, set, set]:
     """(dense pairs, other repeated pairs, words) that repeat as key phrases do. A phrase of two to five words is as many pairs.
 
     Dense pairs are one in 22 words, single words one in 12. Other pairs of longer words repeat five times, or half the root of the text's words, at least:
     many key phrases may share a page, however long it is. Prose repeats them too, so they count only where no short word links them.
     """
-    pairs: Counter = Counter()
     single: Counter = Counter()
-    n, last = 0, None
-    for _, _, units in parts:
-        n += len(units)
-        low = [u and u.lower() for u in units]
+    for _, _, units in parts():
+        single.update(_lower(units))
+    n = single.total()
+    many, some = max(5, n / 22), max(5, math.sqrt(n) / 2)
+    alone = {w for w, k in single.items() if k >= max(6, n / 12) and _content(w)}
+    often = [w for w, k in single.items() if k >= some and w is not None]
+    if len([w for w in often if single[w] >= many]) < 2 and len([w for w in often if _content(w)]) < 2:
+        return set(), set(), alone  # no pair can be frequent if its words aren't
+    pairs: Counter = Counter()
+    last = None
+    for _, _, units in parts():
+        low = _lower(units)
         pairs.update(zip([last, *low[:-1]], low, strict=True))
-        single.update(low)
         last = low[-1]
-    many, some = max(5, n / 22), max(5, math.sqrt(n) / 2)
-    often = {p: k for p, k in pairs.items() if k >= some and None not in p}
-    dense = {p for p, k in often.items() if k >= many}
-    return dense, {p for p in often if p not in dense and _content(p[0]) and _content(p[1])}, {w for w, k in single.items() if k >= max(6, n / 12) and _content(w)}
+    kept = {p: k for p, k in pairs.items() if k >= some and None not in p}
+    dense = {p for p, k in kept.items() if k >= many}
+    return dense, {p for p in kept if p not in dense and _content(p[0]) and _content(p[1])}, alone
 
 
 def list_words(text: str) -> tuple[int, int]:
     """(words, words outside of sentences or in repeated phrases) of a text of any length, judged as a whole."""
     held = list(_segments(text)) if len(text) <= HELD else None
-    dense, other, alone = _key_phrases(held if held is not None else _segments(text))
+    parts = (lambda: held) if held is not None else (lambda: _segments(text))
+    dense, other, alone = _key_phrases(parts)
     n = bad = 0
-    for figures, segment, units in held if held is not None else _segments(text):
+    for figures, segment, units in parts():
         k = len(units)
         n += k
         if figures:
             continue
-        loose, short = _loose(segment, units)
-        if dense or alone or (other and not short):
-            low = [u and u.lower() for u in units]
+        loose = _loose(segment, units)
+        if dense or alone or (other and not any(_short(segment, units))):
+            low = _lower(units)
+            sparse = other and not any(_short(segment, units))
             again = [w in alone for w in low]
             for i, p in enumerate(zip(low, low[1:], strict=False)):
-                if p in dense or (not short and p in other):
+                if p in dense or (sparse and p in other):
                     again[i] = again[i + 1] = True
-            bad += k if sum(again) >= 0.3 * k else sum(a or b for a, b in zip(again, loose, strict=True))
-        else:
+            if sum(again) >= 0.3 * k:
+                bad += k
+            else:
+                bad += sum(again) if loose is None else sum(a or b for a, b in zip(again, loose, strict=True))
+        elif loose is not None:
             bad += sum(loose)
     return n, bad
 
@@ -169,8 +188,7 @@ def block_measures(text: str) -> list[tuple[int, float, float]]:
     out = []
     for b in blocks(text):
         raw = b.encode("utf-8", "replace")
-        n = max(1, len(WORD.findall(b)))
-        out.append((min(len(raw) // 100, 9), len(raw) / max(1, _packed(raw)), len(ENDS.findall(b)) / n))
+        out.append((min(len(raw) // 100, 9), len(raw) / max(1, _packed(raw)), len(ENDS.findall(b)) / max(1, len(b.split()))))
     return out
 
 
