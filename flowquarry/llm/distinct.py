@@ -84,24 +84,26 @@ def _encode(hashes: pd.Series) -> pd.Series:
     return hashes.map(lambda a: encode(np.asarray(a, np.int64)))
 
 
-def large_groups(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bits) of the groups whose rows may hold more than one shard's hashes. Counted before the shuffle; at most rows / ``SHARD_ROWS`` groups."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return n.filter(F.col("n") > SHARD_ROWS).select(*keys, shard_bits(F.col("n")).alias("bits"))
+def with_bits(df: DataFrame, keys: list[str], size: Column, name: str) -> DataFrame:
+    """Adds ``name``: the leading bits for a group whose rows' ``size`` adds up to that of its hashes at most.
+
+    Only groups of more than ``SHARD_ROWS`` have any, at most the sum of sizes / ``SHARD_ROWS``, counted before the shuffle. Up to ``MOST_LARGE`` of them are broadcast;
+    more meet the rows by a shuffle, which adaptive execution splits where a group is large.
+    """
+    large = df.groupBy(*keys).agg(F.sum(size).alias("__n")).filter(F.col("__n") > SHARD_ROWS).select(*keys, shard_bits(F.col("__n")).alias("__bits"))
+    large = cut(large, "large")
+    k = large.count()
+    if not k:
+        return df.withColumn(name, F.lit(0))
+    side = F.broadcast(large) if k <= MOST_LARGE else large
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+    return df.alias("l").join(side.alias("r"), same, "left").select("l.*", F.coalesce("__bits", F.lit(0)).alias(name))
 
 
 def build_runs(df: DataFrame, keys: list[str], ids: Column) -> DataFrame:
     """(keys, bits, shard, n, run) of the non-null ``ids``; null is a key like others. Sets are combined on the map side, so an id that repeats is sent once a task; a set is one shard of one group."""
-    large = cut(large_groups(df.filter(ids.isNotNull()), keys), "large")
-    k = large.count()
     rows = df.filter(ids.isNotNull()).select(*keys, F.xxhash64(ids).alias("h"))
-    if k:
-        # Few groups are large, as a rule; where they are many, they meet their rows by a shuffle, which adaptive execution splits.
-        side = F.broadcast(large) if k <= MOST_LARGE else large
-        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
-        rows = rows.alias("l").join(side.alias("r"), same, "left").select("l.*", F.coalesce("bits", F.lit(0)).alias("bits"))
-    else:
-        rows = rows.withColumn("bits", F.lit(0))
+    rows = with_bits(rows, keys, F.lit(1), "bits")
     sets = rows.groupBy(*keys, "bits", _shard(F.col("h"), F.col("bits")).alias("shard")).agg(F.array_sort(F.collect_set("h")).alias("hs"))
     return sets.select(*keys, "bits", "shard", F.size("hs").cast("bigint").alias("n"), _encode("hs").alias("run"))
 
@@ -118,10 +120,7 @@ def resplit(run: bytes, bits: int, shard: int, to: int) -> list[tuple[int, bytes
 
 def merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bits, shard, n, run): the runs of each group and shard united, in shards for what the merged group may hold. Rows stream through sorted; one group's shard is held at a time."""
-    size = runs.groupBy(*keys).agg(shard_bits(F.sum("n")).alias("to"))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
-    # Groups are merged from many runs, so their sizes are a far smaller table than the runs.
-    aimed = runs.alias("l").join(size.alias("r"), same).select(*[F.col(f"l.{c}").alias(c) for c in keys], "bits", "shard", "run", "to")
+    aimed = with_bits(runs.select(*keys, "bits", "shard", "n", "run"), keys, F.col("n"), "to").drop("n")
     names = [*keys, "bits", "shard"]
     piece = T.StructType([*[runs.schema[k] for k in keys], T.StructField("bits", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("run", T.BinaryType())])
     schema = T.StructType([*piece.fields[:-1], T.StructField("n", T.LongType()), T.StructField("run", T.BinaryType())])
