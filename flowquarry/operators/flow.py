@@ -154,7 +154,8 @@ def hub_exposure(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     return marked.groupBy(*KEY).agg(share("in"), share("out"))
 
 
-CATEGORIES = ("individual", "biz_valid", "biz_placeholder", "biz_missing", "unknown", "hub")
+# Node types and the short names that their columns carry.
+CATEGORIES = {"individual": "individual", "business_naics_valid": "biz_valid", "business_naics_placeholder": "biz_placeholder", "business_naics_missing": "biz_missing", "unknown": "unknown", "hub": "hub"}
 
 
 def composition(edges: DataFrame, category: DataFrame) -> DataFrame:
@@ -164,8 +165,8 @@ def composition(edges: DataFrame, category: DataFrame) -> DataFrame:
     for d in ("in", "out"):
         side = F.col("dir") == d
         n, a = F.count_if(side), F.sum(F.when(side, F.col("cents")).otherwise(0))
-        for c in CATEGORIES:
-            hit = side & (F.col("category") == c)
+        for category_name, c in CATEGORIES.items():
+            hit = side & (F.col("category") == category_name)
             aggs += [ratio(F.count_if(hit), n).alias(f"share_{d}_cp_{c}"), ratio(F.sum(F.when(hit, F.col("cents")).otherwise(0)), a).alias(f"share_{d}_amt_{c}")]
     return inc.groupBy(*KEY).agg(*aggs)
 

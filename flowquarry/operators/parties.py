@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.cleaning import canonical_id, located, zip3
 
-# Words that mark a business name, and codes that stand for no sector.
+# Words that mark a business name, codes that stand for no sector, address types that stand for no place or for many parties,
+# and the labels of types.
 BUSINESS_WORDS = (
-    "LLC INC INCORPORATED CORP CORPORATION CO COMPANY LTD LIMITED LP LLP PLLC PC TRUST BANK GROUP HOLDINGS PARTNERS ASSOCIATES SERVICES "
-    "COOPERATIVE SONS ENTERPRISES INDUSTRIES FOUNDATION CHURCH SCHOOL UNIVERSITY CITY COUNTY STATE"
+    "LLC INC CORP CORPORATION LTD LP LLP LLLP PLLC PC CO COMPANY TRUST DBA ASSOC ASSOCIATES ASSOCIATION GROUP HOLDINGS ENTERPRISES ENTERPRISE FOUNDATION CHURCH MINISTRIES "
+    "SCHOOL ACADEMY UNIVERSITY COLLEGE CITY COUNTY BANK PARTNERS PARTNERSHIP SERVICES SOLUTIONS SYSTEMS CONSTRUCTION CONTRACTING PROPERTIES REALTY MEDICAL DENTAL CLINIC "
+    "HOSPITAL LAW FARMS MOTORS AUTO RESTAURANT MARKET SHOP SALON AGENCY INDUSTRIES CENTER CENTRE &"
 ).split()
-PLACEHOLDER_CODES = ("-1", "0", "000000", "999999", "******")
+PLACEHOLDER_CODES = ("-1", "0", "00", "000000", "999999", "******", "UNKNOWN", "N/A", "NA", "NULL", "NONE")
+PLACEHOLDER_ADDRESSES = ("POSTOFFICEBOX", "GENERALDELIVERY")
+SHARED_ADDRESSES = ("HIGHRISE",)
+BIZ_VALID, BIZ_PLACEHOLDER, BIZ_MISSING = "business_naics_valid", "business_naics_placeholder", "business_naics_missing"
 GEO_RANKS = {"STREET": 3, "HIGHRISE": 3, "FIRM": 3, "RURALROUTE": 2, "POSTOFFICEBOX": 1}
 
 
@@ -74,7 +79,7 @@ def decimal_places(c: Column | str) -> Column:
 def naics_status(c: Column | str) -> Column:
     """missing, then placeholder, then valid (two or more leading digits), else placeholder."""
     t = text_or_null(c)
-    return F.when(t.isNull(), "missing").when(t.isin(*PLACEHOLDER_CODES), "placeholder").when(t.rlike(r"^\d{2}"), "valid").otherwise("placeholder")
+    return F.when(t.isNull(), "missing").when(F.upper(t).isin(*PLACEHOLDER_CODES), "placeholder").when(t.rlike(r"^\d{2}"), "valid").otherwise("placeholder")
 
 
 def naics_level(c: Column | str, n: int) -> Column:
@@ -84,34 +89,61 @@ def naics_level(c: Column | str, n: int) -> Column:
 
 
 def name_type(c: Column | str) -> Column:
-    """business if the name holds a business word, person if it is two or three alphabetic words, else unknown; null stays null."""
+    """business if the name holds a business word, individual if it is two or three alphabetic words, else unknown; null stays null."""
     n = F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), r"[^A-Z0-9& ]", " "), r" +", " "))
     words = "|".join(BUSINESS_WORDS)
-    return F.when(n.isNull() | (n == ""), None).when(n.rlike(rf"(^| )({words})( |$)|&"), "business").when(n.rlike(r"^[A-Z]+( [A-Z]+){1,2}$"), "person").otherwise("unknown")
+    return F.when(n.isNull() | (n == ""), None).when(n.rlike(rf"(^| )({words})( |$)"), "business").when(n.rlike(r"^[A-Z]+ [A-Z]+( [A-Z]+)?$"), "individual").otherwise("unknown")
 
 
-def entity_columns(df: DataFrame) -> DataFrame:
-    """Adds observed, inferred and resolved entity with its source, NAICS status, levels and coverage, and the geographic status.
+def entity_columns(df: DataFrame, party_type_wins: bool = True) -> DataFrame:
+    """Adds observed, inferred and resolved entity with its source, NAICS status, levels and coverage, node type (also by the older rule), entity class, and the geographic status and profile.
 
-    A party type given (P, O) outweighs the type of the name.
+    A party type given (P, O) outweighs the type of the name. ``party_type_wins`` says whether a valid code makes a business only of a party that is one.
+    The older node type goes by code and name alone. A code that is no placeholder yet doesn't start with two digits has the status placeholder, and the coverage of a missing one.
     """
-    observed = F.when(F.col("party_type") == "P", "person").when(F.col("party_type") == "O", "business")
-    inferred = F.when(name_type("cust_name").isin("person", "business"), name_type("cust_name"))
+    given = F.substring(F.upper(F.coalesce("party_type", F.lit(""))), 1, 1)
+    observed = F.when(given == "P", "individual").when(given == "O", "business")
+    inferred = F.when(name_type("cust_name").isin("individual", "business"), name_type("cust_name"))
     df = df.withColumns({"entity_observed": observed, "entity_inferred": inferred, "naics_status": naics_status("naics_cd")})
     resolved = F.coalesce("entity_observed", "entity_inferred", F.lit("unknown"))
-    source = F.when(F.col("entity_observed").isNotNull(), "observed").when(F.col("entity_inferred").isNotNull(), "inferred").otherwise("none")
+    source = F.when(F.col("entity_observed").isNotNull(), "party_type").when(F.col("entity_inferred").isNotNull(), "name").otherwise("none")
     df = df.withColumns({"entity": resolved, "entity_source": source, **{f"naics{n}": naics_level("naics_cd", n) for n in (2, 3, 4, 6)}})
-    coverage = F.when(F.col("naics_status") == "valid", "valid").when(F.col("entity") != "business", "not_applicable").otherwise(F.col("naics_status"))
-    node_type = F.when(F.col("entity") == "person", "individual").when(F.col("naics_status") == "valid", "biz_valid").when(F.col("entity") == "business", F.concat(F.lit("biz_"), "naics_status")).otherwise("unknown")
+    valid, missing = F.col("naics_status") == "valid", F.col("naics_status") == "missing"
+    held = F.coalesce(F.upper("naics_cd").isin(*PLACEHOLDER_CODES), F.lit(False))
+    biz, ind = F.col("entity") == "business", F.col("entity") == "individual"
+    named, person = F.coalesce(F.col("entity_inferred") == "business", F.lit(False)), F.coalesce(F.col("entity_inferred") == "individual", F.lit(False))
+
+    def kind(first: Column, b: Column, i: Column) -> Column:
+        return F.when(first, BIZ_VALID).when(b & held, BIZ_PLACEHOLDER).when(b & missing, BIZ_MISSING).when(i, "individual").otherwise("unknown")
+
+    detail = F.when(biz & valid, BIZ_VALID).when(biz & held, BIZ_PLACEHOLDER).when(biz & missing, BIZ_MISSING).when(ind & valid, "individual_naics_valid").when(ind, "individual").when(valid, "unknown_naics_valid").otherwise("unknown")
     ok = located("lat", "lon")
-    geo = F.when(ok & F.col("zip3").isNotNull(), "point_and_zip").when(ok, "point").when(F.col("zip3").isNotNull(), "zip").otherwise("none")
-    return df.withColumns({"naics_coverage": coverage, "node_type": node_type, "geo_status": geo})
+    address = F.upper(F.coalesce(F.trim("addr_loc_rec_type"), F.lit("")))
+    known = F.col("cust_name").isNotNull() | F.col("party_type").isNotNull() | F.col("naics_cd").isNotNull()
+    return df.withColumns(
+        {
+            "naics_coverage": F.when(valid, "valid").when(~biz, "not_applicable").when(held, "placeholder").otherwise("missing"),
+            "node_type": kind(biz & valid if party_type_wins else valid, biz, ind),
+            "node_type_v5": kind(valid, named, person),
+            "entity_class": detail,
+            "geo_status": F.when(~ok, "missing").when(address.isin(*PLACEHOLDER_ADDRESSES), "placeholder").otherwise("valid"),
+            "attr_profile": F.when(known & ok, "identity+geo").when(known, "identity_only").when(ok, "geo_only").otherwise("neither"),
+            "shared_structure": address.isin(*SHARED_ADDRESSES).cast("int"),
+        }
+    )
+
+
+def party_class(name: Column | str, code: Column | str) -> Column:
+    """Business or consumer by two classifiers that know nothing of each other: a valid sector code and a business word in the name."""
+    by_code, by_name = naics_status(code) == "valid", F.coalesce(name_type(name) == "business", F.lit(False))
+    return F.when(by_code & by_name, "1_biz_both").when(by_code, "2_biz_naics_only").when(by_name, "3_biz_name_only").otherwise("4_consumer_like")
 
 
 def resolve_duplicates(raw: DataFrame) -> DataFrame:
     """One row a node: each identity field is its first non-null value by rec_id, the geography is the whole row of the best address type.
 
     Also n_rows and whether names or coordinates conflict. Rows without an id are left out. Ties of the address type go to the lower rec_id.
+    Coordinates that locate nothing (missing, not finite, both 0, out of range) are null, both of them.
     """
     rank = F.create_map(*[x for k, v in GEO_RANKS.items() for x in (F.lit(k), F.lit(v))])
     has_geo = located("lat", "lon") | F.col("zip3").isNotNull()
@@ -122,7 +154,7 @@ def resolve_duplicates(raw: DataFrame) -> DataFrame:
     spot = F.when(located("lat", "lon"), F.struct("lat", "lon"))
     out = rows.groupBy("node").agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rec_id"))).alias(c) for c in identity],
-        F.max_by(F.struct(*geography), F.struct("__s", -F.col("rec_id"))).alias("g"),
+        F.max_by(F.struct(*[F.when(located("lat", "lon"), F.col(c)).alias(c) if c in ("lat", "lon") else c for c in geography]), F.struct("__s", -F.col("rec_id"))).alias("g"),
         F.count(F.lit(1)).alias("n_rows"),
         (F.count_distinct("cust_name") > 1).alias("name_conflict"),
         (F.count_distinct(spot) > 1).alias("point_conflict"),
@@ -148,7 +180,7 @@ def coverage_report(parties: DataFrame) -> DataFrame:
         share(F.col("entity_observed").isNotNull()).alias("observed_share"),
         share(F.col("entity") != "unknown").alias("typed_share"),
         share(F.col("naics_status") == "valid").alias("naics_valid_share"),
-        share(F.col("geo_status").isin("point", "point_and_zip")).alias("located_share"),
+        share(F.col("geo_status").isin("valid", "placeholder")).alias("located_share"),
         share(F.col("n_rows") > 1).alias("repeated_share"),
     )
 

@@ -49,12 +49,12 @@ _RANK = "CASE upper(trim(addr_loc_rec_type)) " + " ".join(f"WHEN '{k}' THEN {v}"
 
 
 def status_sql(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN 'missing' WHEN {c} IN ({_PLACE}) THEN 'placeholder' WHEN regexp_matches({c}, '^[0-9]{{2}}') THEN 'valid' ELSE 'placeholder' END"
+    return f"CASE WHEN {c} IS NULL THEN 'missing' WHEN upper({c}) IN ({_PLACE}) THEN 'placeholder' WHEN regexp_matches({c}, '^[0-9]{{2}}') THEN 'valid' ELSE 'placeholder' END"
 
 
 def name_type_sql(c: str) -> str:
     n = f"trim(regexp_replace(regexp_replace(upper({c}), '[^A-Z0-9& ]', ' ', 'g'), ' +', ' ', 'g'))"
-    return f"CASE WHEN {n} IS NULL OR {n} = '' THEN NULL WHEN regexp_matches({n}, '(^| )({_WORDS})( |$)|&') THEN 'business' WHEN regexp_matches({n}, '^[A-Z]+( [A-Z]+){{1,2}}$') THEN 'person' ELSE 'unknown' END"
+    return f"CASE WHEN {n} IS NULL OR {n} = '' THEN NULL WHEN regexp_matches({n}, '(^| )({_WORDS})( |$)') THEN 'business' WHEN regexp_matches({n}, '^[A-Z]+ [A-Z]+( [A-Z]+)?$') THEN 'individual' ELSE 'unknown' END"
 
 
 #: party: one row a node with all derived columns; goes after a WITH or another view.
@@ -65,15 +65,19 @@ cscore AS (SELECT *, CASE WHEN ok OR zip3 IS NOT NULL THEN {_RANK} ELSE -1 END A
 cgeo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s DESC, rec_id) AS k FROM cscore) WHERE k = 1),
 cid AS (SELECT node, arg_min(cust_name, rec_id) FILTER (cust_name IS NOT NULL) AS cust_name, arg_min(party_type, rec_id) FILTER (party_type IS NOT NULL) AS party_type,
   arg_min(naics_cd, rec_id) FILTER (naics_cd IS NOT NULL) AS naics_cd, count(*) AS n_rows, count(DISTINCT cust_name) > 1 AS name_conflict, count(DISTINCT CASE WHEN ok THEN (lat, lon) END) > 1 AS point_conflict FROM cscore GROUP BY node),
-p0 AS (SELECT cid.*, cgeo.lat, cgeo.lon, cgeo.zip3, cgeo.state, cgeo.city, cgeo.addr_loc_rec_type, cgeo.ok, CASE party_type WHEN 'P' THEN 'person' WHEN 'O' THEN 'business' END AS entity_observed,
-  nullif({name_type_sql("cid.cust_name")}, 'unknown') AS entity_inferred, {status_sql("cid.naics_cd")} AS naics_status
+p0 AS (SELECT cid.*, CASE WHEN cgeo.ok THEN cgeo.lat END AS lat, CASE WHEN cgeo.ok THEN cgeo.lon END AS lon, cgeo.zip3, cgeo.state, cgeo.city, cgeo.addr_loc_rec_type, cgeo.ok, CASE upper(substr(party_type, 1, 1)) WHEN 'P' THEN 'individual' WHEN 'O' THEN 'business' END AS entity_observed,
+  nullif({name_type_sql("cid.cust_name")}, 'unknown') AS entity_inferred, {status_sql("cid.naics_cd")} AS naics_status, coalesce(upper(cid.naics_cd) IN ({_PLACE}), false) AS held, upper(coalesce(trim(cgeo.addr_loc_rec_type), '')) AS adr
   FROM (SELECT * FROM cid) cid JOIN (SELECT node, lat, lon, zip3, state, city, addr_loc_rec_type, ok FROM cgeo) cgeo USING (node)),
-p1 AS (SELECT *, coalesce(entity_observed, entity_inferred, 'unknown') AS entity, CASE WHEN entity_observed IS NOT NULL THEN 'observed' WHEN entity_inferred IS NOT NULL THEN 'inferred' ELSE 'none' END AS entity_source,
+p1 AS (SELECT *, coalesce(entity_observed, entity_inferred, 'unknown') AS entity, CASE WHEN entity_observed IS NOT NULL THEN 'party_type' WHEN entity_inferred IS NOT NULL THEN 'name' ELSE 'none' END AS entity_source,
   CASE WHEN naics_status = 'valid' THEN regexp_extract(naics_cd, '^([0-9]+)', 1) END AS digits FROM p0),
-party AS (SELECT *, CASE WHEN length(digits) >= 2 THEN substr(digits, 1, 2) END AS naics2, CASE WHEN length(digits) >= 3 THEN substr(digits, 1, 3) END AS naics3, CASE WHEN length(digits) >= 4 THEN substr(digits, 1, 4) END AS naics4, CASE WHEN length(digits) >= 6 THEN substr(digits, 1, 6) END AS naics6,
-  CASE WHEN naics_status = 'valid' THEN 'valid' WHEN entity <> 'business' THEN 'not_applicable' ELSE naics_status END AS naics_coverage,
-  CASE WHEN entity = 'person' THEN 'individual' WHEN naics_status = 'valid' THEN 'biz_valid' WHEN entity = 'business' THEN 'biz_' || naics_status ELSE 'unknown' END AS node_type,
-  CASE WHEN ok AND zip3 IS NOT NULL THEN 'point_and_zip' WHEN ok THEN 'point' WHEN zip3 IS NOT NULL THEN 'zip' ELSE 'none' END AS geo_status FROM p1)
+party AS (SELECT * EXCLUDE (held, adr), CASE WHEN length(digits) >= 2 THEN substr(digits, 1, 2) END AS naics2, CASE WHEN length(digits) >= 3 THEN substr(digits, 1, 3) END AS naics3, CASE WHEN length(digits) >= 4 THEN substr(digits, 1, 4) END AS naics4, CASE WHEN length(digits) >= 6 THEN substr(digits, 1, 6) END AS naics6,
+  CASE WHEN naics_status = 'valid' THEN 'valid' WHEN entity <> 'business' THEN 'not_applicable' WHEN held THEN 'placeholder' ELSE 'missing' END AS naics_coverage,
+  CASE WHEN entity = 'business' AND naics_status = 'valid' THEN 'business_naics_valid' WHEN entity = 'business' AND held THEN 'business_naics_placeholder' WHEN entity = 'business' AND naics_status = 'missing' THEN 'business_naics_missing' WHEN entity = 'individual' THEN 'individual' ELSE 'unknown' END AS node_type,
+  CASE WHEN naics_status = 'valid' THEN 'business_naics_valid' WHEN entity_inferred = 'business' AND held THEN 'business_naics_placeholder' WHEN entity_inferred = 'business' AND naics_status = 'missing' THEN 'business_naics_missing' WHEN entity_inferred = 'individual' THEN 'individual' ELSE 'unknown' END AS node_type_v5,
+  CASE WHEN entity = 'business' AND naics_status = 'valid' THEN 'business_naics_valid' WHEN entity = 'business' AND held THEN 'business_naics_placeholder' WHEN entity = 'business' AND naics_status = 'missing' THEN 'business_naics_missing' WHEN entity = 'individual' AND naics_status = 'valid' THEN 'individual_naics_valid' WHEN entity = 'individual' THEN 'individual' WHEN naics_status = 'valid' THEN 'unknown_naics_valid' ELSE 'unknown' END AS entity_class,
+  CASE WHEN NOT ok THEN 'missing' WHEN adr IN ('POSTOFFICEBOX', 'GENERALDELIVERY') THEN 'placeholder' ELSE 'valid' END AS geo_status,
+  CASE WHEN (cust_name IS NOT NULL OR party_type IS NOT NULL OR naics_cd IS NOT NULL) AND ok THEN 'identity+geo' WHEN cust_name IS NOT NULL OR party_type IS NOT NULL OR naics_cd IS NOT NULL THEN 'identity_only' WHEN ok THEN 'geo_only' ELSE 'neither' END AS attr_profile,
+  CAST(adr IN ('HIGHRISE') AS INTEGER) AS shared_structure FROM p1)
 """
 WP = "WITH " + PARTY
 EP = E + ", " + PARTY

@@ -14,7 +14,7 @@ from flowquarry.operators import iterative as it
 from flowquarry.operators import parties as pt
 from flowquarry.operators import profiles as pf
 from flowquarry.operators import temporal as tm
-from flowquarry.plans.base import E, EP, WP, edges, edges_once, parties, rsql, status_sql
+from flowquarry.plans.base import E, EP, WP, edges, edges_once, name_type_sql, parties, rsql, status_sql
 from flowquarry.plans.flow import TIERS
 from flowquarry.plans.geography import hav, points
 from flowquarry.plans.graph import W
@@ -103,9 +103,16 @@ def p16(spark: SparkSession, d: str) -> DataFrame:
     return parties(spark, d).select("cust_name", "entity_inferred")
 
 
-@query("p17_p19_types", WP + "SELECT entity, entity_source, node_type, geo_status, count(*) AS n FROM party GROUP BY ALL")
+@query("p17_p19_types", WP + "SELECT entity, entity_source, node_type, node_type_v5, entity_class, geo_status, attr_profile, shared_structure, count(*) AS n FROM party GROUP BY ALL")
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    return parties(spark, d).groupBy("entity", "entity_source", "node_type", "geo_status").agg(F.count(F.lit(1)).alias("n"))
+    return parties(spark, d).groupBy("entity", "entity_source", "node_type", "node_type_v5", "entity_class", "geo_status", "attr_profile", "shared_structure").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p24_party_classes", WP + f"SELECT CASE WHEN naics_status = 'valid' AND b THEN '1_biz_both' WHEN naics_status = 'valid' THEN '2_biz_naics_only' WHEN b THEN '3_biz_name_only' ELSE '4_consumer_like' END AS party_class, count(*) AS n, {rsql('count(*) FILTER (ok)', 'count(*)')} AS located_share FROM (SELECT *, coalesce({name_type_sql('cust_name')} = 'business', false) AS b FROM party) GROUP BY 1")
+def p24(spark: SparkSession, d: str) -> DataFrame:
+    """Parties by the two classifiers, code and name, with the share that is located."""
+    p = parties(spark, d)
+    return p.groupBy(pt.party_class("cust_name", "naics_cd").alias("party_class")).agg(F.count(F.lit(1)).alias("n"), eg.ratio(F.count_if(F.col("geo_status") != "missing"), F.count(F.lit(1))).alias("located_share"))
 
 
 @query("p20_j05_graph_parties", EP + "SELECT party.node FROM party WHERE node IN (SELECT source FROM e UNION SELECT dest FROM e)")
@@ -141,7 +148,7 @@ def p34(spark: SparkSession, d: str) -> DataFrame:
     return pt.id_shapes(table(spark, d, "customers"), "node")
 
 
-_GATE = {"business": "entity = 'business'", "located": "geo_status IN ('point', 'point_and_zip')", "valid_sector": "naics_status = 'valid'"}
+_GATE = {"business": "entity = 'business'", "located": "geo_status IN ('valid', 'placeholder')", "valid_sector": "naics_status = 'valid'"}
 
 
 @query("p25_p29_funnel", WP + ", f AS (SELECT count(*) FILTER (a) AS n1, count(*) FILTER (a AND b) AS n2, count(*) FILTER (a AND b AND c) AS n3 FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in zip("abc", _GATE.values(), strict=True)) + " FROM party)) SELECT 1 AS position, 'business' AS step, n1 AS n_kept FROM f UNION ALL SELECT 2, 'located', n2 FROM f UNION ALL SELECT 3, 'valid_sector', n3 FROM f")
@@ -164,7 +171,7 @@ def k03(spark: SparkSession, d: str) -> DataFrame:
     return pt.disagreement(parties(spark, d))
 
 
-@query("k04_coverage", WP + "SELECT count(*) AS n_nodes, " + ", ".join(f"round(count(*) FILTER ({c}) / CAST(count(*) AS DOUBLE), 6) AS {n}" for n, c in {"observed_share": "entity_observed IS NOT NULL", "typed_share": "entity <> 'unknown'", "naics_valid_share": "naics_status = 'valid'", "located_share": "geo_status IN ('point', 'point_and_zip')", "repeated_share": "n_rows > 1"}.items()) + " FROM party")
+@query("k04_coverage", WP + "SELECT count(*) AS n_nodes, " + ", ".join(f"round(count(*) FILTER ({c}) / CAST(count(*) AS DOUBLE), 6) AS {n}" for n, c in {"observed_share": "entity_observed IS NOT NULL", "typed_share": "entity <> 'unknown'", "naics_valid_share": "naics_status = 'valid'", "located_share": "geo_status IN ('valid', 'placeholder')", "repeated_share": "n_rows > 1"}.items()) + " FROM party")
 def k04(spark: SparkSession, d: str) -> DataFrame:
     return pt.coverage_report(parties(spark, d))
 
@@ -451,13 +458,13 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n")
 
 
-@query("k58_older_typing", f"WITH x AS (SELECT {sql_id('node')} AS node, arg_min(nullif(trim(naics_cd), ''), rec_id) AS c, arg_min(nullif(trim(party_type), ''), rec_id) AS p FROM customers GROUP BY 1) SELECT node, CASE WHEN {status_sql('c')} = 'valid' THEN 'business' WHEN p = 'P' THEN 'person' WHEN p = 'O' THEN 'business' ELSE 'unknown' END AS kind FROM x WHERE node IS NOT NULL")
+@query("k58_older_typing", f"WITH x AS (SELECT {sql_id('node')} AS node, arg_min(nullif(trim(naics_cd), ''), rec_id) AS c, arg_min(nullif(trim(party_type), ''), rec_id) AS p FROM customers GROUP BY 1) SELECT node, CASE WHEN {status_sql('c')} = 'valid' THEN 'business' WHEN p = 'P' THEN 'individual' WHEN p = 'O' THEN 'business' ELSE 'unknown' END AS kind FROM x WHERE node IS NOT NULL")
 def k58(spark: SparkSession, d: str) -> DataFrame:
     """The older precedence: the first row of a node counts, and a valid sector outranks the party type."""
     c = table(spark, d, "customers").select(canonical_id("node").alias("node"), "rec_id", pt.text_or_null("naics_cd").alias("c"), pt.text_or_null("party_type").alias("p")).filter("node is not null")
     first = lambda x: F.min_by(x, F.when(F.col(x).isNotNull(), F.col("rec_id")))
     f = c.groupBy("node").agg(first("c").alias("c"), first("p").alias("p"))
-    return f.select("node", F.when(pt.naics_status("c") == "valid", "business").when(F.col("p") == "P", "person").when(F.col("p") == "O", "business").otherwise("unknown").alias("kind"))
+    return f.select("node", F.when(pt.naics_status("c") == "valid", "business").when(F.col("p") == "P", "individual").when(F.col("p") == "O", "business").otherwise("unknown").alias("kind"))
 
 
 @query("k33_rung_agreement", None)

@@ -223,7 +223,7 @@ _CAT = ", cat AS (SELECT coalesce(p.node, h.node) AS node, CASE WHEN h.node IS N
 
 @query(
     "n32_composition",
-    _COMP + _CAT + "SELECT time_key, node, " + ", ".join(f"{rsql(f'''count(*) FILTER (dir = '{x}' AND category = '{c}')''', f'''count(*) FILTER (dir = '{x}')''')} AS share_{x}_cp_{c}, {rsql(f'''coalesce(sum(cents) FILTER (dir = '{x}' AND category = '{c}'), 0)''', f'''sum(cents) FILTER (dir = '{x}')''')} AS share_{x}_amt_{c}" for x in ("in", "out") for c in flow.CATEGORIES) + " FROM ii GROUP BY time_key, node",
+    _COMP + _CAT + "SELECT time_key, node, " + ", ".join(f"{rsql(f'''count(*) FILTER (dir = '{x}' AND category = '{g}')''', f'''count(*) FILTER (dir = '{x}')''')} AS share_{x}_cp_{c}, {rsql(f'''coalesce(sum(cents) FILTER (dir = '{x}' AND category = '{g}'), 0)''', f'''sum(cents) FILTER (dir = '{x}')''')} AS share_{x}_amt_{c}" for x in ("in", "out") for g, c in flow.CATEGORIES.items()) + " FROM ii GROUP BY time_key, node",
 )
 def n32(spark: SparkSession, d: str) -> DataFrame:
     e = edges_once(spark, d)
@@ -235,12 +235,12 @@ def n32(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "n34_business_flows",
     EP + f"""SELECT time_key, inc.node, CAST(coalesce(sum(cents) FILTER (dir = 'in' AND entity = 'business'), 0) AS BIGINT) AS b2b_in, CAST(coalesce(sum(cents) FILTER (dir = 'out' AND entity = 'business'), 0) AS BIGINT) AS b2b_out,
- {rsql("coalesce(sum(cents) FILTER (dir = 'out' AND entity = 'person'), 0)", "sum(cents) FILTER (dir = 'out')")} AS payroll_intensity FROM inc LEFT JOIN party ON party.node = inc.cp WHERE inc.node <> inc.cp GROUP BY time_key, inc.node""",
+ {rsql("coalesce(sum(cents) FILTER (dir = 'out' AND entity = 'individual'), 0)", "sum(cents) FILTER (dir = 'out')")} AS payroll_intensity FROM inc LEFT JOIN party ON party.node = inc.cp WHERE inc.node <> inc.cp GROUP BY time_key, inc.node""",
 )
 def n34(spark: SparkSession, d: str) -> DataFrame:
     inc = eg.incidence(eg.no_self(edges(spark, d))).join(parties(spark, d).select(F.col("node").alias("cp"), "entity"), "cp", "left")
     s = lambda dr, ent: F.sum(F.when((F.col("dir") == dr) & (F.col("entity") == ent), F.col("cents")).otherwise(0))
-    return inc.groupBy("time_key", "node").agg(s("in", "business").alias("b2b_in"), s("out", "business").alias("b2b_out"), eg.ratio(s("out", "person"), F.sum(F.when(F.col("dir") == "out", F.col("cents")))).alias("payroll_intensity"))
+    return inc.groupBy("time_key", "node").agg(s("in", "business").alias("b2b_in"), s("out", "business").alias("b2b_out"), eg.ratio(s("out", "individual"), F.sum(F.when(F.col("dir") == "out", F.col("cents")))).alias("payroll_intensity"))
 
 
 @query("c23_hubs_by_degree", E + "SELECT node, count(DISTINCT cp) AS n_neighbors FROM inc WHERE node <> cp GROUP BY node HAVING count(DISTINCT cp) > 100")

@@ -177,7 +177,7 @@ def c26(spark: SparkSession, d: str) -> DataFrame:
     return gr.supergraph(edges(spark, d), sectors(spark, d).select("node", F.col("sector").alias("grp")).filter("grp is not null"))
 
 
-_MATRIX = ("person", "business", "unknown")
+_MATRIX = ("individual", "business", "unknown")
 
 
 @query(

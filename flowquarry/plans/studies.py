@@ -219,9 +219,9 @@ def c28(spark: SparkSession, d: str) -> DataFrame:
     """Local multiplier between kinds of party: inverse of I - Q, Q being half of each kind's outflow shares. The matrix has a row a kind."""
     from flowquarry.operators import graph as gr
 
-    kinds = ["business", "person", "unknown"]
+    kinds = ["business", "individual", "unknown"]
     m = {r["source"]: [float(r[k]) for k in kinds] for r in gr.flow_matrix(edges(spark, d), parties(spark, d).select("node", F.col("entity").alias("grp")), kinds).collect()}
     rows = [m.get(k, [0.0] * 3) for k in kinds]
     q = [[0.5 * x / sum(r) if sum(r) else 0.0 for x in r] for r in rows]
     inv = sd.multiplier(q)
-    return spark.createDataFrame([(k, *[round(x, 6) for x in r]) for k, r in zip(kinds, inv, strict=True)], "kind string, business double, person double, unknown double")
+    return spark.createDataFrame([(k, *[round(x, 6) for x in r]) for k, r in zip(kinds, inv, strict=True)], "kind string, business double, individual double, unknown double")

@@ -24,7 +24,7 @@ def connect(folder: str):
 
 def norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else (0.0 if v == 0 else float(f"{v:.9g}"))
+        return "nan" if math.isnan(v) else (0.0 if v == 0 else float(f"{v:.9g}"))
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.9g}")
     if isinstance(v, datetime.datetime):
