@@ -32,6 +32,23 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return joined.select(*keys, value, "n", (F.col("__low") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("before"), "total")
 
 
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """(keys, a column for each name in ``probs``): exact quantiles with linear interpolation. No group's values meet in one task; groups without a value are missing, as is the one group of no keys."""
+    r = value_ranks(df, keys, value)
+    at = {name: F.lit(float(p)) * (F.col("total") - 1) for name, p in probs.items()}
+    held = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value).cast("double")))
+    aggs = [x for name, h in at.items() for x in (held(F.floor(h)).alias(f"__lo_{name}"), held(F.ceil(h)).alias(f"__hi_{name}"))]
+    out = r.groupBy(*keys).agg(F.max("total").alias("total"), *aggs).filter("total is not null")
+    part = {name: h - F.floor(h) for name, h in at.items()}
+    return out.select(*keys, *[(F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * part[name]).alias(name) for name in probs])
+
+
+def quantile(df: DataFrame, value: str | Column, p: float) -> Column:
+    """The quantile of a whole column, as a scalar."""
+    v = df.select((F.col(value) if isinstance(value, str) else value).alias("__q"))
+    return group_quantiles(v, [], "__q", {"q": p}).scalar()
+
+
 def with_average_rank(df: DataFrame, keys: list[str], value: str, rank: str, share: str | None = None) -> DataFrame:
     """Adds the rank with ties averaged (1 is lowest), as pandas' rank(), and if asked its share of the group, rank(pct=True). Null values have null ranks."""
     r = value_ranks(df, keys, value)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowquarry.functions.ranks import value_ranks, with_average_rank
+from flowquarry.functions.ranks import group_quantiles, value_ranks, with_average_rank
 
 
 def erfc(x: Column) -> Column:
@@ -86,7 +86,8 @@ def decile(value: Column, cuts: Column, n: int = 10) -> Column:
 
 def quantile_cuts(df: DataFrame, column: str, n: int = 10) -> Column:
     """The n - 1 inner cut points of a column, exact, as a scalar array."""
-    return df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)]))).scalar()
+    names = {f"q{i}": i / n for i in range(1, n)}
+    return group_quantiles(df, [], column, names).select(F.array(*names)).scalar()
 
 
 def auc(df: DataFrame, score: str, label: str, digits: int = 6) -> DataFrame:

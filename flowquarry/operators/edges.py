@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.functions.ranks import group_quantiles, quantile
 from flowquarry.functions.cleaning import canonical_id, cents, month_key
 from flowquarry.operators.snapshots import current_rows
 
@@ -55,8 +56,9 @@ def ladder_basis(edges: DataFrame, distinct: bool = False) -> DataFrame:
 def build_ladder(edges: DataFrame, tiers: dict[str, float], distinct: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ladder, thresholds): ladder has (version, node) of the nodes above a tier's percentile of degree or of strength; thresholds one row a tier."""
     basis = ladder_basis(edges, distinct)
-    at = basis.agg(*[F.percentile(c, F.lit(p)).alias(f"{c}_{t}") for t, p in tiers.items() for c in ("degree", "strength")])
-    thresholds = at.select(F.explode(F.array(*[F.struct(F.lit(t).alias("version"), F.col(f"degree_{t}").alias("degree_at"), F.col(f"strength_{t}").alias("strength_at")) for t in tiers])).alias("t")).select("t.*")
+    both = basis.select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("x")) for c in ("degree", "strength")])).alias("b")).select("b.*")
+    at = group_quantiles(both, ["of"], "x", tiers).unpivot("of", list(tiers), "version", "x")
+    thresholds = at.groupBy("version").agg(*[F.max(F.when(F.col("of") == c, F.col("x"))).alias(f"{c}_at") for c in ("degree", "strength")])
     above = (F.col("degree") > F.col("degree_at")) | (F.col("strength") > F.col("strength_at"))
     ladder = basis.join(F.broadcast(thresholds), above, "inner").select("version", "node")
     return ladder, thresholds
@@ -86,7 +88,7 @@ def hub_nodes_by_degree(edges: DataFrame, cap: int) -> DataFrame:
 def hub_nodes_by_median(edges: DataFrame, factor: float = 15.0) -> DataFrame:
     """(node, degree) of nodes whose degree is at least ``factor`` times the median degree."""
     degree = incidence(no_self(edges)).groupBy("node").agg(F.count_distinct("cp").alias("degree"))
-    return degree.filter(F.col("degree") >= F.lit(factor) * degree.agg(F.percentile("degree", F.lit(0.5))).scalar())
+    return degree.filter(F.col("degree") >= F.lit(factor) * quantile(degree, "degree", 0.5))
 
 
 # ---- small helpers used by many metrics

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowquarry.functions.ranks import top_sum, value_ranks
+from flowquarry.functions.ranks import group_quantiles, top_sum, value_ranks
 from flowquarry.operators.edges import incidence, ratio
 from flowquarry.operators.flow import dyads
 
@@ -111,9 +111,10 @@ def distribution(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     out = rows.groupBy(*keys, "metric").agg(
         n.alias("n"), F.round(1 - n / F.count(F.lit(1)), 6).alias("null_share"), F.round(F.count_if(F.col("x") == 0) / F.when(n > 0, n), 6).alias("zero_share"),
         F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"), F.round(skew, 4).alias("skew"),
-        *[F.round(F.percentile("x", F.lit(p)), 4).alias(f"p{round(p * 100)}") for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)],
     )
-    return out.join(gini(rows, [*keys, "metric"], "x").select(*keys, "metric", "gini"), [*keys, "metric"], "left")
+    probs = {f"p{round(p * 100)}": p for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
+    cuts = group_quantiles(rows, [*keys, "metric"], "x", probs).select(*keys, "metric", *[F.round(c, 4).alias(c) for c in probs])
+    return out.join(cuts, [*keys, "metric"], "left").join(gini(rows, [*keys, "metric"], "x").select(*keys, "metric", "gini"), [*keys, "metric"], "left")
 
 
 # ---- communities

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowquarry.functions.ranks import group_quantiles
 from flowquarry.functions.geo import haversine_km
 from flowquarry.operators.edges import ratio
 
@@ -62,7 +63,7 @@ def locality_transitions(df: DataFrame, key: str) -> DataFrame:
 
 def common_mode(df: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's value less the month's median over all keys, and each key's median absolute deviation of that."""
-    med = df.groupBy("t").agg(F.percentile(value, F.lit(0.5)).alias("__m"))
+    med = group_quantiles(df, ["t"], value, {"__m": 0.5})
     adj = df.join(F.broadcast(med), "t").withColumn("adjusted", F.col(value) - F.col("__m")).drop("__m")
     own = adj.groupBy(key).agg(F.percentile("adjusted", F.lit(0.5)).alias("__c"))
     return adj.join(own, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("__c"), 4).alias("median"), F.round(F.percentile(F.abs(F.col("adjusted") - F.col("__c")), F.lit(0.5)), 4).alias("mad"))

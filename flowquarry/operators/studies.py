@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowquarry.functions.ranks import group_quantiles, quantile
 from flowquarry.functions.cleaning import located
 from flowquarry.functions.geo import haversine_km
 from flowquarry.operators.edges import incidence, no_self, ratio
@@ -68,14 +69,15 @@ def prefix_curve(places: DataFrame, points: DataFrame, ks: list[int]) -> DataFra
     n = n.select("node", "la", "lo", "k", *[F.sum(c).over(run).alias(c) for c in ("x", "y", "z")], F.max("k").over(Window.partitionBy("node")).alias("have"))
     lat, lon = centre_of(F.col("x"), F.col("y"), F.col("z"))
     e = n.filter((F.col("have") == max(ks)) & F.col("k").isin(ks)).select("k", haversine_km(F.col("la"), F.col("lo"), lat, lon).alias("km"))
-    return e.groupBy("k").agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.percentile("km", F.lit(0.5)), 1).alias("median_km"), F.round(F.percentile("km", F.lit(0.9)), 1).alias("p90_km"))
+    q = group_quantiles(e, ["k"], "km", {"median_km": 0.5, "p90_km": 0.9})
+    return e.groupBy("k").agg(F.count(F.lit(1)).alias("n_nodes")).join(q, "k").select("k", "n_nodes", *[F.round(c, 1).alias(c) for c in ("median_km", "p90_km")])
 
 
 def shrunk_width(located_: DataFrame, prior: DataFrame, by: str, n0: float = 5.0, floor_km: float = 5.0) -> DataFrame:
     """(node, width_km): sqrt((n s^2 + n0 prior^2) / (n + n0)), at least ``floor_km``; the prior is the median radius of the node's peers (``prior``: node and ``by``)."""
     j = located_.join(prior, "node")
-    peers = j.filter(F.col(by).isNotNull()).groupBy(by).agg(F.percentile("radius_km", F.lit(0.5)).alias("p"))
-    every = located_.agg(F.percentile("radius_km", F.lit(0.5))).scalar()
+    peers = group_quantiles(j.filter(F.col(by).isNotNull()), [by], "radius_km", {"p": 0.5})
+    every = quantile(located_, "radius_km", 0.5)
     j = j.join(peers, by, "left").withColumn("p", F.coalesce("p", every))
     n = F.col("n_places")
     return j.select("node", F.round(F.greatest(F.lit(floor_km), F.sqrt((n * F.col("radius_km") ** 2 + n0 * F.col("p") ** 2) / (n + n0))), 2).alias("width_km"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowquarry.functions.cleaning import canonical_id, day_date, month_key, sql_day, sql_id, sql_month
-from flowquarry.functions.ranks import with_average_rank
+from flowquarry.functions.ranks import group_quantiles, with_average_rank
 from flowquarry.operators import edges as eg
 from flowquarry.operators import geo_block as gb
 from flowquarry.operators import iterative as it
@@ -266,7 +266,9 @@ def a02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a04_percentiles", "SELECT o_orderpriority, " + ", ".join(f"round(quantile_cont(o_totalprice, {p}), 4) AS p{round(p * 1000)}" for p in (0.1, 0.5, 0.9, 0.99)) + " FROM orders GROUP BY 1")
 def a04(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(*[F.round(F.percentile("o_totalprice", F.lit(p)), 4).alias(f"p{round(p * 1000)}") for p in (0.1, 0.5, 0.9, 0.99)])
+    probs = {f"p{round(p * 1000)}": p for p in (0.1, 0.5, 0.9, 0.99)}
+    q = group_quantiles(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", probs)
+    return q.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in probs])
 
 
 @query("a05_a26_approximate")

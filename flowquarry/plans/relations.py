@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.functions.ranks import group_quantiles
 from flowquarry.operators import match as mt
 from flowquarry.operators import pairs as pr
 from flowquarry.operators import rails as rl
@@ -243,4 +244,5 @@ def k52p(spark: SparkSession, d: str) -> DataFrame:
 @query("k53_rail_distribution", _RF + ", s AS (SELECT focal, dir, rail, sum(cents) AS c, count(*) AS k FROM fl GROUP BY ALL) SELECT dir, rail, count(*) AS n_nodes, round(quantile_cont(c, 0.5), 2) AS median_cents, max(k) AS most_rows FROM s GROUP BY dir, rail")
 def k53(spark: SparkSession, d: str) -> DataFrame:
     s = rail_flows(spark, d).groupBy("focal", "dir", "rail").agg(F.sum("cents").alias("c"), F.count(F.lit(1)).alias("k"))
-    return s.groupBy("dir", "rail").agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.percentile("c", F.lit(0.5)), 2).alias("median_cents"), F.max("k").alias("most_rows"))
+    q = group_quantiles(s, ["dir", "rail"], "c", {"m": 0.5})
+    return s.groupBy("dir", "rail").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("k").alias("most_rows")).join(q, ["dir", "rail"]).select("dir", "rail", "n_nodes", F.round("m", 2).alias("median_cents"), "most_rows")

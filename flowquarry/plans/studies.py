@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.functions.ranks import group_quantiles, quantile
 from flowquarry.operators import edges as eg
 from flowquarry.operators import geo_block as gb
 from flowquarry.operators import panel as pn
@@ -76,7 +77,8 @@ def k37(spark: SparkSession, d: str) -> DataFrame:
 def k36(spark: SparkSession, d: str) -> DataFrame:
     e = _errors(spark, d)
     n = sd.locate(sd.neighbour_places(edges(spark, d), points(spark, d))).select("node", "n_places")
-    return e.join(n, "node").groupBy(F.floor(F.log2("n_places")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("km", F.lit(0.5)), 1).alias("median_km"))
+    g = e.join(n, "node").select(F.floor(F.log2("n_places")).alias("bin"), "km")
+    return g.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(group_quantiles(g, ["bin"], "km", {"m": 0.5}), "bin").select("bin", "n", F.round("m", 1).alias("median_km"))
 
 
 @query(
@@ -127,7 +129,7 @@ def k31(spark: SparkSession, d: str) -> DataFrame:
     s = cut(k32(spark, d).filter("in_km is not null and out_km is not null").select("node", F.log1p("in_km").alias("y"), F.log1p("out_km").alias("x")), "sides")
     f = s.agg(F.struct(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))).scalar()
     e = s.withColumn("f", f).select("node", F.round(F.col("y") - F.col("f.a") - F.col("f.b") * F.col("x"), 6).alias("residual"))
-    return e.filter(F.col("residual") > e.agg(F.percentile("residual", F.lit(0.99))).scalar())
+    return e.filter(F.col("residual") > quantile(e, "residual", 0.99))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.functions.ranks import quantile
 from flowquarry.operators import edges as eg
 from flowquarry.operators import temporal as tm
 from flowquarry.plans.base import E, edges, rsql
@@ -110,7 +111,7 @@ SELECT x.t, x.source AS a, x.dest AS b, y.dest AS c, least(x.cents, y.cents, z.c
 )
 def m10(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
-    return tm.rings(e, e.agg(F.percentile("cents", F.lit(0.9))).scalar())
+    return tm.rings(e, quantile(e, "cents", 0.9))
 
 
 @query(
