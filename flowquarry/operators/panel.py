@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowquarry.functions.cleaning import month_index
-from flowquarry.functions.ranks import with_average_rank
+from flowquarry.functions.ranks import group_quantiles, with_average_rank
 
 
 def melt(wide: DataFrame, key: str, prefix: str = "bal_") -> DataFrame:
@@ -94,40 +94,81 @@ def tiers(df: DataFrame, value: str, n: int = 3) -> DataFrame:
 # ---- roles
 
 
+#: Nodes with fewer counterparties are a thin file: what they lose or hold most of says little.
+THIN = 3
+
+
+def _with(metrics: DataFrame, keys: list[str], value: str, probs: dict[str, float], only: Column | None = None) -> DataFrame:
+    """Adds quantiles of a group; null where it has no values. Groups are months and versions, so their table is small."""
+    at = group_quantiles(metrics if only is None else metrics.filter(only), keys, value, probs)
+    return metrics.join(at, keys, "left")
+
+
 def flow_roles(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """flow_role by ordered rules; thresholds (90th percentile of throughflow, median of reciprocity) come from each group of ``keys``."""
-    at = metrics.groupBy(*keys).agg(F.percentile("throughflow", F.lit(0.9)).alias("tf90"), F.percentile("reciprocity_amount_share", F.lit(0.5)).alias("rec50"))
-    m = metrics.join(F.broadcast(at), keys)
-    f, one = F.col("flow_ratio"), (F.col("in_degree") == 0) | (F.col("out_degree") == 0)
+    """Adds flow_role by ordered rules; the 90th percentile of throughflow and the median of reciprocity are those of each group of ``keys`` (month, version)."""
+    m = _with(_with(metrics, keys, "throughflow", {"__tf90": 0.9}), keys, "reciprocity_amount_share", {"__rec50": 0.5})
+    f = F.col("flow_ratio")
     role = (
-        F.when(one, "one_sided")
-        .when((F.col("throughflow") >= F.col("tf90")) & (F.abs(f) < 0.2), "conduit")
+        F.when((F.col("in_cents") > 0) != (F.col("out_cents") > 0), "one_sided")
+        .when((F.abs(f) <= 0.15) & (F.col("throughflow") >= F.col("__tf90")), "conduit")
         .when(f > 0.5, "collector")
         .when(f < -0.5, "distributor")
-        .when(F.col("reciprocity_amount_share") > F.col("rec50"), "trader")
+        .when((F.abs(f) <= 0.15) & (F.col("reciprocity_amount_share") >= F.col("__rec50")), "trader")
         .otherwise("mixed")
     )
-    return m.withColumn("flow_role", role).drop("tf90", "rec50")
+    return m.withColumn("flow_role", role).drop("__tf90", "__rec50")
 
 
-def tercile_roles(metrics: DataFrame, keys: list[str], value: str, names: tuple[str, str, str], out: str) -> DataFrame:
-    at = metrics.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__q"))
-    v = F.col(value)
-    role = F.when(v.isNull(), None).when(v <= F.get("__q", F.lit(0)), names[0]).when(v <= F.get("__q", F.lit(1)), names[1]).otherwise(names[2])
-    return metrics.join(F.broadcast(at), keys).withColumn(out, role).drop("__q")
+def hierarchy_roles(metrics: DataFrame, keys: list[str], level: str = "trophic_level") -> DataFrame:
+    """Adds hierarchy_role by terciles of the trophic level within each group of ``keys``."""
+    m = _with(metrics, keys, level, {"__lo": 1 / 3, "__hi": 2 / 3})
+    v = F.col(level)
+    role = F.when(v.isNull() | F.isnan(v), "unknown").when(v <= F.col("__lo"), "upstream_supplier").when(v >= F.col("__hi"), "downstream_buyer").otherwise("midstream")
+    return m.withColumn("hierarchy_role", role).drop("__lo", "__hi")
 
 
 def dependence_roles(metrics: DataFrame) -> DataFrame:
-    hub, top = F.greatest(F.coalesce("hub_in_share", F.lit(0.0)), F.coalesce("hub_out_share", F.lit(0.0))), F.greatest(F.coalesce("top1_in", F.lit(0.0)), F.coalesce("top1_out", F.lit(0.0)))
-    return metrics.withColumn("dependence_role", F.when(F.col("degree") < 3, "thin_file").when(hub > 0.7, "hub_dependent").when(top > 0.7, "single_dependent").otherwise("balanced"))
+    """Adds dependence_role. Nodes below the medians of HHI on both sides are balanced, and so are all others that no rule takes, so the medians need not be known."""
+    over = lambda c: F.coalesce(F.col(c), F.lit(0.0)) > 0.7
+    role = F.when(F.col("degree") < THIN, "single_relationship").when(over("hub_in_share"), "infra_dependent").when(over("top1_in") | over("top1_out"), "concentrated").otherwise("balanced")
+    return metrics.withColumn("dependence_role", role)
+
+
+def embeddedness_roles(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds embeddedness_role from degree, core, participation_coef and frac_intra_amount; core quartile and 90th percentile are those of the group's nodes with ``THIN`` counterparties or more.
+
+    Thin files come first, as the only edge of a node is trivially within its group; the upper limit is strict, as cores are whole numbers that tie.
+    """
+    m = _with(metrics, keys, "core", {"__lo": 0.25, "__hi": 0.9}, F.col("degree") >= THIN)
+    local = F.col("frac_intra_amount") >= 0.7
+    role = F.when((F.col("degree") < THIN) | (F.col("core") <= F.col("__lo")), "peripheral").when(F.col("participation_coef") >= 0.62, "connector").when(local, "embedded").otherwise("intermediate")
+    return m.withColumn("embeddedness_role", role).drop("__lo", "__hi")
+
+
+def dynamics_roles(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds dynamics_role from months_since_first_seen, activity_gap, in_degree, prior_in_degree, payer_jaccard, strength_mom, lost_amount_share and new_amount_share.
+
+    A node bleeds only with ``THIN`` payers the month before, and expands only with as many now: losing one of two is no bleeding. Quartile and median of the
+    payers' Jaccard are those of each group of ``keys``. What is null meets no condition; null shares count as 0.
+    """
+    m = _with(metrics, keys, "payer_jaccard", {"__lo": 0.25, "__mid": 0.5})
+    lost, new, mom, pj = F.coalesce("lost_amount_share", F.lit(0.0)), F.coalesce("new_amount_share", F.lit(0.0)), F.col("strength_mom"), F.col("payer_jaccard")
+    role = (
+        F.when(F.col("months_since_first_seen") <= 2, "newcomer")
+        .when(F.col("activity_gap") > 1, "intermittent")
+        .when((F.col("prior_in_degree") >= THIN) & ((lost >= 0.4) | ((mom <= -0.3) & (pj <= F.col("__lo")))), "bleeding")
+        .when((F.col("in_degree") >= THIN) & (new >= 0.4) & (mom > 0.1), "expanding")
+        .when((pj >= F.col("__mid")) & (F.abs(mom) < 0.35), "steady")
+        .otherwise("variable")
+    )
+    return m.withColumn("dynamics_role", role).drop("__lo", "__mid")
 
 
-def dynamics_roles(metrics: DataFrame, least_payers: int = 3) -> DataFrame:
-    """Where ``metrics`` has prior_in_degree, a node bleeds only with at least ``least_payers`` payers the month before: losing one of two is no bleeding."""
-    gap, new, lost = F.coalesce("activity_gap", F.lit(1)), F.coalesce("new_amount_share", F.lit(0.0)), F.coalesce("lost_amount_share", F.lit(0.0))
-    fat = F.coalesce("prior_in_degree", F.lit(0)) >= least_payers if "prior_in_degree" in metrics.columns else F.lit(True)
-    role = F.when(F.col("months_active") <= 2, "newcomer").when(gap > 1, "returning").when(fat & (lost > 0.5), "bleeding").when(new > 0.5, "expanding").when((lost < 0.2) & (new < 0.2), "steady").otherwise("variable")
-    return metrics.withColumn("dynamics_role", role)
+def tercile_classes(metrics: DataFrame, keys: list[str], value: str, names: tuple[str, str, str], out: str) -> DataFrame:
+    """Adds ``out``: the third of its group that a value falls into; null stays null."""
+    m = _with(metrics, keys, value, {"__lo": 1 / 3, "__hi": 2 / 3})
+    v = F.col(value)
+    return m.withColumn(out, F.when(v.isNull(), None).when(v <= F.col("__lo"), names[0]).when(v <= F.col("__hi"), names[1]).otherwise(names[2])).drop("__lo", "__hi")
 
 
 def peer_percentiles(metrics: DataFrame, by: list[str], levels: list[str], values: list[str], least: int = 30) -> DataFrame:

@@ -223,19 +223,19 @@ np AS (SELECT fl.*, hhi_in, hhi_out, top1_in, top1_out, reciprocity_amount_share
 )
 _ROLE = (
     _PANEL
-    + """, th AS (SELECT time_key, quantile_cont(throughflow, 0.9) AS tf90, quantile_cont(reciprocity_amount_share, 0.5) AS rec50 FROM np GROUP BY time_key),
-roles AS (SELECT np.*, CASE WHEN in_degree = 0 OR out_degree = 0 THEN 'one_sided' WHEN throughflow >= tf90 AND abs(flow_ratio) < 0.2 THEN 'conduit' WHEN flow_ratio > 0.5 THEN 'collector' WHEN flow_ratio < -0.5 THEN 'distributor' WHEN reciprocity_amount_share > rec50 THEN 'trader' ELSE 'mixed' END AS flow_role,
- CASE WHEN degree < 3 THEN 'thin_file' WHEN greatest(coalesce(hub_in_share, 0), coalesce(hub_out_share, 0)) > 0.7 THEN 'hub_dependent' WHEN greatest(coalesce(top1_in, 0), coalesce(top1_out, 0)) > 0.7 THEN 'single_dependent' ELSE 'balanced' END AS dependence_role FROM np JOIN th USING (time_key)) """
+    + """, th AS (SELECT time_key, quantile_cont(throughflow, 0.9) AS tf90, quantile_cont(reciprocity_amount_share, 0.5) AS rec50 FROM np GROUP BY time_key), el AS (SELECT time_key, quantile_cont(hhi_in, 0.5) AS med_in, quantile_cont(hhi_out, 0.5) AS med_out FROM np WHERE degree >= 3 GROUP BY time_key),
+roles AS (SELECT np.*, CASE WHEN in_cents > 0 AND out_cents <= 0 THEN 'one_sided' WHEN out_cents > 0 AND in_cents <= 0 THEN 'one_sided' WHEN abs(flow_ratio) <= 0.15 AND throughflow >= tf90 THEN 'conduit' WHEN flow_ratio > 0.5 THEN 'collector' WHEN flow_ratio < -0.5 THEN 'distributor' WHEN abs(flow_ratio) <= 0.15 AND reciprocity_amount_share >= rec50 THEN 'trader' ELSE 'mixed' END AS flow_role,
+ CASE WHEN degree < 3 THEN 'single_relationship' WHEN coalesce(hub_in_share, 0) > 0.7 THEN 'infra_dependent' WHEN coalesce(top1_in, 0) > 0.7 THEN 'concentrated' WHEN coalesce(top1_out, 0) > 0.7 THEN 'concentrated' WHEN hhi_in <= med_in AND hhi_out <= med_out THEN 'balanced' ELSE 'balanced' END AS dependence_role FROM np JOIN th USING (time_key) LEFT JOIN el USING (time_key)) """
 )
 
 
 def node_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Node metrics of one hop side by side: each is one aggregation by month and node, joined on that key."""
+    """Node metrics of one hop side by side: each is one aggregation by month and node; their joins on that key move nothing again."""
     e = edges_once(spark, d)
     hubs = eg.build_ladder(e, TIERS)[0].filter("version = 'P99_9'").select("node")
     key = ["time_key", "node"]
     conc = flow.concentration(e).select(*key, "hhi_in", "hhi_out", "top1_in", "top1_out")
-    return flow.flows(e).join(conc, key).join(flow.reciprocity(e).select(*key, "reciprocity_amount_share"), key).join(flow.hub_exposure(e, hubs), key)
+    return flow.flows(e).join(conc, key, "left").join(flow.reciprocity(e).select(*key, "reciprocity_amount_share"), key, "left").join(flow.hub_exposure(e, hubs), key, "left")
 
 
 def role_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -247,9 +247,9 @@ def r01(spark: SparkSession, d: str) -> DataFrame:
     return role_panel(spark, d).select("time_key", "node", "flow_role", "dependence_role")
 
 
-@query("r02_r04_terciles", _PANEL + ", q AS (SELECT time_key, quantile_cont(strength, [CAST(1 AS DOUBLE) / 3, CAST(2 AS DOUBLE) / 3]) AS c FROM np GROUP BY time_key) SELECT np.time_key, node, CASE WHEN strength <= c[1] THEN 'small' WHEN strength <= c[2] THEN 'middle' ELSE 'large' END AS size_role FROM np JOIN q USING (time_key)")
+@query("w06_size_terciles", _PANEL + ", q AS (SELECT time_key, quantile_cont(strength, [CAST(1 AS DOUBLE) / 3, CAST(2 AS DOUBLE) / 3]) AS c FROM np GROUP BY time_key) SELECT np.time_key, node, CASE WHEN strength <= c[1] THEN 'small' WHEN strength <= c[2] THEN 'middle' ELSE 'large' END AS size_role FROM np JOIN q USING (time_key)")
 def r02(spark: SparkSession, d: str) -> DataFrame:
-    return pn.tercile_roles(flow.flows(edges(spark, d)), ["time_key"], "strength", ("small", "middle", "large"), "size_role").select("time_key", "node", "size_role")
+    return pn.tercile_classes(flow.flows(edges(spark, d)), ["time_key"], "strength", ("small", "middle", "large"), "size_role").select("time_key", "node", "size_role")
 
 
 _STABLE = (

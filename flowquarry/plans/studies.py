@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowquarry.functions.ranks import group_quantiles, quantile
 from flowquarry.operators import edges as eg
+from flowquarry.operators import flow
 from flowquarry.operators import geo_block as gb
+from flowquarry.operators import iterative as it
 from flowquarry.operators import panel as pn
 from flowquarry.operators import studies as sd
 from flowquarry.operators import temporal as tm
@@ -132,51 +135,64 @@ def k31(spark: SparkSession, d: str) -> DataFrame:
     return e.filter(F.col("residual") > quantile(e, "residual", 0.99))
 
 
+_DYN = (
+    _SH
+    + f""", sx AS (SELECT t, time_key, node, CAST(sum(cents) AS BIGINT) / CAST(100 AS DOUBLE) AS s, count(*) FILTER (dir = 'in') AS in_degree FROM it GROUP BY ALL), tn AS (SELECT *, t - min(t) OVER w AS since, t - lag(t) OVER w AS gap, CASE WHEN lag(t) OVER w = t - 1 THEN ln((s + 1) / (lag(s) OVER w + 1)) END AS mom,
+ CASE WHEN lag(t) OVER w = t - 1 THEN lag(in_degree) OVER w END AS prior FROM sx WINDOW w AS (PARTITION BY node ORDER BY t)),
+mem AS (SELECT *, lag(t) OVER (PARTITION BY source, dest ORDER BY t) AS l FROM et), nw AS (SELECT t, dest AS node, CASE WHEN max(t) > 1 THEN {rsql("coalesce(sum(cents) FILTER (l IS NULL OR l < t - 6), 0)", "sum(cents)")} END AS new_share FROM mem GROUP BY t, dest),
+lo AS (SELECT t, dest AS node, {rsql("coalesce(sum(before) FILTER (now IS NULL), 0)", "sum(before)")} AS lost_share, {rsql("count(*) FILTER (now IS NOT NULL AND before IS NOT NULL)", "count(*)")} AS pj FROM sh GROUP BY t, dest),
+dm AS (SELECT tn.*, coalesce(new_share, 0) AS new_share, coalesce(lost_share, 0) AS lost_share, pj FROM tn LEFT JOIN nw USING (t, node) LEFT JOIN lo USING (t, node)), dq AS (SELECT t, quantile_cont(pj, 0.25) AS p25, quantile_cont(pj, 0.5) AS p50 FROM dm GROUP BY t) """
+)
+
+
 @query(
     "r05_dynamics_roles",
-    T
-    + f""", tn AS (SELECT time_key, node, CAST(row_number() OVER w AS INTEGER) AS months_active, t - lag(t) OVER w AS activity_gap FROM (SELECT DISTINCT time_key, node, t FROM it) WINDOW w AS (PARTITION BY node ORDER BY t)),
-mem AS (SELECT *, lag(t) OVER (PARTITION BY source, dest ORDER BY t) AS l FROM et), nw AS (SELECT time_key, dest AS node, CASE WHEN max(t) > 1 THEN {rsql("coalesce(sum(cents) FILTER (l IS NULL OR l < t - 6), 0)", "sum(cents)")} END AS new_amount_share FROM mem GROUP BY time_key, dest)
-SELECT time_key, node, CASE WHEN months_active <= 2 THEN 'newcomer' WHEN coalesce(activity_gap, 1) > 1 THEN 'returning' WHEN coalesce(new_amount_share, 0) > 0.5 THEN 'expanding' WHEN coalesce(new_amount_share, 0) < 0.2 THEN 'steady' ELSE 'variable' END AS dynamics_role FROM tn LEFT JOIN nw USING (time_key, node)""",
+    _DYN
+    + """SELECT time_key, node, CASE WHEN since <= 2 THEN 'newcomer' WHEN gap > 1 THEN 'intermittent' WHEN prior >= 3 AND (lost_share >= 0.4 OR (mom <= -0.3 AND pj <= p25)) THEN 'bleeding' WHEN in_degree >= 3 AND new_share >= 0.4 AND mom > 0.1 THEN 'expanding'
+ WHEN pj >= p50 AND abs(mom) < 0.35 THEN 'steady' ELSE 'variable' END AS dynamics_role FROM dm JOIN dq USING (t)""",
 )
 def r05(spark: SparkSession, d: str) -> DataFrame:
-    e = edges_once(spark, d)
+    return dynamics(edges_once(spark, d))
+
+
+def dynamics(e: DataFrame) -> DataFrame:
+    """(time_key, node, dynamics_role) of an edge relation."""
+    x = tm.with_t(eg.incidence(e).groupBy("time_key", "node").agg((F.sum("cents") / F.lit(100.0)).alias("s"), F.count_if(F.col("dir") == "in").alias("in_degree")))
+    w = Window.partitionBy("node").orderBy("t")
+    before = F.lag("t").over(w) == F.col("t") - 1
+    x = x.select("time_key", "t", "node", "in_degree", (F.col("t") - F.min("t").over(w)).alias("months_since_first_seen"), (F.col("t") - F.lag("t").over(w)).alias("activity_gap"), F.when(before, F.log((F.col("s") + 1) / (F.lag("s").over(w) + 1))).alias("strength_mom"), F.when(before, F.lag("in_degree").over(w)).alias("prior_in_degree"))
     new = tm.cohorts(e).filter("dir = 'in'").select("time_key", "node", "new_amount_share")
-    m = tm.tenure(e).join(new, ["time_key", "node"], "left").withColumn("lost_amount_share", F.lit(None).cast("double"))
-    return pn.dynamics_roles(m).select("time_key", "node", "dynamics_role")
+    lost = tm.side_turnover(e).filter("dir = 'in'").select("t", "node", "lost_amount_share", F.col("jaccard").alias("payer_jaccard"))
+    m = x.join(new, ["time_key", "node"], "left").join(lost, ["t", "node"], "left")
+    return pn.dynamics_roles(m, ["t"]).select("time_key", "node", "dynamics_role")
 
 
-@query(
-    "r05_dynamics_roles_bleeding",
-    _SH
-    + f""", tn AS (SELECT t, time_key, node, CAST(row_number() OVER w AS INTEGER) AS months_active, t - lag(t) OVER w AS activity_gap FROM (SELECT DISTINCT time_key, node, t FROM it) WINDOW w AS (PARTITION BY node ORDER BY t)),
-mem AS (SELECT *, lag(t) OVER (PARTITION BY source, dest ORDER BY t) AS l FROM et), nw AS (SELECT time_key, dest AS node, CASE WHEN max(t) > 1 THEN {rsql("coalesce(sum(cents) FILTER (l IS NULL OR l < t - 6), 0)", "sum(cents)")} END AS new_amount_share FROM mem GROUP BY time_key, dest),
-lo AS (SELECT t, dest AS node, {rsql("coalesce(sum(before) FILTER (now IS NULL), 0)", "sum(before)")} AS lost FROM sh GROUP BY t, dest), pd AS (SELECT t + 1 AS t, dest AS node, count(*) AS k FROM et GROUP BY ALL)
-SELECT time_key, node, CASE WHEN months_active <= 2 THEN 'newcomer' WHEN coalesce(activity_gap, 1) > 1 THEN 'returning' WHEN coalesce(k, 0) >= 3 AND coalesce(lost, 0) > 0.5 THEN 'bleeding' WHEN coalesce(new_amount_share, 0) > 0.5 THEN 'expanding' WHEN coalesce(lost, 0) < 0.2 AND coalesce(new_amount_share, 0) < 0.2 THEN 'steady' ELSE 'variable' END AS dynamics_role FROM tn LEFT JOIN nw USING (time_key, node) LEFT JOIN lo ON lo.t = tn.t AND lo.node = tn.node LEFT JOIN pd ON pd.t = tn.t AND pd.node = tn.node""",
-)
-def r05b(spark: SparkSession, d: str) -> DataFrame:
-    """With the class bleeding, which the SQL of r05_dynamics_roles leaves out."""
-    return bleeding_roles(edges_once(spark, d))
+def by_month(e: DataFrame) -> DataFrame:
+    """Links (src, dst, w) whose ends carry their month, so that one run of an iterative algorithm treats every month as a graph of its own; w is log1p of dollars."""
+    end = lambda c: F.concat_ws("|", "time_key", c)
+    return it.window_links(e.select(end("source").alias("source"), end("dest").alias("dest"), "cents"), log=True)
 
 
-def bleeding_roles(e: DataFrame) -> DataFrame:
-    new = tm.cohorts(e).filter("dir = 'in'").select("time_key", "node", "new_amount_share")
-    lost = tm.side_turnover(e).filter("dir = 'in'").select("t", "node", "lost_amount_share")
-    prior = tm.with_t(e).groupBy((F.col("t") + 1).alias("t"), F.col("dest").alias("node")).agg(F.count(F.lit(1)).alias("prior_in_degree"))
-    m = tm.with_t(tm.tenure(e)).join(new, ["time_key", "node"], "left").join(lost, ["t", "node"], "left").join(prior, ["t", "node"], "left")
-    return pn.dynamics_roles(m).select("time_key", "node", "dynamics_role")
+def of_month(df: DataFrame) -> DataFrame:
+    """Nodes of ``by_month`` as time_key and node again."""
+    return df.withColumns({"time_key": F.substring_index("node", "|", 1), "node": F.expr("substring(node, instr(node, '|') + 1)")})
 
 
-@query(
-    "r04_embeddedness",
-    EP + f""", grp AS (SELECT node, state AS grp FROM party WHERE state IS NOT NULL), fr AS (SELECT time_key, inc.node, {rsql("count(*) FILTER (a.grp = b.grp)", "count(*)")} AS f FROM inc LEFT JOIN grp a ON a.node = inc.node LEFT JOIN grp b ON b.node = inc.cp GROUP BY time_key, inc.node)
-SELECT time_key, node, CASE WHEN f = 0 THEN 'outward' WHEN f < 0.5 THEN 'bridge' WHEN f < 1 THEN 'embedded' ELSE 'closed' END AS embeddedness_role FROM fr""",
-)
-def r04(spark: SparkSession, d: str) -> DataFrame:
-    from flowquarry.operators import flow
+@query("r02_hierarchy_roles")
+def r02(spark: SparkSession, d: str) -> DataFrame:
+    """Terciles of the trophic level of each month, all months solved at once."""
+    levels = of_month(it.trophic_levels(by_month(edges_once(spark, d))).select("node", F.col("level").alias("trophic_level")))
+    return pn.hierarchy_roles(levels, ["time_key"]).select("time_key", "node", "trophic_level", "hierarchy_role")
+
 
-    f = F.col("frac_intra_edges")
-    return flow.intra_fractions(edges(spark, d), partition(spark, d)).select("time_key", "node", F.when(f == 0, "outward").when(f < 0.5, "bridge").when(f < 1, "embedded").otherwise("closed").alias("embeddedness_role"))
+@query("r04_embeddedness_roles")
+def r04(spark: SparkSession, d: str) -> DataFrame:
+    """From each month's core numbers, and participation and share within the group of the partition by state."""
+    e, p = edges_once(spark, d), partition(spark, d)
+    cores = of_month(it.core_numbers(by_month(e)))
+    m = flow.degrees(e).select("time_key", "node", "degree").join(cores, ["time_key", "node"], "left")
+    m = m.join(flow.participation(e, p).select("time_key", "node", "participation_coef"), ["time_key", "node"], "left").join(flow.intra_fractions(e, p).select("time_key", "node", "frac_intra_amount"), ["time_key", "node"], "left")
+    return pn.embeddedness_roles(m, ["time_key"]).select("time_key", "node", "core", "embeddedness_role")
 
 
 @query(

@@ -234,14 +234,37 @@ def test_stable_roles(spark):
     assert [r["stable_role"] for r in g] == ["a", "a", "b"] and g[-1]["months_in"] == 1
 
 
-def test_bleeding(spark):
-    from flowquarry.plans.studies import bleeding_roles
-
-    data = [(f"2024-0{m}", f"p{i}", "x", 100, 1) for m in range(1, 5) for i in range(4) if m < 4 or i == 0]
-    data += [(f"2024-0{m}", f"p{i}", "thin", 100, 1) for m in range(1, 5) for i in range(2) if m < 4 or i == 0]
-    data += [(f"2024-0{m}", "p1", "x2", 5, 1) for m in range(1, 5)]
-    got = {(r["time_key"], r["node"]): r["dynamics_role"] for r in bleeding_roles(_edges(spark, data)).collect()}
-    assert got["2024-04", "x"] == "bleeding" and got["2024-03", "x"] == "steady" and got["2024-04", "thin"] == "variable"
+def test_dynamics(spark):
+    from flowquarry.plans.studies import dynamics
+
+    months = [f"2024-0{m}" for m in range(1, 7)]
+    data = [(m, f"p{i}", "x", 100_00, 1) for m in months for i in range(4) if m < months[-1] or i == 0]  # loses three of four
+    data += [(m, f"p{i}", "thin", 100_00, 1) for m in months for i in range(2) if m < months[-1] or i == 0]  # loses one of two
+    data += [(m, f"p{i}", "kept", 100_00, 1) for m in months for i in range(4)]
+    data += [(m, f"p{i}", "grown", 100_00, 1) for m in months for i in range(8 if m == months[-1] else 3)]
+    data += [(m, "p1", "back", 5_00, 1) for m in months if m != months[-2]]
+    got = {(r["time_key"], r["node"]): r["dynamics_role"] for r in dynamics(_edges(spark, data)).collect()}
+    assert {n: got[months[-1], n] for n in ("x", "thin", "kept", "grown", "back")} == {"x": "bleeding", "thin": "variable", "kept": "steady", "grown": "expanding", "back": "intermittent"}
+    assert got[months[2], "x"] == "newcomer" and got[months[3], "x"] == "steady"
+
+
+def test_roles_of_rules(spark):
+    from flowquarry.operators import panel as pn
+
+    cols = "time_key string, node string, in_cents bigint, out_cents bigint, flow_ratio double, throughflow double, reciprocity_amount_share double, degree int, hub_in_share double, top1_in double, top1_out double, trophic_level double, core int, participation_coef double, frac_intra_amount double, want string"
+    rows_ = [
+        ("m", "in", 5, 0, 1.0, 0.0, 0.0, 2, None, 1.0, None, 0.0, 1, 0.0, 1.0, "one_sided single_relationship upstream_supplier peripheral"),
+        ("m", "out", 0, 5, -1.0, 0.0, 0.0, 5, 0.1, None, 0.8, 1.0, 1, 0.0, 1.0, "one_sided concentrated upstream_supplier peripheral"),
+        ("m", "near", 59, 41, 0.18, 900.0, 0.9, 5, 0.8, 0.9, 0.1, 2.0, 3, 0.7, 0.9, "mixed infra_dependent midstream peripheral"),  # 0.18 is no conduit
+        ("m", "conduit", 50, 50, 0.15, 900.0, 0.1, 9, 0.7, 0.7, 0.7, 3.0, 9, 0.1, 0.7, "conduit balanced downstream_buyer embedded"),
+        ("m", "trader", 50, 50, -0.15, 1.0, 0.9, 9, 0.0, 0.2, 0.2, None, 4, 0.62, 0.9, "trader balanced unknown connector"),
+        ("m", "quiet", 50, 50, 0.0, 1.0, 0.0, 9, 0.0, 0.2, 0.2, 4.0, 4, None, None, "mixed balanced downstream_buyer intermediate"),
+        ("other", "alone", 90, 10, 0.8, 10.0, 0.0, 3, 0.0, 0.5, 0.5, 1.0, 2, 0.0, 0.5, "collector balanced upstream_supplier peripheral"),
+    ]
+    m = spark.createDataFrame(rows_, cols)
+    got = pn.embeddedness_roles(pn.hierarchy_roles(pn.dependence_roles(pn.flow_roles(m, ["time_key"])), ["time_key"]), ["time_key"])
+    assert {r["node"]: " ".join(r[c] for c in ("flow_role", "dependence_role", "hierarchy_role", "embeddedness_role")) for r in got.collect()} == {r[1]: r[-1] for r in rows_}
+    assert pn.flow_roles(m.limit(0), ["time_key"]).count() == 0
 
 
 def test_lifecycle(spark):
