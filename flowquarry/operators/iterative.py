@@ -1,7 +1,7 @@
-"""Iterative graph algorithms: a driver loop over joins, with the state written to the shared folder at each cut.
+"""Iterative graph algorithms: a driver loop over joins, with the state written to the shared folder each round.
 
-``links`` is (src, dst, w). The links are partitioned once by the join key and kept; the state is one row a node. Lineage is cut
-by a table in the shared folder every ``EVERY`` steps, so a lost executor costs at most those steps again.
+``links`` is (src, dst, w). The links are partitioned once by the join key and held for the loop; the state is one row a node, and only
+the last two states stay on disk. A lost executor costs at most a round. Algorithms with an exact end run to it; those that approach a limit take a number of rounds, or a tolerance and a bound.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowquarry.operators.edges import incidence
-from flowquarry.session import cut
+from flowquarry.session import Latest, cut, held
 
 EVERY = 5
 
@@ -32,22 +32,31 @@ def undirected(links: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, label: str, every: int = EVERY) -> DataFrame:
-    """Steps with a cut after each ``every``; a step that reads its state twice wants 1, or its plan doubles each time."""
-    for i in range(rounds):
-        state = step(state)
-        if (i + 1) % every == 0:
-            state = cut(state, label)
+def both_ways(links: DataFrame) -> DataFrame:
+    """(src, dst, w) symmetrised: the weights of both directions together, each pair once each way; self-edges out."""
+    both = links.filter("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x"), "w").select("x.src", "x.dst", "w")
+    return both.groupBy("src", "dst").agg(F.round(F.sum("w"), 6).alias("w"))
+
+
+def node_names(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, label: str) -> DataFrame:
+    """A number of steps, each cut, as a step may read its state twice."""
+    latest = Latest(label)
+    for _ in range(rounds):
+        state = latest(step(state))
     return state
 
 
-def until_fixed(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, most: int, label: str) -> DataFrame:
-    """Steps until no row's ``changed`` is true; each step is cut, as its result is read twice."""
-    for _ in range(most):
-        state = cut(step(state), label)
+def until_fixed(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, label: str) -> DataFrame:
+    """Steps until no row's ``changed`` is true. For steps that move one way only, so that they end whatever the graph."""
+    latest = Latest(label)
+    while True:
+        state = latest(step(state))
         if not state.filter(changed).limit(1).collect():
             return state
-    raise RuntimeError(f"{label} did not settle in {most} rounds")
 
 
 def gap(new: DataFrame, old: DataFrame, c: str) -> float:
@@ -56,10 +65,11 @@ def gap(new: DataFrame, old: DataFrame, c: str) -> float:
 
 
 def until_near(state: DataFrame, step: Callable[[DataFrame], DataFrame], c: str, tol: float, most: int, label: str) -> DataFrame:
-    """Steps until no node's ``c`` changes by more than ``tol``."""
-    state = cut(state, label)
+    """Steps until no node's ``c`` changes by more than ``tol``; fails after ``most``."""
+    latest = Latest(label, keep=2)
+    state = latest(state)
     for _ in range(most):
-        old, state = state, cut(step(state), label)
+        old, state = state, latest(step(state))
         if gap(state, old, c) <= tol:
             return state
     raise RuntimeError(f"{label} did not come within {tol} in {most} rounds")
@@ -67,7 +77,7 @@ def until_near(state: DataFrame, step: Callable[[DataFrame], DataFrame], c: str,
 
 def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: DataFrame | None = None, digits: int = 9, tol: float | None = None) -> DataFrame:
     """(node, pagerank): weighted, directed, the mass of nodes without out-links spread as the teleport is. ``seeds`` (node) makes it personalised. With ``tol``, ``rounds`` is a bound."""
-    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = node_names(links)
     if seeds is None:
         base = nodes.withColumn("t", F.lit(1.0) / nodes.agg(F.count(F.lit(1))).scalar())
     else:
@@ -75,22 +85,26 @@ def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: D
         base = hit.select("node", (F.coalesce("s", F.lit(0.0)) / hit.agg(F.sum("s")).scalar()).alias("t"))
     base = cut(base, "nodes")
     out = links.groupBy("src").agg(F.sum("w").alias("total"))
-    share = cut(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "shares").repartition("src").persist()
+    with held(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")).repartition("src")) as share:
 
-    def step(rank: DataFrame) -> DataFrame:
-        came = rank.join(share, rank["node"] == share["src"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("in"))
-        kept = came.agg(F.coalesce(F.sum("in"), F.lit(0.0))).scalar()
-        new = base.join(came, base["node"] == came["dst"], "left")
-        return new.select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("in", F.lit(0.0)) + (1 - kept) * F.col("t"))).alias("r"))
+        def step(rank: DataFrame) -> DataFrame:
+            came = rank.join(share, rank["node"] == share["src"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("in"))
+            kept = came.agg(F.coalesce(F.sum("in"), F.lit(0.0))).scalar()
+            new = base.join(came, base["node"] == came["dst"], "left")
+            return new.select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("in", F.lit(0.0)) + (1 - kept) * F.col("t"))).alias("r"))
 
-    first = base.select("node", F.col("t").alias("r"))
-    rank = iterate(first, step, rounds, "rank", every=1) if tol is None else until_near(first, step, "r", tol, rounds, "rank")
+        first = base.select("node", F.col("t").alias("r"))
+        rank = iterate(first, step, rounds, "rank") if tol is None else until_near(first, step, "r", tol, rounds, "rank")
     return rank.select("node", F.round("r", digits).alias("pagerank"))
 
 
 def hits(links: DataFrame, rounds: int = 20, digits: int = 6, tol: float | None = None) -> DataFrame:
-    """(node, hub, authority): weighted, each scaled to unit length every round. With ``tol``, ``rounds`` is a bound."""
-    nodes = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    """(node, hub, authority): weighted, each scaled to unit length every round. With ``tol``, ``rounds`` is a bound.
+
+    The links are held twice, by either end, so a round moves the states and the sums, not the links.
+    """
+    nodes = cut(node_names(links), "nodes")
+    hubs, auths = Latest("hub", keep=2), Latest("authority", keep=2)
 
     def unit(df: DataFrame, c: str) -> DataFrame:
         norm = df.agg(F.sqrt(F.sum(F.col(c) * F.col(c)))).scalar()
@@ -98,37 +112,34 @@ def hits(links: DataFrame, rounds: int = 20, digits: int = 6, tol: float | None
 
     hub = nodes.withColumn("h", F.lit(1.0))
     auth = None
-    for i in range(rounds):
-        was = hub, auth
-        a = links.join(hub, links["src"] == hub["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("h")).alias("a"))
-        auth = cut(unit(a, "a"), "authority")
-        h = links.join(auth, links["dst"] == auth["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("a")).alias("h"))
-        hub = cut(unit(h, "h"), "hub")
-        if tol is not None and i and gap(hub, was[0], "h") <= tol and gap(auth, was[1], "a") <= tol:
-            break
-    else:
-        if tol is not None:
-            raise RuntimeError(f"hits did not come within {tol} in {rounds} rounds")
+    with held(links.repartition("src")) as by_src, held(links.repartition("dst")) as by_dst:
+        for i in range(rounds):
+            was = hub, auth
+            a = by_src.join(hub, by_src["src"] == hub["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("h")).alias("a"))
+            auth = auths(unit(a, "a"))
+            h = by_dst.join(auth, by_dst["dst"] == auth["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("a")).alias("h"))
+            hub = hubs(unit(h, "h"))
+            if tol is not None and i and gap(hub, was[0], "h") <= tol and gap(auth, was[1], "a") <= tol:
+                break
+        else:
+            if tol is not None:
+                raise RuntimeError(f"hits did not come within {tol} in {rounds} rounds")
     return nodes.join(hub, "node", "left").join(auth, "node", "left").select("node", F.round(F.coalesce("h", F.lit(0.0)), digits).alias("hub"), F.round(F.coalesce("a", F.lit(0.0)), digits).alias("authority"))
 
 
 def eigenvector(links: DataFrame, rounds: int = 20, digits: int = 6, tol: float | None = None) -> DataFrame:
     """(node, eigenvector) of the undirected graph plus the identity, which has the same vectors and converges on bipartite graphs too. With ``tol``, ``rounds`` is a bound."""
-    u = undirected(links)
+    sums = Latest("sums")
+    with held(undirected(links).repartition("src")) as u:
 
-    def step(x: DataFrame) -> DataFrame:
-        came = u.join(x, u["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("y"))
-        y = x.join(came, "node", "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x"))
-        y = cut(y, "eigen")
-        return y.withColumn("x", F.col("x") / y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar())
+        def step(x: DataFrame) -> DataFrame:
+            came = u.join(x, u["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("y"))
+            y = sums(x.join(came, "node", "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x")))
+            return y.withColumn("x", F.col("x") / y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar())
 
-    start = u.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    if tol is not None:
-        start = until_near(start, step, "x", tol, rounds, "eigenvector")
-    else:
-        for _ in range(rounds):
-            start = step(start)
-    return start.select("node", F.round("x", digits).alias("eigenvector"))
+        start = u.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
+        x = iterate(start, step, rounds, "eigenvector") if tol is None else until_near(start, step, "x", tol, rounds, "eigenvector")
+    return x.select("node", F.round("x", digits).alias("eigenvector"))
 
 
 def katz(links: DataFrame, alpha: float | None, rounds: int = 20, digits: int = 6, tol: float | None = None) -> DataFrame:
@@ -138,79 +149,91 @@ def katz(links: DataFrame, alpha: float | None, rounds: int = 20, digits: int =
     """
     if alpha is None:
         alpha = 0.85 / (spectral_radius(links, 50) or 1.0)
-    nodes = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
-    e = links.select("src", "dst").distinct()
+    nodes = cut(node_names(links), "nodes")
+    with held(links.select("src", "dst").distinct().repartition("src")) as e:
 
-    def step(x: DataFrame) -> DataFrame:
-        came = e.join(x, e["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("y"))
-        return nodes.join(came, "node", "left").select("node", (1 + alpha * F.coalesce("y", F.lit(0.0))).alias("x"))
+        def step(x: DataFrame) -> DataFrame:
+            came = e.join(x, e["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("y"))
+            return nodes.join(came, "node", "left").select("node", (1 + alpha * F.coalesce("y", F.lit(0.0))).alias("x"))
 
-    one = nodes.withColumn("x", F.lit(1.0))
-    x = iterate(one, step, rounds, "katz") if tol is None else until_near(one, step, "x", tol, rounds, "katz")
+        one = nodes.withColumn("x", F.lit(1.0))
+        x = iterate(one, step, rounds, "katz") if tol is None else until_near(one, step, "x", tol, rounds, "katz")
     return x.select("node", F.round("x", digits).alias("katz"))
 
 
 def spectral_radius(links: DataFrame, rounds: int = 20) -> float:
     """Largest eigenvalue of the directed unweighted adjacency matrix, by power iteration."""
-    e = cut(links.select("src", "dst").distinct(), "links")
-    x = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("x", F.lit(1.0))
+    latest = Latest("power")
     value = 0.0
-    for _ in range(rounds):
-        y = cut(e.join(x, e["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x")), "power")
-        value = y.agg(F.max("x")).first()[0] or 0.0
-        if value == 0:
-            return 0.0
-        x = y.withColumn("x", F.col("x") / F.lit(value))
+    with held(links.select("src", "dst").distinct().repartition("src")) as e:
+        x = node_names(e).withColumn("x", F.lit(1.0))
+        for _ in range(rounds):
+            y = latest(e.join(x, e["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x")))
+            value = y.agg(F.max("x")).first()[0] or 0.0
+            if value == 0:
+                return 0.0
+            x = y.withColumn("x", F.col("x") / F.lit(value))
     return value
 
 
-def components(links: DataFrame, most: int = 50) -> DataFrame:
-    """(node, component): weak components, each named by its least node. Each round takes the least label of the neighbours and then the label's own label, so long chains halve."""
-    u = cut(undirected(links), "undirected").repartition("src").persist()
-    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): weak components, each named by its least node. Each round takes the least label of the neighbours and then the label's own label, so long chains halve; labels only fall, so it ends."""
+    nodes = node_names(links)
+    with held(undirected(links).repartition("src")) as u:
 
-    def step(s: DataFrame) -> DataFrame:
-        s = s.select("node", "label")
-        near = u.join(s.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("n"))
-        one = s.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("n", "label")).alias("m"))
-        jump = s.select(F.col("node").alias("m"), F.col("label").alias("j"))
-        two = one.join(jump, "m", "left").select("node", F.least("m", F.coalesce("j", "m")).alias("new"), "label")
-        return two.select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved"))
+        def step(s: DataFrame) -> DataFrame:
+            s = s.select("node", "label")
+            near = u.join(s.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("n"))
+            one = s.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("n", "label")).alias("m"))
+            jump = s.select(F.col("node").alias("m"), F.col("label").alias("j"))
+            two = one.join(jump, "m", "left").select("node", F.least("m", F.coalesce("j", "m")).alias("new"), "label")
+            return two.select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved"))
 
-    return until_fixed(nodes.withColumn("label", F.col("node")), step, "moved", most, "components").select("node", F.col("label").alias("component"))
+        out = until_fixed(nodes.withColumn("label", F.col("node")), step, "moved", "components")
+    return out.select("node", F.col("label").alias("component"))
 
 
-def core_numbers(links: DataFrame, most: int = 100) -> DataFrame:
+def core_numbers(links: DataFrame) -> DataFrame:
     """(node, core) of the undirected simple graph: each node lowers its value to the h-index of its neighbours' values until nothing moves.
 
-    The h-index comes from counts of neighbours by value: at most as many rows as there are different values.
+    The h-index comes from counts of neighbours by value: at most as many rows as there are different values. Values only fall, so it ends, after as many rounds as the longest
+    chain of nodes that fall one by one. A round moves one value a link, combined by node and value before the shuffle.
     """
-    u = cut(undirected(links), "undirected").repartition("dst").persist()
-    start = u.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core"))
-
-    def step(s: DataFrame) -> DataFrame:
-        s = s.select("node", "core")
-        near = u.join(s.select(F.col("node").alias("dst"), F.col("core").alias("c")), "dst").join(s.select(F.col("node").alias("src"), "core"), "src")
-        hist = near.groupBy(F.col("src").alias("node"), "core", F.least("c", "core").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-        h = hist.select("node", "core", F.least("v", F.sum("n").over(w)).alias("h")).groupBy("node", "core").agg(F.max("h").alias("h"))
-        return h.select("node", F.col("h").alias("core"), (F.col("h") < F.col("core")).alias("moved"))
-
-    cores = until_fixed(start, step, "moved", most, "cores").select("node", "core")
-    alone = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(cores, "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("core"))
+    with held(undirected(links).repartition("dst")) as u:
+        start = u.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core"))
+
+        def step(s: DataFrame) -> DataFrame:
+            s = s.select("node", "core")
+            near = u.join(s.select(F.col("node").alias("dst"), F.col("core").alias("v")), "dst")
+            hist = near.groupBy(F.col("src").alias("node"), "v").agg(F.count(F.lit(1)).alias("n"))
+            w = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+            h = hist.select("node", F.least("v", F.sum("n").over(w)).alias("h")).groupBy("node").agg(F.max("h").alias("h"))
+            return h.join(s, "node").select("node", F.least("h", "core").alias("core"), (F.col("h") < F.col("core")).alias("moved"))
+
+        cores = until_fixed(start, step, "moved", "cores").select("node", "core")
+    alone = node_names(links).join(cores, "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("core"))
     return cores.unionByName(alone)
 
 
+def _closed(up: DataFrame, carry: list[str]) -> DataFrame:
+    """(src, x, y, ...): each triangle once, from oriented links (src, dst, kd, ``carry``), which lead from lower to higher degree; carried columns with the suffixes _sx, _sy, _xy."""
+    named = lambda end, tag: [F.col(c).alias(f"{c}_{tag}") for c in carry]
+    a = up.select("src", F.col("dst").alias("x"), F.col("kd").alias("kx"), *named("x", "sx"))
+    b = up.select("src", F.col("dst").alias("y"), F.col("kd").alias("ky"), *named("y", "sy"))
+    first = (F.col("kx") < F.col("ky")) | ((F.col("kx") == F.col("ky")) & (F.col("x") < F.col("y")))
+    return a.join(b, "src").filter(first).drop("kx", "ky").join(up.select(F.col("src").alias("x"), F.col("dst").alias("y"), *named("", "xy")), ["x", "y"])
+
+
+def _oriented(u: DataFrame, deg: DataFrame, carry: list[str]) -> DataFrame:
+    e = u.join(deg.select(F.col("node").alias("src"), F.col("k").alias("ks")), "src").join(deg.select(F.col("node").alias("dst"), F.col("k").alias("kd")), "dst")
+    return cut(e.filter((F.col("ks") < F.col("kd")) | ((F.col("ks") == F.col("kd")) & (F.col("src") < F.col("dst")))).select("src", "dst", "kd", *carry), "oriented")
+
+
 def triangles(links: DataFrame) -> DataFrame:
     """(node, degree, triangles, clustering) of the undirected simple graph. Edges point from lower to higher degree, so no node starts more than about sqrt(2 m) paths, however large a hub it is."""
     u = cut(undirected(links), "undirected")
     deg = u.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("k"))
-    e = u.join(deg.select(F.col("node").alias("src"), F.col("k").alias("ks")), "src").join(deg.select(F.col("node").alias("dst"), F.col("k").alias("kd")), "dst")
-    up = cut(e.filter((F.col("ks") < F.col("kd")) | ((F.col("ks") == F.col("kd")) & (F.col("src") < F.col("dst")))).select("src", "dst", "kd"), "oriented")
-    a, b = up.select("src", F.col("dst").alias("x"), F.col("kd").alias("kx")), up.select("src", F.col("dst").alias("y"), F.col("kd").alias("ky"))
-    first = (F.col("kx") < F.col("ky")) | ((F.col("kx") == F.col("ky")) & (F.col("x") < F.col("y")))
-    open_ = a.join(b, "src").filter(first).select("src", "x", "y")
-    closed = open_.join(up.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"])
+    closed = _closed(_oriented(u, deg, []), [])
     per = closed.select(F.explode(F.array("src", "x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
     k, t = F.col("k"), F.coalesce("t", F.lit(0).cast("bigint"))
     return deg.join(per, "node", "left").select("node", k.alias("degree"), t.alias("triangles"), F.round(F.when(k > 1, 2 * t / (k * (k - 1))), 6).alias("clustering"))
@@ -228,17 +251,23 @@ def cyclic_triangles(links: DataFrame) -> DataFrame:
 
 
 def constraint(links: DataFrame, digits: int = 6) -> DataFrame:
-    """(node, constraint): Burt's, on symmetrised weights: sum over neighbours j of (p_ij + sum_q p_iq p_qj)^2. Paths end at direct neighbours, so they are triangles."""
-    both = links.filter("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x"), "w").select("x.src", "x.dst", "w")
-    s = both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    total = s.groupBy("src").agg(F.sum("w").alias("total"))
-    p = cut(s.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "shares")
-    a, b = p.select(F.col("src").alias("i"), F.col("dst").alias("q"), F.col("p").alias("p1")), p.select(F.col("src").alias("q"), F.col("dst").alias("j"), F.col("p").alias("p2"))
+    """(node, constraint): Burt's, on symmetrised weights: sum over neighbours j of (p_ij + sum_q p_iq p_qj)^2.
+
+    Paths i - q - j that count end at a neighbour of i, so they are triangles; each is found once, from its node of lowest degree, and gives its six paths. A hub starts no pairs of its neighbours.
+    """
+    s = both_ways(links)
+    total = s.groupBy("src").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("k"))
+    p = s.join(total, "src").select("src", "dst", "w", (F.col("w") / F.col("total")).alias("p"), "k")
+    back = total.select(F.col("src").alias("dst"), F.col("total").alias("back_total"))
+    p = cut(p.join(back, "dst").select("src", "dst", "p", (F.col("w") / F.col("back_total")).alias("b"), "k"), "shares")
+    deg = p.select(F.col("src").alias("node"), "k").distinct()
+    t = _closed(_oriented(p.drop("k"), deg, ["p", "b"]), ["p", "b"])  # p along the orientation, b against it
+    path = lambda i, j, one, two: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (F.col(one) * F.col(two)).alias("v"))
+    six = F.array(path("src", "x", "p_sy", "b_xy"), path("x", "src", "p_xy", "b_sy"), path("src", "y", "p_sx", "p_xy"), path("y", "src", "b_xy", "b_sx"), path("x", "y", "b_sx", "p_sy"), path("y", "x", "b_sy", "p_sx"))
+    via = t.select(F.explode(six).alias("z")).select("z.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
     direct = p.select(F.col("src").alias("i"), F.col("dst").alias("j"), "p")
-    # Closing at the neighbours first keeps to triangles: i-j and i-q are links of i, q-j a third one.
-    via = direct.select("i", "j").join(a, "i").filter("q <> j").join(b, ["q", "j"]).groupBy("i", "j").agg(F.sum(F.col("p1") * F.col("p2")).alias("v"))
-    t = direct.join(via, ["i", "j"], "left").select("i", F.pow(F.col("p") + F.coalesce("v", F.lit(0.0)), 2).alias("c"))
-    return t.groupBy(F.col("i").alias("node")).agg(F.round(F.sum("c"), digits).alias("constraint"))
+    c = direct.join(via, ["i", "j"], "left").select("i", F.pow(F.col("p") + F.coalesce("v", F.lit(0.0)), 2).alias("c"))
+    return c.groupBy(F.col("i").alias("node")).agg(F.round(F.sum("c"), digits).alias("constraint"))
 
 
 def sample_nodes(links: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -249,7 +278,7 @@ def sample_nodes(links: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def distances(links: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     """(seed, node, dist, paths): unweighted breadth-first levels from each seed along links, and the number of shortest paths. Without ``hops`` it goes on until nothing new is reached."""
-    e = links.select("src", "dst").distinct().repartition("src").persist()
+    e = cut(links.select("src", "dst").distinct(), "links")
     seen = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")), "levels")
     front = seen
     for level in itertools.count(1) if hops is None else range(1, hops + 1):
@@ -296,25 +325,27 @@ def trophic_levels(links: DataFrame, rounds: int = 1000, tol: float = 1e-6) -> D
     One join and a few sums a round; it fails if the residual is not below ``tol`` of the first one after ``rounds``. u is in plus out weight, v in minus out weight.
     """
     s = links.filter("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    both = cut(s.select(F.explode(F.array(F.struct(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1.0).alias("s")), F.struct(F.col("dst").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("s")))).alias("x"), "w").select("x.*", "w"), "both").repartition("j").persist()
+    both = cut(s.select(F.explode(F.array(F.struct(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1.0).alias("s")), F.struct(F.col("dst").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("s")))).alias("x"), "w").select("x.*", "w"), "both")
     comp = components(links)
     x = both.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("u"), F.sum(F.col("w") * F.col("s")).alias("v"))
-    x = cut(x.select("node", "u", F.lit(0.0).alias("h"), F.col("v").alias("r"), (F.col("v") / F.col("u")).alias("p")), "cg")
+    latest = Latest("cg")
+    x = latest(x.select("node", "u", F.lit(0.0).alias("h"), F.col("v").alias("r"), (F.col("v") / F.col("u")).alias("p")))
     rz = x.agg(F.sum(F.col("r") * F.col("r") / F.col("u"))).first()[0] or 0.0
     start = rz
-    for _ in range(rounds):
-        if rz <= tol * tol * start or rz == 0:
-            break
-        ax = both.join(x.select(F.col("node").alias("j"), F.col("p").alias("q")), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("w") * F.col("q")).alias("wq"))
-        y = cut(x.join(ax, "node").withColumn("ap", F.col("u") * F.col("p") - F.col("wq")), "cg")
-        pap = y.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        if not pap:
-            break
-        a = rz / pap
-        y = y.select("node", "u", (F.col("h") + a * F.col("p")).alias("h"), (F.col("r") - a * F.col("ap")).alias("r"), "p")
-        new = y.agg(F.sum(F.col("r") * F.col("r") / F.col("u"))).first()[0] or 0.0
-        x = y.withColumn("p", F.col("r") / F.col("u") + F.lit(new / rz) * F.col("p"))
-        rz = new
+    with held(both.repartition("j")) as links_:
+        for _ in range(rounds):
+            if rz <= tol * tol * start or rz == 0:
+                break
+            ax = links_.join(x.select(F.col("node").alias("j"), F.col("p").alias("q")), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("w") * F.col("q")).alias("wq"))
+            y = latest(x.join(ax, "node").withColumn("ap", F.col("u") * F.col("p") - F.col("wq")))
+            pap = y.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+            if not pap:
+                break
+            a = rz / pap
+            y = y.select("node", "u", (F.col("h") + a * F.col("p")).alias("h"), (F.col("r") - a * F.col("ap")).alias("r"), "p")
+            new = y.agg(F.sum(F.col("r") * F.col("r") / F.col("u"))).first()[0] or 0.0
+            x = y.withColumn("p", F.col("r") / F.col("u") + F.lit(new / rz) * F.col("p"))
+            rz = new
     if rz > tol * tol * start:
         raise RuntimeError(f"trophic levels: residual {(rz / start) ** 0.5:.1e} of the first after {rounds} rounds, {tol} wanted")
     out = comp.join(x.select("node", "h"), "node", "left").select("node", "component", F.coalesce("h", F.lit(0.0)).alias("h"))
@@ -331,20 +362,28 @@ def trophic_incoherence(links: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, grp): synchronous label propagation on the undirected graph; each node takes the label with most weight among its neighbours and itself, ties to the least."""
-    both = links.filter("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x"), "w").select("x.src", "x.dst", "w").groupBy("src", "dst").agg(F.round(F.sum("w"), 6).alias("w"))
-    both = cut(both, "both").repartition("dst").persist()
-    own = both.groupBy(F.col("src").alias("node")).agg((F.max("w")).alias("w"))
+    """(node, grp): synchronous label propagation on the undirected graph; each node takes the label with most weight among its neighbours and itself, ties to the least.
+
+    It need not settle, so it is the labels after ``rounds`` rounds, or from the round on that changes none.
+    """
+    latest = Latest("labels", keep=2)
+    with held(both_ways(links).repartition("dst")) as both:
+        own = cut(both.groupBy(F.col("src").alias("node")).agg((F.max("w")).alias("w")), "own")
 
-    def step(s: DataFrame) -> DataFrame:
-        votes = both.join(s.select(F.col("node").alias("dst"), "grp"), "dst").select(F.col("src").alias("node"), "grp", "w").unionByName(s.join(own, "node").select("node", "grp", "w"))
-        tally = votes.groupBy("node", "grp").agg(F.round(F.sum("w"), 6).alias("w"))
-        return tally.groupBy("node").agg(F.min_by("grp", F.struct(-F.col("w"), F.col("grp"))).alias("grp"))
+        def step(s: DataFrame) -> DataFrame:
+            votes = both.join(s.select(F.col("node").alias("dst"), "grp"), "dst").select(F.col("src").alias("node"), "grp", "w").unionByName(s.join(own, "node").select("node", "grp", "w"))
+            tally = votes.groupBy("node", "grp").agg(F.round(F.sum("w"), 6).alias("w"))
+            return tally.groupBy("node").agg(F.min_by("grp", F.struct(-F.col("w"), F.col("grp"))).alias("grp"))
 
-    return iterate(own.select("node", F.col("node").alias("grp")), step, rounds, "labels", every=1)
+        state = own.select("node", F.col("node").alias("grp"))
+        for _ in range(rounds):
+            was, state = state, latest(step(state))
+            if not state.join(was.select("node", F.col("grp").alias("was")), "node").filter("grp <> was").limit(1).collect():
+                break
+    return state
 
 
-def strong_components(links: DataFrame, most: int = 60) -> DataFrame:
+def strong_components(links: DataFrame) -> DataFrame:
     """(node, scc), each named by its least node: forward-backward colouring in rounds.
 
     Each round: every open node takes the least node that reaches it (its colour); those that reach their colour's root back within the colour are that
@@ -353,7 +392,7 @@ def strong_components(links: DataFrame, most: int = 60) -> DataFrame:
     e = cut(links.filter("src <> dst").select("src", "dst").distinct(), "links")
     open_ = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "open")
     done = None
-    for _ in range(most):
+    while True:  # each round closes a component at least
         for _ in range(3):  # a few rounds of trimming
             ends = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node")
             lone = cut(open_.join(ends, "node", "left_anti").select("node", F.col("node").alias("scc")), "lone")
@@ -361,7 +400,7 @@ def strong_components(links: DataFrame, most: int = 60) -> DataFrame:
             open_ = cut(open_.join(lone, "node", "left_anti"), "open")
             e = cut(e.join(open_.withColumnRenamed("node", "src"), "src", "left_semi").join(open_.withColumnRenamed("node", "dst"), "dst", "left_semi"), "links")
         if not open_.limit(1).collect():
-            break
+            return done
         links_in = e
 
         def spread(s: DataFrame, links_in: DataFrame = links_in) -> DataFrame:
@@ -369,7 +408,7 @@ def strong_components(links: DataFrame, most: int = 60) -> DataFrame:
             near = links_in.join(s.select(F.col("node").alias("src"), F.col("c").alias("n")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("n").alias("n"))
             return s.join(near, "node", "left").select("node", F.least("c", F.coalesce("n", "c")).alias("c"), (F.coalesce("n", "c") < F.col("c")).alias("moved"))
 
-        colour = until_fixed(open_.withColumn("c", F.col("node")), spread, "moved", 500, "colour").select("node", "c")
+        colour = until_fixed(open_.withColumn("c", F.col("node")), spread, "moved", "colour").select("node", "c")
         within = cut(e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst"), "within")
         reach = colour.filter("node = c").select("node", "c")
         front = reach
@@ -384,10 +423,7 @@ def strong_components(links: DataFrame, most: int = 60) -> DataFrame:
         open_ = cut(open_.join(closed, "node", "left_anti"), "open")
         e = cut(e.join(open_.withColumnRenamed("node", "src"), "src", "left_semi").join(open_.withColumnRenamed("node", "dst"), "dst", "left_semi"), "links")
         if not open_.limit(1).collect():
-            break
-    else:
-        raise RuntimeError("strong components did not settle")
-    return done
+            return done
 
 
 def bow_tie(links: DataFrame, scc: DataFrame) -> DataFrame:
@@ -425,25 +461,47 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
     return seen
 
 
+def _moves(both: DataFrame, rounds: int) -> DataFrame:
+    """(node, grp): moves on a symmetric relation (src, dst, w) whose self rows hold the weight within a node twice."""
+    degree = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "degree")
+    m2 = degree.agg(F.sum("k")).first()[0]
+    latest = Latest("groups")
+    state = degree.select("node", "k", F.col("node").alias("grp"))
+    with held(both.filter("src <> dst").repartition("dst")) as links:
+        for i in range(rounds):
+            size = state.groupBy("grp").agg(F.sum("k").alias("tot"))
+            near = links.join(state.select(F.col("node").alias("dst"), "grp"), "dst").groupBy(F.col("src").alias("node"), "grp").agg(F.sum("w").alias("kin"))
+            options = near.unionByName(state.select("node", "grp", F.lit(0.0).alias("kin"))).groupBy("node", "grp").agg(F.sum("kin").alias("kin"))
+            own = state.select("node", "k", F.col("grp").alias("own"))
+            j = options.join(own, "node").join(size, "grp")
+            gain = F.round(F.col("kin") - F.col("k") * (F.col("tot") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0.0)) / m2, 9)
+            best = j.withColumn("gain", gain).groupBy("node", "k", "own").agg(F.min_by("grp", F.struct(-F.col("gain"), F.col("grp"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("grp") == F.col("own"), F.col("gain"))).alias("stay"))
+            turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
+            state = latest(best.select("node", "k", F.when(turn & (F.col("top") > F.col("stay")), F.col("best")).otherwise(F.col("own")).alias("grp")))
+    return state.select("node", "grp")
+
+
 def modularity_moves(links: DataFrame, rounds: int = 12) -> DataFrame:
     """(node, grp): one level of modularity optimisation on the undirected graph.
 
     In each round, the half of the nodes that a hash picks move to the neighbouring group with the greatest gain, if that beats their own; halves keep neighbours from
     trading places. Deterministic; the groups carry the name of the node that founded them.
     """
-    both = links.filter("src <> dst").select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x"), "w").select("x.src", "x.dst", "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    both = cut(both, "both").repartition("dst").persist()
-    degree = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "degree")
-    m2 = degree.agg(F.sum("k")).first()[0]
-    state = degree.select("node", "k", F.col("node").alias("grp"))
-    for i in range(rounds):
-        size = state.groupBy("grp").agg(F.sum("k").alias("tot"))
-        near = both.join(state.select(F.col("node").alias("dst"), "grp"), "dst").groupBy(F.col("src").alias("node"), "grp").agg(F.sum("w").alias("kin"))
-        options = near.unionByName(state.select("node", "grp", F.lit(0.0).alias("kin"))).groupBy("node", "grp").agg(F.sum("kin").alias("kin"))
-        own = state.select("node", "k", F.col("grp").alias("own"))
-        j = options.join(own, "node").join(size, "grp")
-        gain = F.round(F.col("kin") - F.col("k") * (F.col("tot") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0.0)) / m2, 9)
-        best = j.withColumn("gain", gain).groupBy("node", "k", "own").agg(F.min_by("grp", F.struct(-F.col("gain"), F.col("grp"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("grp") == F.col("own"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        state = cut(best.select("node", "k", F.when(turn & (F.col("top") > F.col("stay")), F.col("best")).otherwise(F.col("own")).alias("grp")), "groups")
-    return state.select("node", "grp")
+    return _moves(cut(both_ways(links), "both"), rounds)
+
+
+def louvain(links: DataFrame, rounds: int = 12, levels: int = 10) -> DataFrame:
+    """(node, grp, level): modularity moves, then the same on the graph of groups, until a level joins none or ``levels`` are done. level is the last one that joined groups.
+
+    The graph of groups keeps the weights within groups as self rows, so a move's gain is that of all its nodes. Deterministic, unlike the usual form that visits nodes one by one.
+    """
+    both = cut(both_ways(links), "both")
+    member, done = None, 0
+    for level in range(1, levels + 1):
+        moved = cut(_moves(both, rounds), "level")
+        member = moved if member is None else cut(member.join(moved.select(F.col("node").alias("grp"), F.col("grp").alias("up")), "grp").select("node", F.col("up").alias("grp")), "member")
+        done = level
+        if moved.filter("node <> grp").limit(1).collect() == []:
+            break
+        both = cut(both.join(moved.select(F.col("node").alias("src"), F.col("grp").alias("a")), "src").join(moved.select(F.col("node").alias("dst"), F.col("grp").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.round(F.sum("w"), 6).alias("w")), "both")
+    return member.select("node", "grp", F.lit(done).alias("level"))

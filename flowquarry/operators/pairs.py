@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,16 +121,20 @@ def capped_edges(edges: DataFrame, most: int) -> DataFrame:
 def node_budget(pairs: DataFrame, budget: int, order: list[Column]) -> list[tuple[str, str]]:
     """Greedy choice, best first, of pairs until ``budget`` different nodes are taken; a pair that needs more is passed over. For drawing.
 
-    Every pair taken or passed over by a full budget needs at most ``budget`` nodes, so reading budget^2 best pairs is enough to fill it; that many reach the driver.
+    While two places are left no pair is passed over, so the best budget^2 pairs reach that point. The last place goes to the best pair that needs one. Then every pair
+    among the nodes taken is chosen and no other; the driver never holds more than budget^2 pairs.
     """
     taken: set[str] = set()
-    out = []
     for a, b in pairs.orderBy(*order).select("a", "b").limit(budget * budget).collect():
-        need = {a, b} - taken
-        if len(taken) + len(need) <= budget:
-            taken |= need
-            out.append((a, b))
-    return out
-
+        if budget - len(taken | {a, b}) >= 0:
+            taken |= {a, b}
+        if budget - len(taken) < 2:
+            break
+    a, b = F.col("a"), F.col("b")
+    if budget - len(taken) == 1:
+        one = (a.isin(list(taken)) != b.isin(list(taken))) | ((a == b) & ~a.isin(list(taken)))
+        for r in pairs.filter(one).orderBy(*order).select("a", "b").limit(1).collect():
+            taken |= {r["a"], r["b"]}
+    among = pairs.filter(a.isin(list(taken)) & b.isin(list(taken)))
+    return [tuple(r) for r in among.orderBy(*order).select("a", "b").limit(budget * budget).collect()]
 
-Rule = Callable[[DataFrame], DataFrame]

@@ -80,7 +80,12 @@ def neighbours_jaccard(links: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, common, jaccard, adamic_adar) of given pairs, on the undirected graph ``links`` (src, dst both ways)."""
     deg = links.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     x = pairs.select("a", "b").distinct()
-    via = x.join(links.select(F.col("src").alias("a"), F.col("dst").alias("z")), "a").join(links.select(F.col("src").alias("b"), F.col("dst").alias("z")), ["b", "z"]).join(deg.select(F.col("src").alias("z"), F.col("k").alias("kz")), "z")
+    k = lambda s: deg.select(F.col("src").alias(s), F.col("k").alias(f"k{s}"))
+    ends = x.join(k("a"), "a").join(k("b"), "b")
+    # The neighbours of the end that has fewer are looked up at the other, so a hub's are not listed for each of its pairs.
+    few = F.col("ka") <= F.col("kb")
+    ends = ends.select("a", "b", F.when(few, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("hi"))
+    via = ends.join(links.select(F.col("src").alias("lo"), F.col("dst").alias("z")), "lo").join(links.select(F.col("src").alias("hi"), F.col("dst").alias("z")), ["hi", "z"]).join(deg.select(F.col("src").alias("z"), F.col("k").alias("kz")), "z")
     c = via.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("kz") > 1, 1 / F.log(F.col("kz").cast("double"))).otherwise(0.0)).alias("aa"))
     d = lambda s: deg.select(F.col("src").alias(s), F.col("k").alias(f"k{s}"))
     j = x.join(c, ["a", "b"], "left").join(d("a"), "a", "left").join(d("b"), "b", "left")

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,14 +49,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_CUTS: list[str] = []
+_CUTS: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_cuts(spark: SparkSession) -> None:
-    """Deletes the tables this process has cut. To be called when no result that reads them is still to come."""
-    while _CUTS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the tables this session's application has cut. To be called when no result that reads them is still to come."""
+    for path in _CUTS.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -62,8 +76,31 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
 
     The table stays until ``drop_cuts``, as results that read it may still be lazy.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _CUTS.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, label)[0]
+
+
+class Latest:
+    """Cuts the states of an iteration one after the other; only the last ``keep`` tables stay, so disk holds no more however many rounds there are."""
+
+    def __init__(self, label: str, keep: int = 1):
+        self.label, self.keep = label, keep
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out, path = _write(df, self.label)
+        self.paths.append(path)
+        while len(self.paths) > self.keep:
+            old = self.paths.pop(0)
+            _CUTS[df.sparkSession.sparkContext.applicationId].remove(old)
+            _delete(df.sparkSession, old)
+        return out
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` persisted for the time of a loop that reads it every round, so it keeps its partitioning. Results must be cut before it ends."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()

@@ -289,6 +289,58 @@ def test_statistics(spark):
 def test_node_budget(spark):
     p = spark.createDataFrame([("a", "b", 9), ("c", "d", 8), ("a", "c", 7), ("e", "f", 6)], "a string, b string, s int")
     assert pr.node_budget(p, 4, [F.desc("s")]) == [("a", "b"), ("c", "d"), ("a", "c")]
+    late = spark.createDataFrame([("a", "b", 99), *[(f"p{i}", f"q{i}", 50 - i) for i in range(40)], ("a", "x", 1), ("x", "b", 0), (None, "a", 0)], "a string, b string, s int")
+    assert pr.node_budget(late, 3, [F.desc("s")]) == [("a", "b"), ("a", "x"), ("x", "b")]  # the last place is filled far down
+    assert pr.node_budget(late, 1, [F.desc("s")]) == pr.node_budget(p.limit(0), 3, [F.desc("s")]) == []
+
+
+def test_budget_against_the_greedy_choice(spark):
+    rng = random.Random(12)
+    data = [(a, b, i) for i, (a, b) in enumerate({tuple(rng.sample("abcdefghijklmnop", 2)) for _ in range(60)})]
+    p = spark.createDataFrame(data, "a string, b string, s int")
+    for budget in (2, 5, 8, 11):
+        taken, want = set(), []
+        for a, b, _ in sorted(data, key=lambda x: x[2]):
+            if len(taken | {a, b}) <= budget:
+                taken |= {a, b}
+                want.append((a, b))
+        assert pr.node_budget(p, budget, [F.col("s")]) == want
+
+
+def test_constraint_against_the_definition(spark):
+    """Also on a star whose hub has many leaves: no pairs of leaves are built."""
+    rng = random.Random(3)
+    e = {(a, b): float(rng.randint(1, 9)) for a, b in {tuple(rng.sample("abcdefgh", 2)) for _ in range(25)}}
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in e.items()], "src string, dst string, w double")
+    w = {}
+    for (a, b), x in e.items():
+        w[a, b] = w.get((a, b), 0) + x
+        w[b, a] = w.get((b, a), 0) + x
+    n = sorted({a for a, _ in w})
+    tot = {i: sum(x for (a, _), x in w.items() if a == i) for i in n}
+    p = lambda i, j: w.get((i, j), 0) / tot[i]
+    want = {i: sum((p(i, j) + sum(p(i, q) * p(q, j) for q in n if q not in (i, j))) ** 2 for j in n if (i, j) in w) for i in n}
+    got = {r["node"]: r["constraint"] for r in it.constraint(links).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-5) for i in n)
+    star = spark.range(100_000).select(F.lit("hub").alias("src"), F.concat(F.lit("l"), "id").alias("dst"), F.lit(1.0).alias("w"))
+    c = it.constraint(star)
+    assert c.filter("node = 'l7'").first()["constraint"] == 1.0 and c.count() == 100_001
+
+
+def test_louvain_joins_two_cliques(spark):
+    e = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "xyz" for i in range(5) for j in range(i)] + [("x0", "y0", 0.1), ("y1", "z1", 0.1)]
+    got = {r["node"]: r["grp"] for r in it.louvain(spark.createDataFrame(e, "src string, dst string, w double")).collect()}
+    assert len(set(got.values())) == 3 and all(len({g for n, g in got.items() if n[0] == c}) == 1 for c in "xyz")
+
+
+def test_states_of_a_loop_are_deleted(spark, links):
+    import os
+
+    from flowquarry import session
+
+    folder = session.shared_folder(spark).removeprefix("file://")
+    it.pagerank(links, rounds=6).count()
+    assert len([f for f in os.listdir(folder) if f.startswith("rank-")]) <= 2
 
 
 def test_jaro_winkler_against_the_engine():
