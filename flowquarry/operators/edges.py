@@ -79,6 +79,34 @@ def all_versions(edges: DataFrame, ladder: DataFrame, versions: list[str]) -> Da
     return marked.select(F.explode(kept).alias("version"), *edges.columns)
 
 
+#: Rules of the older ladders: version, then which measure must exceed which tier; any of them excludes a node.
+STRICT_FIRST = {"V1": [("degree", "strict")], "V2": [("strength", "strict")], "V3": [("degree", "strict"), ("strength", "strict")], "V4": [("degree", "broad"), ("strength", "broad")]}
+BROAD_FIRST = {"V1": [("degree", "broad")], "V2": [("degree", "strict")], "V3": [("strength", "broad")], "V4": [("degree", "broad"), ("strength", "broad")]}
+
+
+def older_ladder(edges: DataFrame, rules: dict[str, list[tuple[str, str]]], broad: float = 0.999, strict: float = 0.9999) -> DataFrame:
+    """(version, node) of the nodes each version leaves out, by percentiles of degree and strength."""
+    basis = ladder_basis(edges)
+    at = build_ladder(edges, {"broad": broad, "strict": strict})[1]
+    one = at.agg(*[F.max(F.when(F.col("version") == t, F.col(f"{c}_at"))).alias(f"{c}_{t}") for t in ("broad", "strict") for c in ("degree", "strength")])
+    marked = basis.withColumn("at", one.select(F.struct("*")).scalar())
+    out = lambda rule: [F.col(c) > F.col(f"at.{c}_{t}") for c, t in rule]
+    versions = []
+    for v, rule in rules.items():
+        hit = F.lit(False)
+        for cond in out(rule):
+            hit = hit | cond
+        versions.append(F.when(hit, F.lit(v)))
+    return marked.select("node", F.explode(F.array_compact(F.array(*versions))).alias("version")).select("version", "node")
+
+
+def retention(edges: DataFrame, ladder: DataFrame, versions: list[str]) -> DataFrame:
+    """(version, edges_kept, nodes_removed, cents_kept) of V0 and each version, from one pass over the edges."""
+    kept = all_versions(edges, ladder, ["V0", *versions]).groupBy("version").agg(F.count(F.lit(1)).alias("edges_kept"), F.sum("cents").alias("cents_kept"))
+    gone = ladder.groupBy("version").agg(F.count_distinct("node").alias("nodes_removed"))
+    return kept.join(gone, "version", "left").select("version", "edges_kept", F.coalesce("nodes_removed", F.lit(0)).alias("nodes_removed"), "cents_kept")
+
+
 def hub_nodes_by_degree(edges: DataFrame, cap: int) -> DataFrame:
     """(node, n_neighbors) of nodes with more than ``cap`` different neighbours over the window."""
     n = incidence(no_self(edges)).groupBy("node").agg(F.count_distinct("cp").alias("n_neighbors"))

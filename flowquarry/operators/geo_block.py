@@ -56,6 +56,23 @@ def spread(edges: DataFrame, points: DataFrame) -> DataFrame:
     return out.select(*KEY, F.col("n_cp").alias("n_cp_located"), "geo_r", km.alias("spread_km"), F.round(haversine_km(F.col("own_lat"), F.col("own_lon"), F.col("c_lat"), F.col("c_lon")), 2).alias("registered_vs_flow_km"), cls.otherwise("NATIONAL").alias("locality"))
 
 
+def side_spread(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """(time_key, node, geo_spread_in_km, geo_spread_out_km): root mean squared distance of each side's located counterparties about that side's own centre; null below two located ones.
+
+    The sum of squared distances needs the centre, so a side's rows meet it by a join on month, node and side, in the partitioning of the sums.
+    """
+    side = [*KEY, "dir"]
+    n = near(edges, points).filter("lat is not null and cents > 0").select(*side, "cp", "cents", "lat", "lon")
+    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
+    w = F.col("cents").cast("double")
+    s = n.groupBy(*side).agg(F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * z).alias("z"), F.count(F.lit(1)).alias("n_cp"))
+    lat, lon = centre_of(F.col("x"), F.col("y"), F.col("z"))
+    d = haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
+    m = n.join(s.select(*side, "n_cp", lat.alias("c_lat"), lon.alias("c_lon")), side).groupBy(*side, "n_cp").agg(F.sqrt(F.sum(w * d * d) / F.sum(w)).alias("km"))
+    km = F.when(F.col("n_cp") >= 2, F.round("km", 2))
+    return m.groupBy(*KEY).agg(*[F.max(F.when(F.col("dir") == s, km)).alias(f"geo_spread_{s}_km") for s in ("in", "out")])
+
+
 def coverage_home(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Per node, month and side: located share of amount, located counterparties, and the shares of located amount in the own zip3 and state (0 where the own one is known and nothing matches)."""
     n = near(edges, points)

@@ -204,22 +204,47 @@ def partition_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.select(F.col("t").alias("n"), F.round(F.when(ha + hb > 0, 2 * mi / (ha + hb)).otherwise(1.0), 6).alias("nmi"), F.round(F.when(most != expected, (F.col("cab") - expected) / (most - expected)).otherwise(1.0), 6).alias("ari"))
 
 
-def lifecycle(before: DataFrame, after: DataFrame, least: float = 0.3, growth: float = 1.2, shrink: float = 0.8) -> DataFrame:
-    """(grp_before, grp_after, event): split over merge over growth, shrinkage, continuation by Jaccard overlap of at least ``least``; birth and death without any."""
-    a, b = before.select("node", F.col("grp").alias("x")), after.select("node", F.col("grp").alias("y"))
-    na, nb = a.groupBy("x").agg(F.count(F.lit(1)).alias("nx")), b.groupBy("y").agg(F.count(F.lit(1)).alias("ny"))
-    both = a.join(b, "node").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(na, "x").join(nb, "y")
-    hit = both.filter(F.col("n") / (F.col("nx") + F.col("ny") - F.col("n")) >= least)
-    hit = hit.withColumns({"splits": F.count(F.lit(1)).over(Window.partitionBy("x")), "merges": F.count(F.lit(1)).over(Window.partitionBy("y"))})
+def _overlaps(groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes before, sizes after, overlaps with Jaccard) of each period t with the one before; ``groups`` is (t, node, grp)."""
+    last, first = groups.agg(F.max("t")).scalar(), groups.agg(F.min("t")).scalar()
+    a = groups.select((F.col("t") + 1).alias("t"), "node", F.col("grp").alias("x")).filter(F.col("t") <= last)
+    b = groups.select("t", "node", F.col("grp").alias("y")).filter(F.col("t") > first)
+    na, nb = a.groupBy("t", "x").agg(F.count(F.lit(1)).alias("nx")), b.groupBy("t", "y").agg(F.count(F.lit(1)).alias("ny"))
+    both = a.join(b, ["t", "node"]).groupBy("t", "x", "y").agg(F.count(F.lit(1)).alias("n")).join(na, ["t", "x"]).join(nb, ["t", "y"])
+    return na, nb, both.withColumn("jaccard", F.col("n") / (F.col("nx") + F.col("ny") - F.col("n")))
+
+
+def lifecycle(groups: DataFrame, least: float = 0.3, growth: float = 1.2, shrink: float = 0.8) -> DataFrame:
+    """(t, grp_before, grp_after, event) of each period against the one before, from ``groups`` (t, node, grp), t counting delivered periods.
+
+    Split over merge over growth, shrinkage, continuation by a Jaccard overlap of at least ``least``; birth and death without any.
+    """
+    na, nb, both = _overlaps(groups)
+    hit = both.filter(F.col("jaccard") >= least)
+    hit = hit.withColumns({"splits": F.count(F.lit(1)).over(Window.partitionBy("t", "x")), "merges": F.count(F.lit(1)).over(Window.partitionBy("t", "y"))})
     r = F.col("ny") / F.col("nx")
     event = F.when(F.col("splits") > 1, "split").when(F.col("merges") > 1, "merge").when(r > growth, "growth").when(r < shrink, "shrinkage").otherwise("continuation")
-    found = hit.select(F.col("x").alias("grp_before"), F.col("y").alias("grp_after"), event.alias("event"))
+    found = hit.select("t", F.col("x").alias("grp_before"), F.col("y").alias("grp_after"), event.alias("event"))
     null = F.lit(None).cast("string")
-    born = nb.join(hit.select("y").distinct(), "y", "left_anti").select(null.alias("grp_before"), F.col("y").alias("grp_after"), F.lit("birth").alias("event"))
-    died = na.join(hit.select("x").distinct(), "x", "left_anti").select(F.col("x").alias("grp_before"), null.alias("grp_after"), F.lit("death").alias("event"))
+    born = nb.join(hit.select("t", "y").distinct(), ["t", "y"], "left_anti").select("t", null.alias("grp_before"), F.col("y").alias("grp_after"), F.lit("birth").alias("event"))
+    died = na.join(hit.select("t", "x").distinct(), ["t", "x"], "left_anti").select("t", F.col("x").alias("grp_before"), null.alias("grp_after"), F.lit("death").alias("event"))
     return found.unionByName(born).unionByName(died)
 
 
+def lifecycle_by_best(groups: DataFrame, match: float = 0.3, strong: float = 0.15) -> DataFrame:
+    """(t, grp_before, grp_after, jaccard, event): the other matcher. Each group goes to its best successor (ties to the least name): continued, or split if several overlap by ``strong``, when the best reaches
+    ``match``; merged when some only reach ``strong``; else died. Successors that no group goes to are born. A group none of whose nodes is left has no row.
+    """
+    _, nb, both = _overlaps(groups)
+    top = F.struct(-F.col("jaccard"), F.col("y"))
+    best = both.groupBy("t", "x").agg(F.min_by("y", top).alias("y"), F.max("jaccard").alias("jaccard"), F.count_if(F.col("jaccard") >= strong).alias("k"))
+    event = F.when(F.col("jaccard") >= match, F.when(F.col("k") > 1, "split").otherwise("continued")).when(F.col("k") > 0, "merged").otherwise("died")
+    found = best.select("t", F.col("x").alias("grp_before"), F.when(event != "died", F.col("y")).alias("grp_after"), F.round("jaccard", 6).alias("jaccard"), event.alias("event"))
+    taken = found.filter("grp_after is not null").select("t", F.col("grp_after").alias("y")).distinct()
+    born = nb.join(taken, ["t", "y"], "left_anti").select("t", F.lit(None).cast("string").alias("grp_before"), F.col("y").alias("grp_after"), F.lit(None).cast("double").alias("jaccard"), F.lit("born").alias("event"))
+    return found.unionByName(born)
+
+
 def hub_summary(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     """Per month and hub: degrees, amounts, share of all amount (each edge counts at both ends), pairs of counterparties that share the hub."""
     inc = incidence(edges).join(hubs.select("node").distinct(), "node", "left_semi")

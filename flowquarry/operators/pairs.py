@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,19 @@ def select_seeds(parties: DataFrame, prefixes: list[str], name_pattern: str, exc
     return parties.select("node", reason.alias("seed_reason")).filter("seed_reason is not null")
 
 
+def seed_roles(parties: DataFrame, degree: DataFrame, core: list[str], adjacent: list[str], name_pattern: str, most: int = 5000) -> DataFrame:
+    """(node, seed_role, degree, expands): by six-digit sector core_insurer or claims_adjacent, else by name name_match_only. Seeds with a degree above ``most`` stay seeds, but their neighbours are not drawn in.
+
+    ``degree`` is (node, degree); a party without one has 0.
+    """
+    code = F.substring("naics_cd", 1, 6)
+    by_name = F.upper(F.coalesce("cust_name", F.lit(""))).rlike(name_pattern)
+    role = F.when(code.isin(core), "core_insurer").when(code.isin(adjacent), "claims_adjacent").when(by_name, "name_match_only")
+    seeds = parties.select("node", role.alias("seed_role")).filter("seed_role is not null").join(degree.select("node", "degree"), "node", "left")
+    k = F.coalesce("degree", F.lit(0))
+    return seeds.select("node", "seed_role", k.alias("degree"), (k <= most).alias("expands"))
+
+
 def entity_class(name: Column, code: Column, rules: dict[str, tuple[str, str]]) -> Column:
     """The first class whose name pattern fits and whose sector isn't contradicted by another class' sector prefix, else by sector alone, else other."""
     n, c = F.upper(F.coalesce(name, F.lit(""))), F.coalesce(code, F.lit(""))
@@ -44,28 +59,45 @@ def ego(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def bilateral(edges: DataFrame) -> DataFrame:
-    """Per unordered pair over the window, self-edges out: cents each way, gross, net, reciprocity lo / hi, netting ratio, months with either and with both ways, ticket, CV of monthly amounts."""
+    """Per unordered pair over the window, self-edges out: cents each way, gross, net, reciprocity lo / hi, netting ratio, months with either, with both and with each way, ticket, CV of monthly amounts and of each way's (null below two months)."""
     a, b = F.least("source", "dest"), F.greatest("source", "dest")
     forth = F.col("source") < F.col("dest")
-    m = no_self(edges).groupBy(a.alias("a"), b.alias("b"), "time_key").agg(F.sum(F.when(forth, F.col("cents")).otherwise(0)).alias("ab"), F.sum(F.when(~forth, F.col("cents")).otherwise(0)).alias("ba"), F.count_distinct(forth).alias("ways"), F.sum("volume").alias("volume"))
+    m = no_self(edges).groupBy(a.alias("a"), b.alias("b"), "time_key").agg(F.sum(F.when(forth, F.col("cents")).otherwise(0)).alias("ab"), F.sum(F.when(~forth, F.col("cents")).otherwise(0)).alias("ba"), F.count_distinct(forth).alias("ways"), F.max(forth).alias("forth"), F.max(~forth).alias("back"), F.sum("volume").alias("volume"))
     x = (F.col("ab") + F.col("ba")) / F.lit(100.0)
-    p = m.groupBy("a", "b").agg(F.sum("ab").alias("ab"), F.sum("ba").alias("ba"), F.count(F.lit(1)).alias("n_months"), F.count_if(F.col("ways") == 2).alias("n_both"), F.sum("volume").alias("volume"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)) / F.when(F.avg(x) > 0, F.avg(x)), 6).alias("cv"))
+    there = {"ab": F.col("forth"), "ba": F.col("back")}
+    way = lambda c: F.when(there[c], F.col(c) / F.lit(100.0))
+    cv = lambda c: F.round(F.stddev_samp(way(c)) / F.when(F.avg(way(c)) > 0, F.avg(way(c))), 6).alias(f"cv_{c}")
+    p = m.groupBy("a", "b").agg(F.sum("ab").alias("ab"), F.sum("ba").alias("ba"), F.count(F.lit(1)).alias("n_months"), F.count_if(F.col("ways") == 2).alias("n_both"), F.sum("volume").alias("volume"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)) / F.when(F.avg(x) > 0, F.avg(x)), 6).alias("cv"), *[F.count_if(there[c]).alias(f"months_{c}") for c in ("ab", "ba")], *[cv(c) for c in ("ab", "ba")])
     lo, hi = F.least("ab", "ba"), F.greatest("ab", "ba")
-    return p.select("a", "b", "ab", "ba", (F.col("ab") + F.col("ba")).alias("gross"), (F.col("ab") - F.col("ba")).alias("net"), ratio(lo, hi).alias("reciprocity"), ratio(2 * lo, lo + hi).alias("netting_ratio"), "n_months", "n_both", "volume", ratio((F.col("ab") + F.col("ba")) / F.lit(100.0), "volume").alias("ticket"), "cv")
+    return p.select("a", "b", "ab", "ba", (F.col("ab") + F.col("ba")).alias("gross"), (F.col("ab") - F.col("ba")).alias("net"), ratio(lo, hi).alias("reciprocity"), ratio(2 * lo, lo + hi).alias("netting_ratio"), "n_months", "n_both", "volume", ratio((F.col("ab") + F.col("ba")) / F.lit(100.0), "volume").alias("ticket"), "cv", "months_ab", "months_ba", "cv_ab", "cv_ba")
 
 
-WEIGHTS = {"persistence": 0.30, "reciprocity": 0.30, "steadiness": 0.10, "ticket": 0.20, "volume": 0.10}
+# The weights of the parts of the score.
+WEIGHTS = {"persistence": 0.30, "reciprocity": 0.30, "steadiness": 0.10, "ticket_fit": 0.20, "volume_fit": 0.10}
 
 
-def score_pairs(pairs: DataFrame, n_months: int, ticket: float, ticket_width: float, volume: float, weights: dict[str, float] | None = None) -> DataFrame:
-    """Adds ``score``: persistence, reciprocity, steadiness, log-Gaussian fit of the ticket and fit of the monthly volume, weighted; one-way pairs count half."""
+def score_pairs(pairs: DataFrame, n_months: int, ticket_lo: float = 1_000.0, ticket_hi: float = 100_000.0, weights: dict[str, float] | None = None) -> DataFrame:
+    """Adds ``score`` (0 to 1) to ``bilateral``: the weighted parts, halved for pairs that pay one way only.
+
+    Persistence is the share of months in which the more frequent way is there; steadiness 1 / (1 + cv), cv the mean of both ways' (1 where neither is known); the ticket's fit a
+    Gaussian of its decimal logarithm about the middle of the band from ``ticket_lo`` to ``ticket_hi``, half its width wide (0 without a ticket); the volume's fit its
+    decimal logarithm, a thousand payments being enough.
+    """
     w = WEIGHTS | (weights or {})
-    steady = 1 / (1 + F.coalesce("cv", F.lit(0.0)))
-    t = F.log(F.when(F.col("ticket") > 0, F.col("ticket")) / ticket) / ticket_width
-    fit = F.coalesce(F.exp(-t * t / 2), F.lit(0.0))
-    vol = F.least(F.col("volume") / F.col("n_months") / volume, F.lit(1.0))
-    parts = w["persistence"] * F.least(F.col("n_months") / F.lit(float(n_months)), F.lit(1.0)) + w["reciprocity"] * F.coalesce("reciprocity", F.lit(0.0)) + w["steadiness"] * steady + w["ticket"] * fit + w["volume"] * vol
-    return pairs.withColumn("score", F.round(parts * F.when((F.col("ab") > 0) & (F.col("ba") > 0), 1.0).otherwise(0.5), 6))
+    cv = F.coalesce((F.col("cv_ab") + F.col("cv_ba")) / 2, "cv_ab", "cv_ba", F.lit(1.0))
+    lo, hi = math.log10(ticket_lo), math.log10(ticket_hi)
+    off = (F.log10(F.when(F.col("ticket") > 0, F.col("ticket"))) - (lo + hi) / 2) / ((hi - lo) / 2)
+    parts = {
+        "persistence": F.least(F.greatest("months_ab", "months_ba") / F.lit(float(n_months)), F.lit(1.0)),
+        "reciprocity": F.coalesce("reciprocity", F.lit(0.0)),
+        "steadiness": 1 / (1 + cv),
+        "ticket_fit": F.coalesce(F.exp(-off * off), F.lit(0.0)),
+        "volume_fit": F.least(F.log10(F.greatest("volume", F.lit(1))) / 3.0, F.lit(1.0)),
+    }
+    score = F.lit(0.0)
+    for name, part in parts.items():
+        score = score + F.lit(w[name]) * part
+    return pairs.withColumn("score", F.round(score * F.when((F.col("ab") > 0) & (F.col("ba") > 0), 1.0).otherwise(0.5), 6))
 
 
 def gates(pairs: DataFrame, n_months: int, steps: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -118,6 +150,13 @@ def capped_edges(edges: DataFrame, most: int) -> DataFrame:
     return top_k(s, ["source"], [F.desc("cents"), F.col("dest")], most, "dest")
 
 
+def export_graph(edges: DataFrame, most: int, attributes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) for other tools: at most ``most`` of the largest edges at each paying node, and their ends with ``attributes`` (node, ...)."""
+    kept = capped_edges(edges, most)
+    ends = kept.select(F.explode(F.array("source", "dest")).alias("node")).distinct()
+    return (ends if attributes is None else ends.join(attributes, "node", "left")), kept
+
+
 def node_budget(pairs: DataFrame, budget: int, order: list[Column]) -> list[tuple[str, str]]:
     """Greedy choice, best first, of pairs until ``budget`` different nodes are taken; a pair that needs more is passed over. For drawing.
 

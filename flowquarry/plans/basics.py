@@ -15,8 +15,8 @@ from flowquarry.operators import parties as pt
 from flowquarry.operators import profiles as pf
 from flowquarry.operators import temporal as tm
 from flowquarry.plans.base import E, EP, WP, edges, edges_once, name_type_sql, parties, rsql, status_sql
-from flowquarry.plans.flow import TIERS
-from flowquarry.plans.geography import hav, points
+from flowquarry.plans.flow import _LADDER, TIERS
+from flowquarry.plans.geography import SPREAD_ROWS, hav, points
 from flowquarry.plans.graph import W
 from flowquarry.plans.registry import query
 from flowquarry.plans.temporal import T
@@ -227,7 +227,7 @@ def k47p(spark: SparkSession, d: str) -> DataFrame:
     return pf.persistence(f, ["node"], F.col("pos"), 4, 6)
 
 
-@query("k28_locality_transitions")
+@query("k28_locality_transitions", SPREAD_ROWS + ", mm AS (SELECT time_key, dense_rank() OVER (ORDER BY time_key) AS t FROM (SELECT DISTINCT time_key FROM spread)), l AS (SELECT node, t, locality AS from_class, CASE WHEN lead(t) OVER w = t + 1 THEN lead(locality) OVER w END AS to_class FROM spread JOIN mm USING (time_key) WINDOW w AS (PARTITION BY node ORDER BY t)) SELECT from_class, to_class, count(*) AS n FROM l WHERE from_class IS NOT NULL AND to_class IS NOT NULL GROUP BY ALL")
 def k28(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive months' locality classes; the classes come from g02_g09, which has an SQL form."""
     return pf.locality_transitions(tm.with_t(gb.spread(edges(spark, d), points(spark, d))), "node")
@@ -469,7 +469,16 @@ def k58(spark: SparkSession, d: str) -> DataFrame:
     return f.select("node", F.when(pt.naics_status("c") == "valid", "business").when(F.col("p") == "P", "individual").when(F.col("p") == "O", "business").otherwise("unknown").alias("kind"))
 
 
-@query("k33_rung_agreement", None)
+#: The spread on the raw edges and on those of a rung, whose own WITH hides the edge relation behind the rung's.
+_RUNGS = (
+    _LADDER
+    + ", raw AS (SELECT * FROM e), rung AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM ladder l WHERE l.version = 'P99_9' AND (l.node = e.source OR l.node = e.dest))), "
+    + ", ".join(f"{name} AS (WITH e2 AS (SELECT * FROM {rel}), " + SPREAD_ROWS[SPREAD_ROWS.index("craw AS") :].replace("party AS (", "party AS (", 1) + " SELECT time_key, node, locality FROM spread)" for name, rel in (("x", "raw"), ("y", "rung")))
+    + " SELECT x.locality AS x, y.locality AS y, count(*) AS n FROM x JOIN y USING (time_key, node) WHERE x.locality IS NOT NULL AND y.locality IS NOT NULL GROUP BY ALL"
+).replace("FROM inc i LEFT JOIN pl a", "FROM (SELECT time_key, source AS node, dest AS cp, 'out' AS dir, cents FROM e2 UNION ALL SELECT time_key, dest, source, 'in', cents FROM e2) i LEFT JOIN pl a")
+
+
+@query("k33_rung_agreement", _RUNGS)
 def k33(spark: SparkSession, d: str) -> DataFrame:
     """Locality classes of the same nodes and months with and without hubs: how often two rungs of the ladder agree."""
     e, p = edges_once(spark, d), points(spark, d)

@@ -243,6 +243,28 @@ def n34(spark: SparkSession, d: str) -> DataFrame:
     return inc.groupBy("time_key", "node").agg(s("in", "business").alias("b2b_in"), s("out", "business").alias("b2b_out"), eg.ratio(s("out", "individual"), F.sum(F.when(F.col("dir") == "out", F.col("cents")))).alias("payroll_intensity"))
 
 
+def _older_sql(rules: dict, measure: dict) -> str:
+    """Percentiles lower than the usual ones, so that small tables lose nodes too."""
+    at = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{t}" for t, p in measure.items() for c in ("degree", "strength"))
+    gone = " UNION ALL ".join(f"SELECT '{v}' AS version, node FROM basis, cuts WHERE {' OR '.join(f'{c} > {c}_{t}' for c, t in rule)}" for v, rule in rules.items())
+    return (
+        E + f""", basis AS (SELECT node, count(*) AS degree, CAST(sum(cents) AS BIGINT) AS strength FROM inc GROUP BY node), cuts AS (SELECT {at} FROM basis), gone AS ({gone}), vs AS (SELECT unnest(['V0', 'V1', 'V2', 'V3', 'V4']) AS version)
+SELECT version, count(*) AS edges_kept, (SELECT count(*) FROM gone WHERE gone.version = vs.version) AS nodes_removed, CAST(sum(cents) AS BIGINT) AS cents_kept FROM vs, e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.version = vs.version AND g.node = e.source) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.version = vs.version AND g.node = e.dest) GROUP BY version"""
+    )
+
+
+@query("c22_retention_strict_first", _older_sql(eg.STRICT_FIRST, {"broad": 0.99, "strict": 0.999}))
+def c22s(spark: SparkSession, d: str) -> DataFrame:
+    e = edges_once(spark, d)
+    return eg.retention(e, eg.older_ladder(e, eg.STRICT_FIRST, 0.99, 0.999), list(eg.STRICT_FIRST))
+
+
+@query("c22_retention_broad_first", _older_sql(eg.BROAD_FIRST, {"broad": 0.99, "strict": 0.999}))
+def c22b(spark: SparkSession, d: str) -> DataFrame:
+    e = edges_once(spark, d)
+    return eg.retention(e, eg.older_ladder(e, eg.BROAD_FIRST, 0.99, 0.999), list(eg.BROAD_FIRST))
+
+
 @query("c23_hubs_by_degree", E + "SELECT node, count(DISTINCT cp) AS n_neighbors FROM inc WHERE node <> cp GROUP BY node HAVING count(DISTINCT cp) > 100")
 def c23(spark: SparkSession, d: str) -> DataFrame:
     return eg.hub_nodes_by_degree(edges(spark, d), 100)

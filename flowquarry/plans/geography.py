@@ -27,8 +27,7 @@ nr AS (SELECT i.time_key, i.node, i.cp, i.dir, i.cents, a.lat AS own_lat, a.lon
 )
 
 
-@query(
-    "g02_g09_geo_block",
+_SPREAD_SQL = (
     _NEAR
     + f""", v AS (SELECT *, CAST(cents AS DOUBLE) AS w, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM nr WHERE lat IS NOT NULL AND cents > 0),
 s AS (SELECT time_key, node, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z, sum(w) AS w, count(DISTINCT cp) AS n_cp, max(own_lat) AS own_lat, max(own_lon) AS own_lon FROM v GROUP BY ALL),
@@ -36,12 +35,31 @@ c AS (SELECT *, degrees(atan2(z, sqrt(x * x + y * y))) AS c_lat, degrees(atan2(y
 m AS (SELECT v.time_key, v.node, sqrt(sum(v.w * {hav("v.lat", "v.lon", "c_lat", "c_lon")} * {hav("v.lat", "v.lon", "c_lat", "c_lon")}) / sum(v.w)) AS km FROM v JOIN c ON c.time_key = v.time_key AND c.node = v.node GROUP BY ALL),
 o AS (SELECT c.*, CASE WHEN n_cp >= 2 THEN round(km, 2) END AS spread_km FROM c JOIN m USING (time_key, node))
 SELECT time_key, node, n_cp AS n_cp_located, round(sqrt(x * x + y * y + z * z) / w, 4) AS geo_r, spread_km, round({hav("own_lat", "own_lon", "c_lat", "c_lon")}, 2) AS registered_vs_flow_km,
- CASE WHEN spread_km IS NULL THEN NULL WHEN spread_km < 50 THEN 'LOCAL' WHEN spread_km < 250 THEN 'REGIONAL' WHEN spread_km < 1000 THEN 'MULTI_MARKET' ELSE 'NATIONAL' END AS locality FROM o""",
+ CASE WHEN spread_km IS NULL THEN NULL WHEN spread_km < 50 THEN 'LOCAL' WHEN spread_km < 250 THEN 'REGIONAL' WHEN spread_km < 1000 THEN 'MULTI_MARKET' ELSE 'NATIONAL' END AS locality FROM o"""
 )
+
+
+#: The same as a view, spread.
+SPREAD_ROWS = _SPREAD_SQL.replace("SELECT time_key, node, n_cp AS n_cp_located", ", spread AS (SELECT time_key, node, n_cp AS n_cp_located", 1).rstrip() + ") "
+
+
+@query("g02_g09_geo_block", _SPREAD_SQL)
 def g02(spark: SparkSession, d: str) -> DataFrame:
     return gb.spread(edges(spark, d), points(spark, d))
 
 
+@query(
+    "g03_side_spread",
+    _NEAR
+    + f""", v AS (SELECT *, CAST(cents AS DOUBLE) AS w, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM nr WHERE lat IS NOT NULL AND cents > 0),
+c AS (SELECT time_key, node, dir, n_cp, degrees(atan2(z, sqrt(x * x + y * y))) AS c_lat, degrees(atan2(y, x)) AS c_lon FROM (SELECT time_key, node, dir, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z, count(DISTINCT cp) AS n_cp FROM v GROUP BY ALL)),
+m AS (SELECT v.time_key, v.node, v.dir, CASE WHEN max(n_cp) >= 2 THEN round(sqrt(sum(w * power({hav("v.lat", "v.lon", "c_lat", "c_lon")}, 2)) / sum(w)), 2) END AS km FROM v JOIN c ON c.time_key = v.time_key AND c.node = v.node AND c.dir = v.dir GROUP BY ALL)
+SELECT time_key, node, max(km) FILTER (dir = 'in') AS geo_spread_in_km, max(km) FILTER (dir = 'out') AS geo_spread_out_km FROM m GROUP BY time_key, node""",
+)
+def g03(spark: SparkSession, d: str) -> DataFrame:
+    return gb.side_spread(edges(spark, d), points(spark, d))
+
+
 @query(
     "g04_g05_coverage_home",
     _NEAR

@@ -134,8 +134,7 @@ def c01m(spark: SparkSession, d: str) -> DataFrame:
     return gr.modularity(edges(spark, d), partition(spark, d))
 
 
-@query(
-    "c15_community_table",
+_C15 = (
     _LAB
     + f""", fl AS (SELECT time_key, grp, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}, CAST(coalesce(sum(cents) FILTER (kind = '{k}'), 0) AS BIGINT) AS cents_{k}" for k in ("inside", "out", "in"))} FROM (
  SELECT time_key, gs AS grp, 'inside' AS kind, cents FROM le WHERE gs = gd UNION ALL SELECT time_key, gs, 'out', cents FROM le WHERE gs <> gd UNION ALL SELECT time_key, gd, 'in', cents FROM le WHERE gs <> gd) GROUP BY ALL),
@@ -144,15 +143,18 @@ mu AS (SELECT x.time_key, x.gs AS grp, sum(least(x.cents, y.cents)) AS matched F
 z AS (SELECT *, 2 * cents_inside + cents_out + cents_in AS vol, sum(2 * cents_inside + cents_out + cents_in) OVER (PARTITION BY time_key) AS whole FROM fl JOIN mb USING (time_key, grp) LEFT JOIN mu USING (time_key, grp))
 SELECT time_key, grp, n_members, n_inside, n_out, n_in, cents_inside, cents_out, cents_in, round(CASE WHEN n_members > 1 THEN n_inside / CAST(n_members * (n_members - 1) AS DOUBLE) END, 9) AS internal_density,
  {rsql("n_inside", "n_inside + n_out + n_in")} AS mixing_edges, {rsql("cents_inside", "cents_inside + cents_out + cents_in")} AS mixing_amount, round(CASE WHEN least(vol, whole - vol) > 0 THEN (cents_out + cents_in) / CAST(least(vol, whole - vol) AS DOUBLE) END, 6) AS conductance,
- {rsql("vol", "whole")} AS amount_share, {rsql("n_boundary", "n_members")} AS boundary_fraction, {rsql("coalesce(matched, 0)", "cents_inside")} AS matched_share FROM z""",
+ {rsql("vol", "whole")} AS amount_share, {rsql("n_boundary", "n_members")} AS boundary_fraction, {rsql("coalesce(matched, 0)", "cents_inside")} AS matched_share FROM z"""
 )
+
+
+@query("c15_community_table", _C15)
 def c15(spark: SparkSession, d: str) -> DataFrame:
     return gr.community_table(edges(spark, d), partition(spark, d))
 
 
-@query("c16_sector_table", None)
+@query("c16_sector_table", _C15.replace("node, state AS grp FROM party WHERE state IS NOT NULL", "node, naics2 AS grp FROM party WHERE naics2 IS NOT NULL"))
 def c16(spark: SparkSession, d: str) -> DataFrame:
-    """The community table by sector; the SQL of c15 holds the same operator to account."""
+    """The community table by sector."""
     return gr.community_table(edges(spark, d), sectors(spark, d).select("node", F.col("sector").alias("grp")).filter("grp is not null"))
 
 
@@ -202,23 +204,37 @@ def c17(spark: SparkSession, d: str) -> DataFrame:
     return gr.partition_agreement(a, b)
 
 
+_LIFE = T + """, tp AS (SELECT t, dest AS node, arg_min(source, (-cents, source)) AS grp FROM et GROUP BY ALL), na AS (SELECT t + 1 AS t, grp AS x, count(*) AS nx FROM tp WHERE t < (SELECT max(t) FROM mm) GROUP BY ALL), nb AS (SELECT t, grp AS y, count(*) AS ny FROM tp WHERE t > (SELECT min(t) FROM mm) GROUP BY ALL),
+ov AS (SELECT t, x, y, nx, ny, n / CAST(nx + ny - n AS DOUBLE) AS j FROM (SELECT b.t, a.grp AS x, b.grp AS y, count(*) AS n FROM tp a JOIN tp b ON b.node = a.node AND b.t = a.t + 1 GROUP BY ALL) JOIN na USING (t, x) JOIN nb USING (t, y)) """
+
+
+def payer_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(t, node, grp): each month's payees grouped by their top payer."""
+    from flowquarry.operators.temporal import with_t
+
+    e = cut(with_t(edges(spark, d)), "edges")
+    return cut(e.groupBy("t", F.col("dest").alias("node")).agg(F.min_by("source", F.struct(-F.col("cents"), F.col("source"))).alias("grp")), "groups")
+
+
 @query(
-    "c18_c19_lifecycle",
-    T
-    + """, tp AS (SELECT t, dest AS node, arg_min(source, (-cents, source)) AS grp FROM et GROUP BY ALL), a AS (SELECT node, grp AS x FROM tp WHERE t = (SELECT max(t) - 1 FROM mm)), b AS (SELECT node, grp AS y FROM tp WHERE t = (SELECT max(t) FROM mm)),
-na AS (SELECT x, count(*) AS nx FROM a GROUP BY x), nb AS (SELECT y, count(*) AS ny FROM b GROUP BY y),
-h AS (SELECT x, y, nx, ny, count(*) OVER (PARTITION BY x) AS s, count(*) OVER (PARTITION BY y) AS m FROM (SELECT x, y, count(*) AS n FROM a JOIN b USING (node) GROUP BY ALL) JOIN na USING (x) JOIN nb USING (y) WHERE n / CAST(nx + ny - n AS DOUBLE) >= 0.3)
-SELECT x AS grp_before, y AS grp_after, CASE WHEN s > 1 THEN 'split' WHEN m > 1 THEN 'merge' WHEN ny / CAST(nx AS DOUBLE) > 1.2 THEN 'growth' WHEN ny / CAST(nx AS DOUBLE) < 0.8 THEN 'shrinkage' ELSE 'continuation' END AS event FROM h
-UNION ALL SELECT NULL, y, 'birth' FROM nb WHERE y NOT IN (SELECT y FROM h) UNION ALL SELECT x, NULL, 'death' FROM na WHERE x NOT IN (SELECT x FROM h)""",
+    "c18_lifecycle",
+    _LIFE
+    + """, h AS (SELECT *, count(*) OVER (PARTITION BY t, x) AS s, count(*) OVER (PARTITION BY t, y) AS m FROM ov WHERE j >= 0.3)
+SELECT t, x AS grp_before, y AS grp_after, CASE WHEN s > 1 THEN 'split' WHEN m > 1 THEN 'merge' WHEN ny / CAST(nx AS DOUBLE) > 1.2 THEN 'growth' WHEN ny / CAST(nx AS DOUBLE) < 0.8 THEN 'shrinkage' ELSE 'continuation' END AS event FROM h
+UNION ALL SELECT t, NULL, y, 'birth' FROM nb WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.t = nb.t AND h.y = nb.y) UNION ALL SELECT t, x, NULL, 'death' FROM na WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.t = na.t AND h.x = na.x)""",
 )
 def c18(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of payees by their top payer, in the last two months."""
-    from flowquarry.operators.temporal import with_t
+    return gr.lifecycle(payer_groups(spark, d))
 
-    e = cut(with_t(edges(spark, d)), "edges")
-    last = e.agg(F.max("t")).first()[0] or 0
-    of = lambda k: e.filter(F.col("t") == k).groupBy(F.col("dest").alias("node")).agg(F.min_by("source", F.struct(-F.col("cents"), F.col("source"))).alias("grp"))
-    return gr.lifecycle(of(last - 1), of(last))
+
+@query(
+    "c19_lifecycle_by_best",
+    _LIFE
+    + """, be AS (SELECT t, x, arg_min(y, (-j, y)) AS y, max(j) AS j, count(*) FILTER (j >= 0.15) AS k FROM ov GROUP BY t, x), f AS (SELECT t, x, y, j, CASE WHEN j >= 0.3 AND k > 1 THEN 'split' WHEN j >= 0.3 THEN 'continued' WHEN k > 0 THEN 'merged' ELSE 'died' END AS event FROM be)
+SELECT t, x AS grp_before, CASE WHEN event <> 'died' THEN y END AS grp_after, round(j, 6) AS jaccard, event FROM f UNION ALL SELECT t, NULL, y, NULL, 'born' FROM nb WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.t = nb.t AND f.y = nb.y AND f.event <> 'died')""",
+)
+def c19(spark: SparkSession, d: str) -> DataFrame:
+    return gr.lifecycle_by_best(payer_groups(spark, d))
 
 
 @query(
@@ -333,7 +349,7 @@ def n11kc(spark: SparkSession, d: str) -> DataFrame:
     return it.katz(links(spark, d), None, 300, tol=1e-8)
 
 
-@query("n12_core_numbers")
+@query("n12_core_numbers", W + _unroll("SELECT src AS node, count(*) AS core FROM ud GROUP BY src", "SELECT {a}.node, least(core, h) AS core FROM {a} JOIN (SELECT src, max(least(v, k)) AS h FROM (SELECT src, core AS v, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS k FROM ud JOIN {a} ON {a}.node = dst) GROUP BY src) ON src = {a}.node", 60, "SELECT node, core FROM {a} UNION ALL SELECT node, 0 FROM nd WHERE node NOT IN (SELECT src FROM ud)"))
 def n12(spark: SparkSession, d: str) -> DataFrame:
     return it.core_numbers(links(spark, d))
 
@@ -446,6 +462,12 @@ def k16(spark: SparkSession, d: str) -> DataFrame:
     return it.k_hop(e, top_seeds(it.window_links(e)), 2)
 
 
+@query("c13_louvain")
+def c13l(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of all levels of modularity moves."""
+    return it.louvain(links(spark, d, log=True))
+
+
 @query("c13_modularity_moves")
 def c13m(spark: SparkSession, d: str) -> DataFrame:
     """Groups by one level of modularity moves; which of equal optima is found depends on hashes, so the tests check invariants."""

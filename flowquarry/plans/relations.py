@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.functions.ranks import group_quantiles
+from flowquarry.operators import edges as eg
 from flowquarry.operators import match as mt
 from flowquarry.operators import pairs as pr
 from flowquarry.operators import rails as rl
@@ -54,9 +55,9 @@ def k21(spark: SparkSession, d: str) -> DataFrame:
 
 _BI = (
     E
-    + f""", mo AS (SELECT least(source, dest) AS a, greatest(source, dest) AS b, time_key, CAST(coalesce(sum(cents) FILTER (source < dest), 0) AS BIGINT) AS ab, CAST(coalesce(sum(cents) FILTER (source > dest), 0) AS BIGINT) AS ba, count(DISTINCT source < dest) AS ways, CAST(sum(volume) AS BIGINT) AS volume FROM e WHERE source <> dest GROUP BY ALL),
-bp AS (SELECT a, b, CAST(sum(ab) AS BIGINT) AS ab, CAST(sum(ba) AS BIGINT) AS ba, count(*) AS n_months, count(*) FILTER (ways = 2) AS n_both, CAST(sum(volume) AS BIGINT) AS volume, round(coalesce(stddev_samp((ab + ba) / CAST(100 AS DOUBLE)), 0) / CASE WHEN avg((ab + ba) / CAST(100 AS DOUBLE)) > 0 THEN avg((ab + ba) / CAST(100 AS DOUBLE)) END, 6) AS cv FROM mo GROUP BY a, b),
-bi AS (SELECT a, b, ab, ba, ab + ba AS gross, ab - ba AS net, {rsql("least(ab, ba)", "greatest(ab, ba)")} AS reciprocity, {rsql("2 * least(ab, ba)", "ab + ba")} AS netting_ratio, n_months, n_both, volume, {rsql("(ab + ba) / CAST(100 AS DOUBLE)", "volume")} AS ticket, cv FROM bp) """
+    + f""", mo AS (SELECT least(source, dest) AS a, greatest(source, dest) AS b, time_key, CAST(coalesce(sum(cents) FILTER (source < dest), 0) AS BIGINT) AS ab, CAST(coalesce(sum(cents) FILTER (source > dest), 0) AS BIGINT) AS ba, count(DISTINCT source < dest) AS ways, bool_or(source < dest) AS forth, bool_or(source > dest) AS back, CAST(sum(volume) AS BIGINT) AS volume FROM e WHERE source <> dest GROUP BY ALL),
+bp AS (SELECT a, b, CAST(sum(ab) AS BIGINT) AS ab, CAST(sum(ba) AS BIGINT) AS ba, count(*) AS n_months, count(*) FILTER (ways = 2) AS n_both, CAST(sum(volume) AS BIGINT) AS volume, round(coalesce(stddev_samp((ab + ba) / CAST(100 AS DOUBLE)), 0) / CASE WHEN avg((ab + ba) / CAST(100 AS DOUBLE)) > 0 THEN avg((ab + ba) / CAST(100 AS DOUBLE)) END, 6) AS cv, count(*) FILTER (forth) AS months_ab, count(*) FILTER (back) AS months_ba, {", ".join(f"round(stddev_samp(CASE WHEN {w} THEN {c} / CAST(100 AS DOUBLE) END) / CASE WHEN avg(CASE WHEN {w} THEN {c} / CAST(100 AS DOUBLE) END) > 0 THEN avg(CASE WHEN {w} THEN {c} / CAST(100 AS DOUBLE) END) END, 6) AS cv_{c}" for c, w in (("ab", "forth"), ("ba", "back")))} FROM mo GROUP BY a, b),
+bi AS (SELECT a, b, ab, ba, ab + ba AS gross, ab - ba AS net, {rsql("least(ab, ba)", "greatest(ab, ba)")} AS reciprocity, {rsql("2 * least(ab, ba)", "ab + ba")} AS netting_ratio, n_months, n_both, volume, {rsql("(ab + ba) / CAST(100 AS DOUBLE)", "volume")} AS ticket, cv, months_ab, months_ba, cv_ab, cv_ba FROM bp) """
 )
 
 
@@ -65,7 +66,8 @@ def k17(spark: SparkSession, d: str) -> DataFrame:
     return pr.bilateral(edges(spark, d))
 
 
-_SC = _BI + """, sc AS (SELECT *, round((0.3 * least(n_months / CAST(11 AS DOUBLE), 1.0) + 0.3 * coalesce(reciprocity, 0) + 0.1 * (1 / (1 + coalesce(cv, 0))) + 0.2 * coalesce(exp(-power(ln(CASE WHEN ticket > 0 THEN ticket END / 500.0) / 1.5, 2) / 2), 0) + 0.1 * least(volume / CAST(n_months AS DOUBLE) / 10.0, 1.0)) * CASE WHEN ab > 0 AND ba > 0 THEN 1 ELSE 0.5 END, 6) AS score FROM bi) """
+_SC = _BI + """, sc AS (SELECT *, round((0.30 * least(greatest(months_ab, months_ba) / CAST(11 AS DOUBLE), 1) + 0.30 * coalesce(reciprocity, 0) + 0.10 / (1 + coalesce((cv_ab + cv_ba) / 2, cv_ab, cv_ba, 1))
+ + 0.20 * coalesce(exp(-power((log10(CASE WHEN ticket > 0 THEN ticket END) - 4) / 1, 2)), 0) + 0.10 * least(log10(greatest(volume, 1)) / 3, 1)) * CASE WHEN ab > 0 AND ba > 0 THEN 1 ELSE 0.5 END, 6) AS score FROM bi) """
 
 
 @query("k18_pair_score", _SC + "SELECT a, b, score FROM sc")
@@ -74,7 +76,7 @@ def k18(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return pr.score_pairs(pr.bilateral(edges(spark, d)), 11, 500.0, 1.5, 10.0)
+    return pr.score_pairs(pr.bilateral(edges(spark, d)), 11)
 
 
 def _steps() -> dict:
@@ -121,6 +123,24 @@ def k20s(spark: SparkSession, d: str) -> DataFrame:
     return pr.sector_profile(edges(spark, d), seeds(spark, d), sectors(spark, d))
 
 
+_CORE, _ADJACENT, _SEED_NAME = ["524126", "524130"], ["524291", "524292"], "BANK|TRUST|MUTUAL|CREDIT"
+
+
+@query(
+    "p23_seed_roles",
+    EP + f""", dg AS (SELECT node, count(DISTINCT cp) AS degree FROM inc WHERE node <> cp GROUP BY node), s AS (SELECT party.node, CASE WHEN substr(naics_cd, 1, 6) IN ('524126', '524130') THEN 'core_insurer' WHEN substr(naics_cd, 1, 6) IN ('524291', '524292') THEN 'claims_adjacent' WHEN regexp_matches(upper(coalesce(cust_name, '')), '{_SEED_NAME}') THEN 'name_match_only' END AS seed_role, coalesce(degree, 0) AS degree FROM party LEFT JOIN dg ON dg.node = party.node)
+SELECT *, degree <= 50 AS expands FROM s WHERE seed_role IS NOT NULL""",
+)
+def p23(spark: SparkSession, d: str) -> DataFrame:
+    degree = eg.incidence(eg.no_self(edges(spark, d))).groupBy("node").agg(F.count_distinct("cp").alias("degree"))
+    return pr.seed_roles(parties(spark, d), degree, _CORE, _ADJACENT, _SEED_NAME, 50)
+
+
+@query("s22_export_vertices", EP + ", s AS (SELECT source, dest, CAST(sum(cents) AS BIGINT) AS cents FROM e GROUP BY ALL), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY cents DESC, dest) <= 3) SELECT n.node, party.cust_name, party.state FROM (SELECT source AS node FROM k UNION SELECT dest FROM k) n LEFT JOIN party ON party.node = n.node")
+def s22(spark: SparkSession, d: str) -> DataFrame:
+    return pr.export_graph(edges(spark, d), 3, parties(spark, d).select("node", "cust_name", "state"))[0]
+
+
 @query("t10_capped_edges", E + ", s AS (SELECT source, dest, CAST(sum(cents) AS BIGINT) AS cents FROM e GROUP BY ALL) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY cents DESC, dest) <= 10")
 def t10(spark: SparkSession, d: str) -> DataFrame:
     return pr.capped_edges(edges(spark, d), 10)

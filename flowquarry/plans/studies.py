@@ -15,8 +15,8 @@ from flowquarry.operators import panel as pn
 from flowquarry.operators import studies as sd
 from flowquarry.operators import temporal as tm
 from flowquarry.plans.base import E, EP, edges, edges_once, parties, partition, rsql, sectors
-from flowquarry.plans.geography import hav, points
-from flowquarry.plans.panels import ST, strengths
+from flowquarry.plans.geography import SPREAD_ROWS, hav, points
+from flowquarry.plans.panels import _MK, ST, strengths
 from flowquarry.plans.registry import query
 from flowquarry.plans.temporal import _SH, T
 from flowquarry.session import cut
@@ -221,18 +221,52 @@ def k54(spark: SparkSession, d: str) -> DataFrame:
     return inc.groupBy("time_key", "node").agg(eg.ratio(F.sum(F.when(F.col("known"), F.col("cents")).otherwise(0)), F.sum("cents")).alias("on_us_ratio"), F.sum(F.when(F.col("known").isNull(), F.col("cents")).otherwise(0)).alias("off_us_cents"))
 
 
-@query("k29_expansion_queue")
-def k29(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes whose spread grows: months' spreads tested for trend, slopes by median, discoveries held to 10 %; top 30 by slope (a report). Each part has its own SQL-checked query."""
+_GROWTH = (
+    SPREAD_ROWS
+    + ", mm AS (SELECT time_key, dense_rank() OVER (ORDER BY time_key) AS t FROM (SELECT DISTINCT time_key FROM spread)), sm AS (SELECT node, t, spread_km AS x FROM spread JOIN mm USING (time_key) WHERE spread_km IS NOT NULL)"
+    + _MK[len(ST) :].replace("n >= 4", "n >= 6")
+    + ", r AS (SELECT *, count(*) OVER (ORDER BY p) AS r, count(*) OVER () AS tot FROM mk), cc AS (SELECT max(p) AS c FROM r WHERE p <= r * 0.1 / tot), ts AS (SELECT a.node, round(quantile_cont((b.x - a.x) / CAST(b.t - a.t AS DOUBLE), 0.5), 4) AS slope FROM sm a JOIN sm b ON b.node = a.node AND a.t < b.t GROUP BY a.node), gq AS (SELECT mk.*, coalesce(p <= c, false) AS passes, slope FROM mk JOIN ts USING (node), cc) "
+)
+
+
+def spread_trends(spark: SparkSession, d: str) -> DataFrame:
+    """(node, n, s, z, p, passes, slope) of the months' spreads: trend test, discoveries held to 10 %, median slope."""
     from flowquarry.functions import stats
 
     s = cut(tm.with_t(gb.spread(edges(spark, d), points(spark, d))).filter("spread_km is not null").select("node", "t", F.col("spread_km").alias("x")), "spread")
-    test = stats.benjamini_hochberg(stats.mann_kendall(s, "node", "t", "x", least=6), "p", 0.1)
-    slope = stats.theil_sen(s, "node", "t", "x")
-    return pn.queue(test.join(slope, "node"), F.col("slope") > 0, [F.desc("passes"), F.desc("slope"), F.col("node")], F.concat(F.lit("spread grows by "), F.round("slope", 1).cast("string"), F.lit(" km a month")))
+    test = cut(stats.mann_kendall(s, "node", "t", "x", least=6), "tests")
+    return stats.benjamini_hochberg(test, "p", 0.1).join(stats.theil_sen(s, "node", "t", "x"), "node")
+
+
+@query("k29_expansion_queue", _GROWTH + "SELECT * FROM gq WHERE slope > 0 ORDER BY passes DESC, slope DESC, node LIMIT 30")
+def k29(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 nodes whose spread grows most (a report), those that pass the test first."""
+    return spread_trends(spark, d).filter("slope > 0").orderBy(F.desc("passes"), F.desc("slope"), "node").limit(30)
+
+
+@query("k29_contraction_queue", _GROWTH + "SELECT * FROM gq WHERE slope < 0 ORDER BY passes DESC, slope, node LIMIT 30")
+def k29c(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 nodes whose spread shrinks most (a report)."""
+    return spread_trends(spark, d).filter("slope < 0").orderBy(F.desc("passes"), "slope", "node").limit(30)
+
+
+_KINDS = ("business", "individual", "unknown")
+_INV = (
+    EP
+    + ", kk AS (SELECT unnest(['business', 'individual', 'unknown']) AS k), ff AS (SELECT a.entity AS s, b.entity AS t, sum(cents) AS c FROM e JOIN party a ON a.node = e.source JOIN party b ON b.node = e.dest GROUP BY ALL), tt AS (SELECT s, sum(c) AS c FROM ff GROUP BY s), "
+    + "q AS (SELECT "
+    + ", ".join(f"{1 if i == j else 0} - coalesce((SELECT 0.5 * CAST(ff.c AS DOUBLE) / tt.c FROM ff JOIN tt USING (s) WHERE s = '{x}' AND t = '{y}' AND tt.c > 0), 0) AS a{i}{j}" for i, x in enumerate(_KINDS) for j, y in enumerate(_KINDS))
+    + "), dd AS (SELECT *, a00 * (a11 * a22 - a12 * a21) - a01 * (a10 * a22 - a12 * a20) + a02 * (a10 * a21 - a11 * a20) AS det FROM q) "
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS kind, "
+        + ", ".join(f"round(({'' if (i + j) % 2 == 0 else '-'}(a{r[0]}{c[0]} * a{r[1]}{c[1]} - a{r[0]}{c[1]} * a{r[1]}{c[0]})) / det, 6) AS {y}" for j, y in enumerate(_KINDS) for r, c in [([k for k in range(3) if k != j], [k for k in range(3) if k != i])])
+        + " FROM dd"
+        for i, x in enumerate(_KINDS)
+    )
+)
 
 
-@query("c28_multiplier")
+@query("c28_multiplier", _INV)
 def c28(spark: SparkSession, d: str) -> DataFrame:
     """Local multiplier between kinds of party: inverse of I - Q, Q being half of each kind's outflow shares. The matrix has a row a kind."""
     from flowquarry.operators import graph as gr

@@ -268,11 +268,16 @@ def test_roles_of_rules(spark):
 
 
 def test_lifecycle(spark):
-    part = lambda s: spark.createDataFrame([(n, g) for g, ns in s.items() for n in ns], "node string, grp string")
-    before = part({"A": "abcdefgh", "B": "ij", "C": "kl", "D": "mn", "G": "opq"})
-    after = part({"A1": "abcd", "A2": "efgh", "BC": "ijkl", "N": "xy", "G": "opqrs"})
-    got = {(r[0], r[1], r[2]) for r in graph.lifecycle(before, after).collect()}
-    assert {("A", "A1", "split"), ("A", "A2", "split"), ("B", "BC", "merge"), ("C", "BC", "merge"), (None, "N", "birth"), ("D", None, "death"), ("G", "G", "growth")} == got
+    before = {"A": "abcdefgh", "B": "ij", "C": "kl", "D": "mn", "G": "opq"}
+    after = {"A1": "abcd", "A2": "efgh", "BC": "ijkl", "N": "xy", "G": "opqrs"}
+    rows_ = [(t, n, g) for t, part in ((1, before), (2, after), (3, before)) for g, ns in part.items() for n in ns]
+    groups = spark.createDataFrame(rows_, "t int, node string, grp string")
+    got = {tuple(r) for r in graph.lifecycle(groups).collect()}
+    first = {(2, "A", "A1", "split"), (2, "A", "A2", "split"), (2, "B", "BC", "merge"), (2, "C", "BC", "merge"), (2, None, "N", "birth"), (2, "D", None, "death"), (2, "G", "G", "growth")}
+    back = {(3, "A1", "A", "merge"), (3, "A2", "A", "merge"), (3, "BC", "B", "split"), (3, "BC", "C", "split"), (3, "N", None, "death"), (3, None, "D", "birth"), (3, "G", "G", "shrinkage")}
+    assert got == first | back
+    best = {tuple(r) for r in graph.lifecycle_by_best(groups).filter("t = 2").collect()}
+    assert best == {(2, "A", "A1", 0.5, "split"), (2, "B", "BC", 0.5, "continued"), (2, "C", "BC", 0.5, "continued"), (2, "G", "G", 0.6, "continued"), (2, None, "A2", None, "born"), (2, None, "N", None, "born")}
 
 
 def test_statistics(spark):
