@@ -42,12 +42,13 @@ def theil_sen(series: DataFrame, key: str, t: str, x: str) -> DataFrame:
 
 def benjamini_hochberg(tests: DataFrame, p: str, q: float = 0.1) -> DataFrame:
     """Adds ``passes``: p at most the largest p that lies under rank * q / n. Ranks come from counts of distinct p, so no window holds all tests."""
-    n = tests.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("k"))
-    # p is rounded to six digits, so there are at most a million values in this window, whatever the number of tests.
-    upto = F.sum("k").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    # p counts to six digits, so there are at most a million values in this window, whatever the number of tests.
+    six = F.round(p, 6)
+    n = tests.filter(F.col(p).isNotNull()).groupBy(six.alias("p")).agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
     total = n.agg(F.sum("k")).scalar()
-    cut_at = n.withColumn("r", upto).filter(F.col(p) <= F.col("r") * q / total).agg(F.max(p)).scalar()
-    return tests.withColumn("passes", F.coalesce(F.col(p) <= cut_at, F.lit(False)))
+    cut_at = n.withColumn("r", upto).filter(F.col("p") <= F.col("r") * q / total).agg(F.max("p")).scalar()
+    return tests.withColumn("passes", F.coalesce(six <= cut_at, F.lit(False)))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, digits: int = 6) -> DataFrame:

@@ -31,6 +31,26 @@ def first_token(name: Column) -> Column:
     return F.split_part(name, F.lit(" "), F.lit(1))
 
 
+def payable(payments: DataFrame, payer: str, payee: str, rail: str, amount: str, least: dict[str, int], payer_hubs: tuple[str, ...] = (), payee_hubs: tuple[str, ...] = ()) -> DataFrame:
+    """The rows worth comparing by name: rails of ``least`` with at least its amount, names on both sides, the payee's of more than three characters, no hub's name, and more than two characters left of each normal name.
+
+    Null rails, amounts and names are left out. Columns stay as they are.
+    """
+    enough = F.lit(False)
+    for name, cents in least.items():
+        enough = enough | ((F.col(rail) == name) & (F.col(amount) >= cents))
+    a, b = F.col(payer), F.col(payee)
+    named = (F.trim(a) != "") & ~a.isin(list(payer_hubs)) & (F.length(F.trim(b)) > 3) & ~b.isin(list(payee_hubs))
+    return payments.filter(enough & named & (F.length(normal_name(a)) > 2) & (F.length(normal_name(b)) > 2))
+
+
+def _may_reach(a: str, b: str, fuzzy: float) -> Column:
+    """False where the lengths alone keep the similarity below ``fuzzy``: at best all of the shorter name matches, with a common start."""
+    few, many = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    jaro = (F.lit(2.0) + few / many) / 3
+    return jaro + 0.4 * (1 - jaro) >= fuzzy - 1e-6
+
+
 def name_matches(payments: DataFrame, payer: str, payee: str, amount: str, fuzzy: float = 0.92, cap: int = 1_000_000_00) -> DataFrame:
     """One row for each pair of names that pay each other's like: tier, score, band, rows, cents and whether the amount is above ``cap``.
 
@@ -41,7 +61,7 @@ def name_matches(payments: DataFrame, payer: str, payee: str, amount: str, fuzzy
     p = p.withColumns({"a": normal_name(F.col("payer_name")), "b": normal_name(F.col("payee_name")), "sa": name_suffix(F.col("payer_name")), "sb": name_suffix(F.col("payee_name"))}).filter(F.length("a") > 2).filter(F.length("b") > 2)
     same = p.filter("a = b").select("payer_name", "payee_name", "n_rows", "cents", F.when(F.col("sa").eqNullSafe(F.col("sb")), "TIER1_EXACT").otherwise("TIER1B_SUFFIX_VARIANT").alias("tier"), F.lit(1.0).alias("score"))
     near = p.filter((F.col("a") != F.col("b")) & (first_token(F.col("a")) == first_token(F.col("b"))))
-    near = near.select("payer_name", "payee_name", "n_rows", "cents", F.lit("TIER2_FUZZY").alias("tier"), F.round(jaro_winkler("a", "b"), 6).alias("score")).filter(F.col("score") >= fuzzy)
+    near = near.filter(_may_reach("a", "b", fuzzy)).select("payer_name", "payee_name", "n_rows", "cents", F.lit("TIER2_FUZZY").alias("tier"), F.round(jaro_winkler("a", "b"), 6).alias("score")).filter(F.col("score") >= fuzzy)
     band = F.when(F.col("score") >= 1, "exact").when(F.col("score") >= 0.97, "very_high").when(F.col("score") >= 0.95, "high").otherwise("medium")
     return same.unionByName(near).withColumns({"band": band, "above_cap": F.col("cents") > cap})
 

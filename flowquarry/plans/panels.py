@@ -132,7 +132,6 @@ def k14m(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- balance panel
 
-_MONTHS = [f"2024-{m:02d}" for m in range(1, 13) if m != 8]
 _WIDE = E + ", mo AS (SELECT DISTINCT time_key FROM e), nd AS (SELECT DISTINCT node FROM inc), long AS (SELECT nd.node, mo.time_key, CAST(coalesce(sum(cents), 0) AS BIGINT) AS balance FROM nd CROSS JOIN mo LEFT JOIN inc ON inc.node = nd.node AND inc.time_key = mo.time_key GROUP BY ALL) "
 
 

@@ -215,6 +215,14 @@ def k50(spark: SparkSession, d: str) -> DataFrame:
     return rl.rail_mix(rail_flows(spark, d), RAILS)
 
 
+@query("p28_payable", _RF + f", p AS (SELECT 'Customer ' || focal AS payer, 'Partner ' || other AS payee, rail, cents FROM fl WHERE dir = 'out') SELECT rail, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM p WHERE ((rail = '{RAILS[0]}' AND cents >= 5000000) OR (rail = '{RAILS[1]}' AND cents >= 1000000)) AND payer <> 'Customer 1' AND payee NOT IN ('Partner 2', 'Partner 3') GROUP BY rail")
+def p28(spark: SparkSession, d: str) -> DataFrame:
+    """What is left to compare by name, by rail."""
+    p = rail_flows(spark, d).filter("dir = 'out'").select(F.concat(F.lit("Customer "), "focal").alias("payer"), F.concat(F.lit("Partner "), "other").alias("payee"), "rail", "cents")
+    kept = mt.payable(p, "payer", "payee", "rail", "cents", {RAILS[0]: 5_000_000, RAILS[1]: 1_000_000}, ("Customer 1",), ("Partner 2", "Partner 3"))
+    return kept.groupBy("rail").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+
 @query("k50_top_partners", _RF + ", s AS (SELECT focal, other, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(n) AS BIGINT) AS n FROM fl GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY focal ORDER BY cents DESC, other) AS INTEGER) AS k FROM s QUALIFY k <= 5")
 def k50t(spark: SparkSession, d: str) -> DataFrame:
     return rl.top_partners(rail_flows(spark, d))

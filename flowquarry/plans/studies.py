@@ -100,6 +100,25 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
     return sd.run_lengths(strengths(spark, d), "node", "t", F.col("x") >= 100_000)
 
 
+@query("w14_running_least", ST + "SELECT node, t, x, CAST(min(x) OVER w AS BIGINT) AS least, arg_min(t, (x, t)) OVER w AS least_t FROM sm WINDOW w AS (PARTITION BY node ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def w14(spark: SparkSession, d: str) -> DataFrame:
+    """The least strength so far and the month it was first there, as one running minimum of a pair."""
+    w = Window.partitionBy("node").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return strengths(spark, d).withColumn("m", F.min(F.struct("x", "t")).over(w)).select("node", "t", "x", F.col("m.x").alias("least"), F.col("m.t").alias("least_t"))
+
+
+@query(
+    "w15_halves",
+    ST + ", h AS (SELECT node, x, row_number() OVER (PARTITION BY node ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM sm) SELECT node, max(n) AS n, round(avg(x) FILTER (2 * i < n), 4) AS first_half, round(avg(x) FILTER (2 * i >= n), 4) AS second_half FROM h GROUP BY node",
+)
+def w15(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the first and second half of a node's months, by their running count."""
+    w = Window.partitionBy("node")
+    h = strengths(spark, d).select("node", "x", (F.row_number().over(w.orderBy("t")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    late = 2 * F.col("i") >= F.col("n")
+    return h.groupBy("node").agg(F.max("n").alias("n"), F.round(F.avg(F.when(~late, F.col("x"))), 4).alias("first_half"), F.round(F.avg(F.when(late, F.col("x"))), 4).alias("second_half"))
+
+
 @query(
     "m20_placebo",
     ST + ", a AS (SELECT node, t, row_number() OVER (PARTITION BY node ORDER BY t) AS k FROM sm), b AS (SELECT node, x, row_number() OVER (PARTITION BY node ORDER BY md5('0|' || node || '|' || t), t) AS k FROM sm) SELECT a.node, a.t, b.x FROM a JOIN b ON b.node = a.node AND b.k = a.k",

@@ -100,15 +100,24 @@ def restricted_to(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 class PanelSource:
-    """Node and role panels behind one interface, from parquet folders or catalogue tables."""
+    """Node and role panels behind one interface, from parquet folders or catalogue tables.
 
-    def __init__(self, spark: SparkSession, nodes: str, roles: str) -> None:
+    Only columns of ``measures`` may rank nodes, by default all numeric ones of the node panel. The list of months is read once.
+    """
+
+    def __init__(self, spark: SparkSession, nodes: str, roles: str, measures: list[str] | None = None) -> None:
         self.nodes, self.roles = table_or_parquet(spark, nodes), table_or_parquet(spark, roles)
+        self.measures = measures or [c for c, t in self.nodes.dtypes if t in ("double", "float", "bigint", "int") or t.startswith("decimal")]
+        self._months: list[str] | None = None
 
     def months(self) -> list[str]:
-        return [r[0] for r in guarded_collect(self.nodes.select("time_key").distinct().orderBy("time_key"), 10_000)]
+        if self._months is None:
+            self._months = [r[0] for r in guarded_collect(self.nodes.select("time_key").distinct().orderBy("time_key"), 10_000)]
+        return self._months
 
     def node_month(self, month: str, n: int, by: str = "strength") -> DataFrame:
+        if by not in self.measures:
+            raise ValueError(f"nodes can't be ranked by {by}")
         return top_nodes(self.nodes.filter(F.col("time_key") == month), by, n)
 
     def roles_month(self, month: str, n: int, by: str = "strength") -> DataFrame:

@@ -61,3 +61,45 @@ def retire_version(panel: DataFrame, version: str) -> tuple[DataFrame, DataFrame
     """(the panel without a version, a dry run: rows to go and to stay by month)."""
     gone = F.col("version") == version
     return panel.filter(~F.coalesce(gone, F.lit(False))), panel.groupBy("time_key").agg(F.count_if(gone).alias("n_gone"), F.count_if(~F.coalesce(gone, F.lit(False))).alias("n_kept"))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def save_state(df: DataFrame, path: str) -> None:
+    """Replaces a table as a whole: the new one is written beside it and then renamed, so a reader finds the old or the new one. ``df`` may read the old one."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    (new, fs), (old, _), (gone, _) = _fs(spark, f"{path}.new"), _fs(spark, path), _fs(spark, f"{path}.old")
+    fs.delete(gone, True)
+    if fs.exists(old):
+        fs.rename(old, gone)
+    fs.rename(new, old)
+    fs.delete(gone, True)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of ``save_state``, or None before the first. A run that ended between the two renames left the old one under its other name; that is put back."""
+    (old, fs), (gone, _) = _fs(spark, path), _fs(spark, f"{path}.old")
+    if not fs.exists(old) and fs.exists(gone):
+        fs.rename(gone, old)
+    return spark.read.parquet(path) if fs.exists(old) else None
+
+
+def apply_retirement(spark: SparkSession, path: str, version: str, backup: str) -> DataFrame:
+    """Takes a version out of a panel in place, after a copy of the whole to ``backup``, which must not exist. Gives the report of the dry run."""
+    panel = spark.read.parquet(path)
+    panel.write.mode("errorifexists").parquet(backup)
+    kept, report = retire_version(spark.read.parquet(backup), version)
+    save_state(kept, path)
+    return report
+
+
+def projected_seconds(seconds: list[float], total: int, budget: float) -> tuple[float, bool]:
+    """(seconds that all ``total`` months should take at the mean of those done, whether that is within ``budget``); 0 and True before the first."""
+    if not seconds:
+        return 0.0, True
+    whole = sum(seconds) / len(seconds) * total
+    return whole, whole <= budget

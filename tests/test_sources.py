@@ -79,3 +79,52 @@ def test_cut_and_table(spark, tmp_path):
     drop_cuts(spark)
     with pytest.raises(Exception, match="exist|FAILED_READ|NOT_FOUND"):
         kept.count()
+
+
+def test_state_and_retirement(spark, tmp_path):
+    import os
+
+    p = str(tmp_path / "state")
+    assert wr.load_state(spark, p) is None
+    for i in range(3):
+        old = wr.load_state(spark, p)
+        new = spark.createDataFrame([(i, "V0"), (i, "P99")], "x int, version string").withColumn("time_key", F.lit("2024-01"))
+        wr.save_state(new if old is None else old.unionByName(new), p)
+    assert wr.load_state(spark, p).count() == 6 and sorted(os.listdir(tmp_path)) == ["state"]
+    os.rename(p, p + ".old")  # as a run leaves it that ends between the renames
+    assert wr.load_state(spark, p).count() == 6
+    report = wr.apply_retirement(spark, p, "P99", str(tmp_path / "backup")).collect()
+    assert [(r["n_gone"], r["n_kept"]) for r in report] == [(3, 3)]
+    assert wr.load_state(spark, p).count() == 3 and spark.read.parquet(str(tmp_path / "backup")).count() == 6
+    with pytest.raises(Exception, match="backup"):
+        wr.apply_retirement(spark, p, "V0", str(tmp_path / "backup"))
+    assert wr.projected_seconds([], 23, 100) == (0.0, True) and wr.projected_seconds([10, 20], 10, 100) == (150.0, False)
+
+
+def test_isolated_metrics(spark):
+    from flowquarry.plans.isolation import isolated
+
+    df = spark.createDataFrame([(1, 2.0)], "a int, b double")
+    good = lambda: df.select("a", F.col("b").alias("x"))
+    assert isolated(spark, "m", good, "a int, x double").collect() == [(1, 2.0)]
+    assert isolated(spark, "m", lambda: df.select("nothing"), "a int, x double").collect() == [(None, None)]
+    assert isolated(spark, "m", lambda: df, "a int, x double").collect() == [(None, None)]
+    assert isolated(spark, "m", good, "a int, x double", {"m": False}).collect() == [(None, None)]
+
+
+def test_ranking_columns_are_listed(spark, tmp_path):
+    p = str(tmp_path / "panel")
+    spark.createDataFrame([("2024-01", "a", 1.0, "x"), ("2024-02", "b", 2.0, "y")], "time_key string, node string, strength double, label string").write.parquet(p)
+    s = rd.PanelSource(spark, p, p)
+    assert s.months() == s.months() == ["2024-01", "2024-02"] and s.node_month("2024-01", 5).count() == 1
+    with pytest.raises(ValueError):
+        s.node_month("2024-01", 5, "label")
+
+
+def test_payable(spark):
+    from flowquarry.operators.match import payable
+
+    data = [(1, "Acme Inc", "Bolt Supplies", "WIRE", 500), (2, "Acme Inc", "Bolt Supplies", "WIRE", 499), (3, "Acme Inc", "Bolt Supplies", "ACH", 10), (4, "Acme Inc", "Bolt Supplies", "CARD", 900), (5, "HUB", "Bolt Supplies", "ACH", 10),
+            (6, "Acme Inc", "PAYROLL CO", "ACH", 10), (7, " ", "Bolt Supplies", "ACH", 10), (8, "Acme Inc", "Bol", "ACH", 10), (9, "Acme Inc", None, "ACH", 10), (10, None, "Bolt", "ACH", 10), (11, "A Inc", "Bolt Supplies", "ACH", 10), (12, "Acme Inc", "Bolt Supplies", None, None)]
+    df = spark.createDataFrame(data, "i int, a string, b string, rail string, amt int")
+    assert [r["i"] for r in payable(df, "a", "b", "rail", "amt", {"WIRE": 500, "ACH": 10}, ("HUB",), ("PAYROLL CO",)).orderBy("i").collect()] == [1, 3]
