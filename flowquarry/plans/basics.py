@@ -487,6 +487,21 @@ def k33(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["time_key", "node"]).filter("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s13_directed_scan", EP + ", f AS (SELECT node FROM party WHERE naics2 = '52') SELECT direction, time_key, count(*) AS n, count(DISTINCT focal) AS n_focal, CAST(sum(cents) AS BIGINT) AS cents FROM (SELECT source AS focal, 'out' AS direction, time_key, cents FROM e WHERE source IN (SELECT node FROM f) UNION ALL SELECT dest, 'in', time_key, cents FROM e WHERE dest IN (SELECT node FROM f)) GROUP BY ALL")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    s = rd.directed_scan(edges_once(spark, d), parties(spark, d).filter("naics2 = '52'"))
+    return s.groupBy("direction", "time_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("focal").alias("n_focal"), F.sum("cents").alias("cents"))
+
+
+@query("p12_decimal_places", "WITH x AS (SELECT CAST(CAST(lat AS DECIMAL(12, 6)) AS VARCHAR) AS a, CAST(CAST(lon AS DECIMAL(12, 6)) AS VARCHAR) AS b FROM customers WHERE isfinite(lat) AND isfinite(lon)) SELECT CAST(least(length(rtrim(split_part(a, '.', 2), '0')), length(rtrim(split_part(b, '.', 2), '0'))) AS INTEGER) AS places, count(*) AS n FROM x GROUP BY 1")
+def p12(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by the decimal places of their coarser coordinate, trailing zeros aside: a few stand for a rounded or placeholder point."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    text = lambda c: F.rtrim(F.col(c).cast("decimal(12,6)").cast("string"), F.lit("0"))
+    c = table(spark, d, "customers").filter(ok("lat") & ok("lon"))
+    return c.groupBy(F.least(pt.decimal_places(text("lat")), pt.decimal_places(text("lon"))).alias("places")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("k49_party_payment_months", EP + "SELECT time_key, coalesce(a.entity, 'none') AS payer, coalesce(b.entity, 'none') AS payee, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM e LEFT JOIN party a ON a.node = source LEFT JOIN party b ON b.node = dest GROUP BY ALL")
 def k49(spark: SparkSession, d: str) -> DataFrame:
     p = parties(spark, d).select("node", "entity")

@@ -362,6 +362,12 @@ def n13(spark: SparkSession, d: str) -> DataFrame:
     return b.join(t.select("node", "clustering"), "node", "left").select("node", "betweenness", F.round(F.col("betweenness") / (F.coalesce("clustering", F.lit(0.0)) + 1e-6), 2).alias("bridging"))
 
 
+@query("n14_current_flow")
+def n14(spark: SparkSession, d: str) -> DataFrame:
+    """From 64 landmark pairs drawn by weighted degree."""
+    return it.current_flow(links(spark, d))
+
+
 @query("n15_trophic_levels")
 def n15(spark: SparkSession, d: str) -> DataFrame:
     return it.trophic_levels(links(spark, d, log=True))

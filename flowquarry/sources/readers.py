@@ -94,6 +94,19 @@ def top_nodes(panel: DataFrame, by: str, n: int, node: str = "node") -> DataFram
     return panel.orderBy(F.desc(by), node).limit(n)
 
 
+def directed_scan(edges: DataFrame, focal: DataFrame) -> DataFrame:
+    """(focal, other, direction, time_key, cents) of the edges of some nodes (node), a row for each end that is focal: two scans, each pruned to its side."""
+    f = focal.select(F.col("node").alias("focal")).distinct()
+    side = lambda own, other, name: edges.select(F.col(own).alias("focal"), F.col(other).alias("other"), F.lit(name).alias("direction"), "time_key", "cents").join(f, "focal", "left_semi")
+    return side("source", "dest", "out").unionByName(side("dest", "source", "in"))
+
+
+def completed(df: DataFrame, schema: str) -> DataFrame:
+    """Exactly the columns of ``schema`` in its order: those there cast, those missing null, others dropped, so tables of all months and versions stack."""
+    want = df.sparkSession.createDataFrame([], schema).schema
+    return df.select(*[(F.col(c.name) if c.name in df.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in want])
+
+
 def restricted_to(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among those of ``other``."""
     return df.join(other.select(key).distinct(), key, "left_semi")

@@ -338,6 +338,35 @@ def test_louvain_joins_two_cliques(spark):
     assert len(set(got.values())) == 3 and all(len({g for n, g in got.items() if n[0] == c}) == 1 for c in "xyz")
 
 
+def test_current_flow_against_a_dense_solver(spark):
+    rng = random.Random(6)
+    e = {tuple(sorted(rng.sample(range(12), 2))): rng.uniform(0.5, 5) for _ in range(24)}
+    links = spark.createDataFrame([(f"n{a}", f"n{b}", w) for (a, b), w in e.items()] + [("lone1", "lone2", 1.0)], "src string, dst string, w double")
+    names = sorted({x for a, b in e for x in (a, b)})
+    pairs = [(i, f"n{names[a]}", f"n{names[b]}") for i, (a, b) in enumerate(((0, 5), (3, 7), (1, 2)))]
+    at = {n: i for i, n in enumerate(names)}
+    lap = np.zeros((len(names), len(names)))
+    for (a, b), w in e.items():
+        i, j = at[a], at[b]
+        lap[i, i] += w
+        lap[j, j] += w
+        lap[i, j] -= w
+        lap[j, i] -= w
+    want = dict.fromkeys(names, 0.0)
+    for _, s, t in pairs:
+        b = np.zeros(len(names))
+        b[at[int(s[1:])]], b[at[int(t[1:])]] = 1, -1
+        h = np.linalg.pinv(lap) @ b
+        for n in names:
+            if n not in (int(s[1:]), int(t[1:])):
+                want[n] += 0.5 * sum(w * abs(h[at[x]] - h[at[y]]) for (x, y), w in e.items() if n in (x, y)) / 3
+    got = {r["node"]: r["current_flow"] for r in it.current_flow(links, pairs=spark.createDataFrame(pairs, "pair bigint, s string, t string")).collect()}
+    assert got["lone1"] == 0.0 and all(got[f"n{n}"] == pytest.approx(want[n], abs=1e-4) for n in names)
+    deg = spark.createDataFrame([("a", 8.0), ("b", 1.0), ("c", 1.0), ("z", 0.0)], "node string, d double")
+    drawn = [r for r in it.landmark_pairs(deg, 200).collect()]
+    assert 20 < len(drawn) < 120 and {r["s"] for r in drawn} == {"a", "b", "c"} and sum(r["s"] == "a" or r["t"] == "a" for r in drawn) > 0.8 * len(drawn)
+
+
 def test_states_of_a_loop_are_deleted(spark, links):
     import os
 

@@ -128,3 +128,9 @@ def test_payable(spark):
             (6, "Acme Inc", "PAYROLL CO", "ACH", 10), (7, " ", "Bolt Supplies", "ACH", 10), (8, "Acme Inc", "Bol", "ACH", 10), (9, "Acme Inc", None, "ACH", 10), (10, None, "Bolt", "ACH", 10), (11, "A Inc", "Bolt Supplies", "ACH", 10), (12, "Acme Inc", "Bolt Supplies", None, None)]
     df = spark.createDataFrame(data, "i int, a string, b string, rail string, amt int")
     assert [r["i"] for r in payable(df, "a", "b", "rail", "amt", {"WIRE": 500, "ACH": 10}, ("HUB",), ("PAYROLL CO",)).orderBy("i").collect()] == [1, 3]
+
+
+def test_completed_schema(spark):
+    df = spark.createDataFrame([("a", 1, 2.5)], "node string, k int, extra double")
+    got = rd.completed(df, "k bigint, node string, spread_km double")
+    assert got.dtypes == [("k", "bigint"), ("node", "string"), ("spread_km", "double")] and got.collect() == [(1, "a", None)]
