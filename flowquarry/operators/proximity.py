@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.geo import EARTH_KM, haversine_km, point_in_polygon
-from flowquarry.operators.skew import salted_join
+from flowquarry.operators.skew import hot_keys, salted_join
+from flowquarry.session import cut
 
 
 #: Cells are so many radii wide: a point then looks into two cells and a quarter on average, not into nine.
@@ -97,15 +98,16 @@ def near_pairs(points: DataFrame, radius_km: float, key: str = "node", lat: str
     folded into one place, so copies meet once and not once for every row; cells that hold many places, and places that hold many keys, are split by their load.
     The result itself holds every pair, as it is asked for; ``near_places`` counts them by place. km is the least distance of the two keys.
     """
-    rows = placed(points, key, lat, lon)
+    rows = cut(placed(points, key, lat, lon), "placed")
+    hot, k = hot_keys(rows, ["lat", "lon"], KEYS)
     a = rows.select(F.col("k").alias("k_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
     b = rows.select(F.col("k").alias("k_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     links = place_links(rows.select("lat", "lon").distinct(), radius_km)
-    ends = salted_join(links, a, ["lat_a", "lon_a"], KEYS)
+    ends = salted_join(links, a, ["lat_a", "lon_a"], KEYS, (hot.withColumnsRenamed({"lat": "lat_a", "lon": "lon_a"}), k))
     # Keys of one place meet those of the same place; between two places the keys may stand in either order.
     same = a.select("k_a", F.col("lat_a").alias("lat_b"), F.col("lon_a").alias("lon_b"), F.lit(0.0).alias("km"), F.lit(True).alias("one"))
     left = ends.select("k_a", "lat_b", "lon_b", "km", F.lit(False).alias("one")).unionByName(same)
-    pairs = salted_join(left, b, ["lat_b", "lon_b"], KEYS).filter((F.col("k_a") < F.col("k_b")) | (~F.col("one") & (F.col("k_a") > F.col("k_b"))))
+    pairs = salted_join(left, b, ["lat_b", "lon_b"], KEYS, (hot.withColumnsRenamed({"lat": "lat_b", "lon": "lon_b"}), k)).filter((F.col("k_a") < F.col("k_b")) | (~F.col("one") & (F.col("k_a") > F.col("k_b"))))
     pairs = pairs.select(F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"), "km")
     return pairs.groupBy("key_a", "key_b").agg(F.min("km").alias("km"))
 

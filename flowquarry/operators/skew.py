@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowquarry.session import cut
+
 SPLIT = 4
 BUCKETS = 8
+#: Hot keys that are broadcast, a few dozen bytes each.
+MOST_HOT = 50_000
 
 
 @dataclass
@@ -132,17 +136,26 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: list[str],
     return rest.unionByName(split)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, int]:
+    """((keys, __salts), how many) of the keys with more than ``most`` rows, a salt for each ``most`` of them. Counted before the shuffle, at most rows / ``most`` keys, and written, so it is counted once."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    hot = cut(n.select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__salts")), "hot")
+    return hot, hot.count()
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], most: int = 2000, hot: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Inner join in which a key with more than ``most`` right rows has a salt for each ``most`` of them: right rows take one, left rows all of their key's.
 
-    At most ``count / most`` keys can be that large; they are found by a count that combines before its shuffle.
+    ``hot`` is what ``hot_keys`` gives for the right side, where it is known. Up to ``MOST_HOT`` hot keys are broadcast, more are joined by a shuffle; without any it is a plain join.
     """
-    n = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = n.filter(F.col("__n") > most).select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__salts"))
+    marks, k = hot or hot_keys(right, keys, most)
+    if not k:
+        return left.join(right, keys)
+    marks = F.broadcast(marks) if k <= MOST_HOT else marks
     others = [c for c in right.columns if c not in keys]
     salts = F.coalesce("__salts", F.lit(1))
-    r = right.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*others), salts).cast("int")).drop("__salts")
-    left_ = left.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    r = right.join(marks, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*others), salts).cast("int")).drop("__salts")
+    left_ = left.join(marks, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return left_.join(r, [*keys, "__salt"]).drop("__salt")
 
 
