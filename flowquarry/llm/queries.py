@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,12 +141,36 @@ def p5_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 # ---- p8 held-out passages
 
 
-@query("p8_found")
+
+
+def _sql_words(text: str) -> str:
+    """SQL for the list of words of a text: tags out, the entities of the tables decoded, compatibility forms folded. What folds to one character goes through a table made by rule, the rest that has letters or digits by name."""
+    singles = [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, range(0xA0, 0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+    singles = [(c, n) for c, n in singles if n != c and len(n) == 1 and (n.isalnum() or n.isspace())]
+    longer = {c: unicodedata.normalize("NFKC", c) for c in "ﬀﬁﬂﬃﬄﬅﬆ½¼¾Ⅳ㎞№"}
+    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&#160;": " ", "&amp;": "&"}
+    q = lambda x: x.replace("'", "''")
+    t = f"regexp_replace(coalesce({text}, ''), '<!--.*?-->|</?[A-Za-z][^<>]*>', ' ', 'gs')"
+    for k, v in {**named, **longer}.items():
+        t = f"replace({t}, '{q(k)}', '{q(v)}')"
+    t = f"nfc_normalize(translate({t}, '{''.join(c for c, _ in singles)}', '{''.join(n for _, n in singles)}'))"
+    return f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_P8 = f"""
+WITH d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents), i AS (SELECT item_id, {_sql_words("text")} AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 9), ' ') AS g, k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) >= 10)),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 9), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i WHERE len(w) >= 10)),
+hit AS (SELECT doc_id, item_id, min(k) AS a, max(k) + 9 AS z FROM dg JOIN ig USING (g) GROUP BY doc_id, item_id)
+"""
+
+
+@query("p8_found", _P8 + "SELECT doc_id, item_id FROM hit")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-@query("p8_items")
+@query("p8_items", _P8 + "SELECT e.item_id, e.suite, count(doc_id) AS n_documents, CAST(max(z - a + 1) AS INTEGER) AS longest FROM eval_items e LEFT JOIN hit ON hit.item_id = e.item_id GROUP BY e.item_id, e.suite")
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Per item: the documents that hold a passage of it and the longest stretch found."""
     items = table(spark, d, "eval_items")
