@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("problems", "flow", "temporal", "graph", "geography", "panels", "relations", "basics", "studies")
+MODULES = ("problems", "flow", "temporal", "graph", "geography", "panels", "relations", "basics", "studies", "queues")
 
 
 def load_registry():

@@ -15,6 +15,7 @@ from flowquarry.plans.base import E, EP, edges, edges_once, parties, rsql
 from flowquarry.plans.flow import _CONC, _DEG, _FLOW_COLS, _LADDER, _REC, TIERS
 from flowquarry.plans.registry import query
 from flowquarry.plans.temporal import T
+from flowquarry.session import cut
 
 # ---- statistics on strengths by month
 
@@ -113,23 +114,77 @@ def k14l(spark: SparkSession, d: str) -> DataFrame:
     return stats.lift(labelled(spark, d), "x", "y")
 
 
+FEATURES = ["size", "degree", "change", "age"]
+
+
+def decline_features(spark: SparkSession, d: str) -> DataFrame:
+    """(node, t, label, features, ...) of all labelled node months, written once."""
+    from pyspark.ml.feature import VectorAssembler
+
+    f = labelled(spark, d).select("node", "t", F.log1p(F.col("x") / F.lit(100.0)).alias("size"), F.log1p("k").alias("degree"), F.col("y").cast("double").alias("label"))
+    w = Window.partitionBy("node").orderBy("t")
+    f = f.withColumn("change", F.coalesce(F.when(F.lag("t").over(w) == F.col("t") - 1, F.col("size") - F.lag("size").over(w)), F.lit(0.0))).withColumn("age", F.log1p(F.row_number().over(w)))
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(cut(f, "features"))
+
+
 @query("k14_k15_decline_model")
 def k14m(spark: SparkSession, d: str) -> DataFrame:
     """A logistic model of the next month's decline, fitted on all earlier months and scored on the last (out of time): AUC of the model and of degree alone."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    f = labelled(spark, d).select("node", "t", F.log1p(F.col("x") / F.lit(100.0)).alias("size"), F.log1p("k").alias("degree"), F.col("y").cast("double").alias("label"))
-    w = Window.partitionBy("node").orderBy("t")
-    f = f.withColumn("change", F.coalesce(F.when(F.lag("t").over(w) == F.col("t") - 1, F.col("size") - F.lag("size").over(w)), F.lit(0.0))).withColumn("age", F.log1p(F.row_number().over(w)))
-    last = f.agg(F.max("t")).first()[0]
-    v = VectorAssembler(inputCols=["size", "degree", "change", "age"], outputCol="features").transform(f)
+    v = decline_features(spark, d)
+    last = v.agg(F.max("t")).first()[0]
     model = LogisticRegression(maxIter=20, regParam=0.01).fit(v.filter(F.col("t") < last))
     scored = model.transform(v.filter(F.col("t") == last)).select(F.round(vector_to_array("probability")[1], 6).alias("score"), "degree", (F.col("label") > 0).alias("y"))
     return stats.auc(scored, "score", "y").withColumn("model", F.lit("logistic")).unionByName(stats.auc(scored, "degree", "y").withColumn("model", F.lit("degree")))
 
 
+@query("k14_rolling_origin")
+def k14r(spark: SparkSession, d: str) -> DataFrame:
+    """(model, test_t, n_pos, n_neg, auc, pr_auc): a logistic model and boosted trees fitted on all months before each of the last two and scored on it; a month's fit never sees a later one."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import vector_to_array
+
+    v = decline_features(spark, d)
+    last = v.agg(F.max("t")).first()[0]
+    out = None
+    for t in (last - 1, last):
+        for name, estimator in (("logistic", LogisticRegression(maxIter=20, regParam=0.01)), ("boosted_trees", GBTClassifier(maxIter=10, maxDepth=3, seed=7))):
+            model = estimator.fit(v.filter(F.col("t") < t))
+            scored = cut(model.transform(v.filter(F.col("t") == t)).select(F.round(vector_to_array("probability")[1], 6).alias("score"), "label"), "scored")
+            pr = BinaryClassificationEvaluator(rawPredictionCol="score", metricName="areaUnderPR").evaluate(scored)
+            row = stats.auc(scored.withColumn("y", F.col("label") > 0), "score", "y").select(F.lit(name).alias("model"), F.lit(t).alias("test_t"), "n_pos", "n_neg", "auc", F.lit(round(pr, 6)).alias("pr_auc"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("k14_importance")
+def k14i(spark: SparkSession, d: str) -> DataFrame:
+    """(feature, auc, drop): the logistic model's AUC on the last month with one feature's values dealt to other nodes, and how far it falls below the whole one's. The deal is a rotation along a hash order within buckets of nodes."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    v = decline_features(spark, d)
+    last = v.agg(F.max("t")).first()[0]
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(v.filter(F.col("t") < last))
+    test = v.filter(F.col("t") == last).drop("features")
+    # Buckets keep the rotation out of one task; which values a bucket holds is chance.
+    w = Window.partitionBy(F.pmod(F.xxhash64("node"), F.lit(64))).orderBy(F.xxhash64("node", F.lit(1)), "node")
+    whole = Window.partitionBy(F.pmod(F.xxhash64("node"), F.lit(64)))
+    out = None
+    for feature in ("none", *FEATURES):
+        x = test if feature == "none" else test.withColumn(feature, F.coalesce(F.lag(feature).over(w), F.max(feature).over(whole)))
+        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x)).select(F.round(vector_to_array("probability")[1], 6).alias("score"), (F.col("label") > 0).alias("y"))
+        row = stats.auc(scored, "score", "y").select(F.lit(feature).alias("feature"), "auc")
+        out = row if out is None else out.unionByName(row)
+    out = cut(out, "importance")
+    base = out.filter("feature = 'none'").agg(F.max("auc")).scalar()
+    return out.filter("feature <> 'none'").select("feature", "auc", F.round(base - F.col("auc"), 6).alias("drop"))
+
+
 # ---- balance panel
 
 _WIDE = E + ", mo AS (SELECT DISTINCT time_key FROM e), nd AS (SELECT DISTINCT node FROM inc), long AS (SELECT nd.node, mo.time_key, CAST(coalesce(sum(cents), 0) AS BIGINT) AS balance FROM nd CROSS JOIN mo LEFT JOIN inc ON inc.node = nd.node AND inc.time_key = mo.time_key GROUP BY ALL) "

@@ -174,16 +174,21 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
     return dynamics(edges_once(spark, d))
 
 
-def dynamics(e: DataFrame) -> DataFrame:
-    """(time_key, node, dynamics_role) of an edge relation."""
-    x = tm.with_t(eg.incidence(e).groupBy("time_key", "node").agg((F.sum("cents") / F.lit(100.0)).alias("s"), F.count_if(F.col("dir") == "in").alias("in_degree")))
+def dynamics_metrics(e: DataFrame) -> DataFrame:
+    """A row a month and node with what dynamics roles are told from."""
+    x = tm.with_t(eg.incidence(e).groupBy("time_key", "node").agg((F.sum("cents") / F.lit(100.0)).alias("strength"), F.count_if(F.col("dir") == "in").alias("in_degree")))
     w = Window.partitionBy("node").orderBy("t")
     before = F.lag("t").over(w) == F.col("t") - 1
-    x = x.select("time_key", "t", "node", "in_degree", (F.col("t") - F.min("t").over(w)).alias("months_since_first_seen"), (F.col("t") - F.lag("t").over(w)).alias("activity_gap"), F.when(before, F.log((F.col("s") + 1) / (F.lag("s").over(w) + 1))).alias("strength_mom"), F.when(before, F.lag("in_degree").over(w)).alias("prior_in_degree"))
+    mom = F.when(before, F.log((F.col("strength") + 1) / (F.lag("strength").over(w) + 1)))
+    x = x.select("time_key", "t", "node", "strength", "in_degree", (F.col("t") - F.min("t").over(w)).alias("months_since_first_seen"), (F.col("t") - F.lag("t").over(w)).alias("activity_gap"), mom.alias("strength_mom"), F.when(before, F.lag("in_degree").over(w)).alias("prior_in_degree"))
     new = tm.cohorts(e).filter("dir = 'in'").select("time_key", "node", "new_amount_share")
     lost = tm.side_turnover(e).filter("dir = 'in'").select("t", "node", "lost_amount_share", F.col("jaccard").alias("payer_jaccard"))
-    m = x.join(new, ["time_key", "node"], "left").join(lost, ["t", "node"], "left")
-    return pn.dynamics_roles(m, ["t"]).select("time_key", "node", "dynamics_role")
+    return x.join(new, ["time_key", "node"], "left").join(lost, ["t", "node"], "left")
+
+
+def dynamics(e: DataFrame) -> DataFrame:
+    """(time_key, node, dynamics_role) of an edge relation."""
+    return pn.dynamics_roles(dynamics_metrics(e), ["t"]).select("time_key", "node", "dynamics_role")
 
 
 def by_month(e: DataFrame) -> DataFrame:
