@@ -483,3 +483,12 @@ def test_personal_pagerank_to_a_tolerance_writes_no_table_a_round(spark, links,
     written = _tables_written(monkeypatch)
     got = as_dict(it.pagerank(links, 200, seeds=spark.createDataFrame([("n03",), ("z1",)], "node string"), tol=1e-10))
     assert got == pytest.approx(want, abs=2e-9) and len(written) < 6
+
+
+def test_pagerank_to_a_tolerance_writes_no_table_a_round(links, net, monkeypatch):
+    nodes = sorted({x for e in net for x in e})
+    written = _tables_written(monkeypatch)
+    got = as_dict(it.pagerank(links, 200, tol=1e-10))
+    assert got == pytest.approx(_ranks(net, dict.fromkeys(nodes, 1 / len(nodes))), abs=2e-9) and len(written) < 6
+    with pytest.raises(RuntimeError, match="rank"):
+        it.pagerank(links, 2, tol=1e-10)
