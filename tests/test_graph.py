@@ -539,3 +539,13 @@ def test_levels_and_components_write_no_table_a_round(spark, links, monkeypatch)
     chain = spark.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}", 1.0) for i in range(it.PLAIN + 8)] + [("own", "own", 1.0)], "src string, dst string, w double")
     lv = {r["node"]: (r["component"], r["level"]) for r in it.trophic_levels(chain, tol=1e-10).collect()}
     assert lv == {"own": ("own", 0.0)} | {f"c{i:02d}": ("c00", float(i)) for i in range(it.PLAIN + 9)}
+
+
+def test_levels_of_months_in_one_run(spark, monkeypatch):
+    from flowquarry.plans import studies
+
+    written = _tables_written(monkeypatch)
+    e = _edges(spark, [("2024-01", "a", "b", 500, 1), ("2024-01", "b", "c", 500, 1), ("2024-02", "c", "b", 500, 1), ("2024-02", "b", "a", 500, 1), ("2024-02", "d|e", "d|e", 500, 1)])
+    got = {(r["time_key"], r["node"]): r["level"] for r in studies.of_month(it.trophic_levels(studies.by_month(e))).collect()}
+    assert got == {("2024-01", "a"): 0.0, ("2024-01", "b"): 1.0, ("2024-01", "c"): 2.0, ("2024-02", "c"): 0.0, ("2024-02", "b"): 1.0, ("2024-02", "a"): 2.0, ("2024-02", "d|e"): 0.0}
+    assert "cg" not in written
