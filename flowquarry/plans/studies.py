@@ -16,6 +16,7 @@ from flowquarry.operators import studies as sd
 from flowquarry.operators import temporal as tm
 from flowquarry.plans.base import E, EP, edges, edges_once, parties, partition, rsql, sectors
 from flowquarry.plans.geography import SPREAD_ROWS, hav, points
+from flowquarry.plans.graph import SURE
 from flowquarry.plans.panels import _MK, ST, strengths
 from flowquarry.plans.registry import query
 from flowquarry.plans.temporal import _SH, T
@@ -202,10 +203,22 @@ def of_month(df: DataFrame) -> DataFrame:
     return df.withColumns({"time_key": F.substring_index("node", "|", 1), "node": F.expr("substring(node, instr(node, '|') + 1)")})
 
 
+def month_levels(e: DataFrame) -> DataFrame:
+    """(time_key, node, level) of each month of an edge relation, which is read three times: months of up to ``it.GROUP`` links are solved whole in a task each, larger ones together over blocks."""
+    large = [r["time_key"] for r in e.groupBy("time_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > it.GROUP).collect()]
+    in_large = F.col("time_key").isin(large)
+    small = e.filter(~in_large).select("time_key", F.col("source").alias("src"), F.col("dest").alias("dst"), F.round(F.log1p(F.col("cents") / F.lit(100.0)), 9).alias("w")).filter("w > 0")
+    levels = it.levels_of_groups(small, "time_key")
+    if not large:
+        return levels
+    return levels.unionByName(of_month(it.trophic_levels(by_month(e.filter(in_large)), tol=SURE)).select("time_key", "node", "level"))
+
+
 @query("r02_hierarchy_roles")
 def r02(spark: SparkSession, d: str) -> DataFrame:
-    """Terciles of the trophic level of each month, all months solved at once."""
-    levels = of_month(it.trophic_levels(by_month(edges_once(spark, d))).select("node", F.col("level").alias("trophic_level")))
+    """Terciles of the trophic level of each month."""
+    e = cut(edges(spark, d).select("time_key", "source", "dest", "cents"), "edges")
+    levels = cut(month_levels(e).withColumnRenamed("level", "trophic_level"), "levels")
     return pn.hierarchy_roles(levels, ["time_key"]).select("time_key", "node", "trophic_level", "hierarchy_role")
 
 

@@ -560,3 +560,50 @@ def test_current_flow_of_whole_graphs_and_of_rounds(links, monkeypatch):
     monkeypatch.undo()
     with pytest.raises(RuntimeError, match="residual"):
         it.current_flow(links, k=6, rounds=1)
+
+
+def _dense_levels(links):
+    """{(month, node): level} of (month, source, dest, w) by least squares, unrounded."""
+    out = {}
+    for month in {r[0] for r in links}:
+        e = [r for r in links if r[0] == month]
+        nodes = sorted({x for r in e for x in r[1:3]})
+        at = {n: i for i, n in enumerate(nodes)}
+        w, label = np.zeros((len(nodes), len(nodes))), np.arange(len(nodes))
+        for _, a, b, x in e:
+            if a != b:
+                w[at[a], at[b]] += x
+                label[label == max(label[at[a]], label[at[b]])] = min(label[at[a]], label[at[b]])
+        h = np.linalg.lstsq(np.diag(w.sum(0) + w.sum(1)) - w - w.T, w.sum(0) - w.sum(1), rcond=1e-13)[0]
+        out |= {(month, n): h[i] - h[label == label[i]].min() for n, i in at.items()}
+    return out
+
+
+def test_hierarchy_roles_of_months_without_rounds_of_jobs(spark, folder, duck, monkeypatch):
+    from flowquarry.plans import load_registry
+    from flowquarry.plans.base import E
+
+    want = _dense_levels(duck.sql(E + "SELECT time_key, source, dest, round(ln(1 + cents / 100.0), 9) AS w FROM e WHERE cents > 0").fetchall())
+    written = _tables_written(monkeypatch)
+    rows = load_registry().queries()["r02_hierarchy_roles"](spark, folder).collect()
+    assert written == ["edges", "levels"]
+    assert {(r["time_key"], r["node"]): r["trophic_level"] for r in rows} == pytest.approx(want, abs=5.1e-5) and len(rows) == len(want)
+    assert {r["hierarchy_role"] for r in rows} == {"upstream_supplier", "midstream", "downstream_buyer"}
+
+
+def test_levels_of_small_and_of_large_months(spark, monkeypatch):
+    from flowquarry.plans import studies
+
+    rng = random.Random(3)
+    pairs = {(f"2024-{m:02d}", f"n{rng.randint(0, 14)}", f"n{rng.randint(15, 30)}") for m in (1, 2) for _ in range(20 * m)}
+    chain = [("2024-03", f"c{i:03d}", f"c{i + 1:03d}", 500, 1) for i in range(120)] + [("2024-03", "d|e", "d|e", 500, 1), ("2024-03", "nothing", "paid", 0, 1), ("2024-04", "own", "own", 7, 1), ("2024-05", "nothing", "paid", 0, 1)]
+    rows = [(*p, rng.randint(1, 90000), 1) for p in sorted(pairs)] + chain
+    want = _dense_levels([(m, a, b, round(math.log1p(c / 100), 9)) for m, a, b, c, _ in rows if c])
+    e = _edges(spark, rows)
+    levels = lambda: {(r["time_key"], r["node"]): r["level"] for r in studies.month_levels(e).collect()}
+    whole = levels()
+    assert whole == pytest.approx(want, abs=5.1e-5) and whole["2024-03", "c120"] == 120 and whole["2024-03", "d|e"] == 0 and whole["2024-04", "own"] == 0
+    monkeypatch.setattr(it, "GROUP", 30)  # one month and the chain go over blocks
+    assert levels() == pytest.approx(whole, abs=1e-4)
+    with pytest.raises(Exception, match="residual"):
+        it.levels_of_groups(studies.by_month(e).withColumn("time_key", F.lit("all")), "time_key", rounds=2).collect()
